@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import packing, simhash, tokenbin
+from tidelog.llm import ann, langid, licenses, metric_join, mixing, packing, secrets, simhash, tokenbin, toxicity
 from tidelog.llm.common import table
 
 
@@ -15,10 +15,34 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs))
+
+
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licences(table(spark, sf_dir, "documents"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades from the labels: 0 not toxic, 1 toxic, 2 toxic and of low quality."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    grade = F.when(F.col("toxic") == 0, 0).when(F.col("toxic") == 1, F.lit(2) - F.coalesce(F.col("quality"), F.lit(1)))
+    return toxicity.severity(docs, toxicity.train(docs, labels, grade))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), simhash.hex_digits().alias("fingerprint"), "component_id")
 
 
+def op5_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join.linked(table(spark, sf_dir, "embeddings"))
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1)
 
@@ -27,5 +51,35 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0)
 
 
-QUERIES = {f.__name__: f for f in (op4_simhash, op7_token_ids, op8_packing)}
-ORACLE_SQL: dict[str, str] = {}
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source the same share of the corpus, in documents."""
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_langid, op2_licenses, op3_toxicity, op4_simhash, op5_metric_join, op6_secrets, op7_token_ids, op8_packing, op9_ann, op10_mixing)}
+
+ORACLE_SQL = {
+    "op10_mixing": f"""
+WITH RECURSIVE sizes AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+rates AS (SELECT source, 1.0::DOUBLE / (SELECT count(*) FROM sizes)::DOUBLE * (SELECT count(*) FROM documents)::DOUBLE / n::DOUBLE AS rate FROM sizes),
+steps AS (
+  SELECT source, rate, 0 AS k, -rate AS lg, exp(-rate) AS cum FROM rates
+  UNION ALL
+  SELECT source, rate, k + 1, lg + ln(rate) - ln((k + 1)::DOUBLE), cum + exp(lg + ln(rate) - ln((k + 1)::DOUBLE)) FROM steps
+  WHERE k + 1 <= ceil(rate + 12.0 * sqrt(rate) + 24.0)
+),
+u AS (SELECT *, ('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, {mixing.DIGITS}))::BIGINT::DOUBLE / {int(mixing.SCALE)}.0 AS x FROM documents),
+counted AS (
+  SELECT u.doc_id, u.text, u.lang, u.source, u.n_chars, count(s.k) AS n
+  FROM u LEFT JOIN steps s ON s.source IS NOT DISTINCT FROM u.source AND s.cum <= u.x
+  GROUP BY ALL
+)
+SELECT g.i::INTEGER AS copy_no, md5('{mixing.SEED}:shuffle:' || coalesce(doc_id::VARCHAR, '') || ':' || g.i) AS shuffle_key,
+       doc_id, text, lang, source, n_chars
+FROM counted, LATERAL (SELECT unnest(range(n)) AS i) g
+""",
+}
