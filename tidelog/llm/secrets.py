@@ -117,7 +117,11 @@ def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger: Ledger | None = None) -> DataFrame:
     """id, a count for each base kind, base_sha256 (of the base spans as listed) and all spans as text."""
     base = F.filter("spans", lambda s: s["rank"] < len(BASE))
-    counts = [F.size(F.filter("spans", lambda s, i=i: s["rank"] == i)).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(BASE)]
+
+    def count(i: int) -> Column:
+        return F.size(F.filter("spans", lambda s: s["rank"] == i)).cast("long")
+
+    counts = [count(i).alias(f"n_{r.kind}") for i, r in enumerate(BASE)]
     return findings(docs, id_col, text_col, ledger).select(F.col("id").alias(id_col), *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), "blob")
 
 

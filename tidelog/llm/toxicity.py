@@ -1,17 +1,19 @@
 """Toxicity by cumulative-link ordinal regression over sparse text features.
 
-Grades are ordered: 0 (clean) up to the highest. One weight per word is shared by all thresholds t_1 < t_2 < ...; the
+Grades are ordered: 0 (clean) up to the highest. One weight per feature is shared by all thresholds t_1 < t_2 < ...; the
 probability of grade k or more is the logistic function of w.x - t_k, and the expected severity is the sum of these
-probabilities. A text's features are log(1 + count) of words in a vocabulary drawn from the training rows. Training is
-proximal gradient descent with an L1 penalty, so few words keep a weight and a prediction looks only for those.
+probabilities. A text's features are its words and their first 4 and 5 letters, hashed to BUCKETS numbers, each with
+log(1 + its count per thousand words). Training is proximal gradient descent with an L1 penalty on the SCREENED features
+that tell the grades apart best, so few features keep a weight.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -20,13 +22,13 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.common import small_batches
 
-#: Bounds of the training sample, and of the words that a text and the vocabulary contribute.
-MAX_ROWS, MAX_WORDS, VOCABULARY = 4000, 20_000, 50_000
-#: Training rows that a word must occur in.
+#: Bounds of the training sample and of the features that training weighs.
+MAX_ROWS, BUCKETS, SCREENED = 4000, 1 << 18, 4096
+#: Training rows that a feature must occur in.
 RARE = 5
-PENALTY, ROUNDS = 0.002, 400
-#: Characters of a text whose words are taken at a time.
-CHUNK = 1 << 20
+PENALTY, ROUNDS = 0.0005, 300
+#: Characters of a text whose words are taken at a time; words whose features a worker remembers.
+CHUNK, CACHE = 1 << 20, 300_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -41,35 +43,70 @@ def words(text: str) -> Iterator[list[str]]:
         at = end
 
 
+def numbers(word: str) -> tuple[int, ...]:
+    """The hashed features of a word: itself, and its first letters if it has more."""
+    names = (word, *(f"{k}^{word[:k]}" for k in (4, 5) if len(word) > k))
+    return tuple(zlib.crc32(n.encode()) % BUCKETS for n in names)
+
+
+def features(text: str | None) -> dict[int, float]:
+    seen: Counter[str] = Counter()
+    for chunk in words(text or ""):
+        seen.update(chunk)
+    total, out = sum(seen.values()), Counter()
+    for w, n in seen.items():
+        for i in numbers(w):
+            out[i] += n
+    return {i: float(np.log1p(1000 * n / total)) for i, n in out.items()}
+
+
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
 @dataclass
 class Model:
-    weights: dict[str, float]
+    weights: dict[int, float]
     thresholds: np.ndarray
+    known: dict[str, tuple[int, ...]] = field(default_factory=dict)
 
     def at_least(self, text: str | None) -> np.ndarray:
         """The probabilities of grade 1 or more, 2 or more, ..."""
-        seen: Counter[str] = Counter()
+        counts: Counter[int] = Counter()
+        total, known, weights = 0, self.known, self.weights
         for chunk in words(text or ""):
-            seen.update(w for w in chunk if w in self.weights)
-        score = sum(self.weights[w] * np.log1p(n) for w, n in sorted(seen.items()))
+            total += len(chunk)
+            for w in chunk:
+                own = known.get(w)
+                if own is None:
+                    if len(known) >= CACHE:
+                        known.clear()
+                    own = known[w] = tuple(i for i in numbers(w) if i in weights)
+                for i in own:
+                    counts[i] += 1
+        score = sum(weights[i] * np.log1p(1000 * n / total) for i, n in sorted(counts.items()))
         return _sigmoid(score - self.thresholds)
 
 
-def fit(features: list[dict[str, int]], grades: list[int], penalty: float = PENALTY, rounds: int = ROUNDS) -> Model:
+def fit(rows: list[dict[int, float]], grades: list[int], penalty: float = PENALTY, rounds: int = ROUNDS) -> Model:
     """Accelerated proximal gradient on the mean negative log-likelihood; thresholds stay ordered by their gaps' logarithms."""
     top = max(grades, default=0)
     if top < 1 or min(grades) > 0:
         return Model({}, np.full(max(1, top), np.inf if top < 1 else -np.inf))
-    df = Counter(w for f in features for w in f)
-    names = [w for w, n in sorted(df.items(), key=lambda x: (-x[1], x[0]))[:VOCABULARY] if n >= RARE]
-    number = {w: i for i, w in enumerate(names)}
     y = np.array(grades)
-    cells = [(i, number[w], np.log1p(n)) for i, f in enumerate(features) for w, n in f.items() if w in number]
-    row, col, val = (np.array(c, t) for c, t in zip(zip(*cells, strict=True) if cells else ((), (), ()), (int, int, float), strict=True))
+    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    col = np.fromiter((i for r in rows for i in r), np.int64, len(row))
+    val = np.fromiter((v for r in rows for v in r.values()), np.float64, len(row))
+    toxic, n = y[row] > 0, np.array([(y == 0).sum(), (y > 0).sum()])
+    sums = [np.bincount(col, val * (toxic == k), BUCKETS) / n[k] for k in (0, 1)]
+    spread = np.sqrt(np.bincount(col, val**2, BUCKETS) / len(y) + 1e-9)
+    apart = np.where(np.bincount(col, minlength=BUCKETS) >= RARE, np.abs(sums[1] - sums[0]) / spread, 0)
+    names = np.sort(np.argsort(-apart, kind="stable")[:SCREENED])
+    names = names[apart[names] > 0]
+    number = np.full(BUCKETS, -1)
+    number[names] = np.arange(len(names))
+    kept = number[col] >= 0
+    row, col, val = row[kept], number[col[kept]], val[kept]
     above = np.array([(y >= k).mean() for k in range(1, top + 1)]).clip(1e-3, 1 - 1e-3)
     t = -np.log(above / (1 - above))
     gaps = np.concatenate([t[:1], np.log(np.maximum(np.diff(t), 1e-2))])
@@ -110,7 +147,7 @@ def fit(features: list[dict[str, int]], grades: list[int], penalty: float = PENA
         ahead_w, ahead_g = nw + (momentum - 1) / grown * (nw - w), ng + (momentum - 1) / grown * (ng - gaps)
         last, w, gaps, momentum = new + penalty * np.abs(nw).sum(), nw, ng, grown
         step *= 1.3
-    return Model({names[i]: float(w[i]) for i in np.flatnonzero(np.abs(w) > 1e-6)}, thresholds(gaps))
+    return Model({int(names[i]): float(w[i]) for i in np.flatnonzero(np.abs(w) > 1e-6)}, thresholds(gaps))
 
 
 def train(docs: DataFrame, labels: DataFrame, grade: Column, id_col: str = "doc_id", text_col: str = "text", where: Column | None = None, max_rows: int = MAX_ROWS) -> Model:
@@ -133,22 +170,18 @@ def train(docs: DataFrame, labels: DataFrame, grade: Column, id_col: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            tops = []
-            for t in b.column(2).to_pylist():
-                seen: Counter[str] = Counter()
-                for chunk in words(t):
-                    seen.update(chunk)
-                tops.append(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:MAX_WORDS])
-            kind = pa.map_(pa.string(), pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(tops, kind)], ["id", "y", "seen"])
+            found = [features(t) for t in b.column(2).to_pylist()]
+            cols = [[np.fromiter(f.keys(), "<u4", len(f)).tobytes() for f in found], [np.fromiter(f.values(), "<f4", len(f)).tobytes() for f in found]]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, pa.binary()) for c in cols)], ["id", "y", "at", "x"])
 
     small_batches(spark)
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).where(F.col("t").isNotNull())
     ids = F.broadcast(spark.createDataFrame(keep, "id long, y int"))
-    found = text.join(ids, "id").dropDuplicates(["id", "y"]).select("id", "y", "t").mapInArrow(run, "id long, y int, seen map<string,int>").collect()
+    found = text.join(ids, "id").dropDuplicates(["id", "y"]).select("id", "y", "t").mapInArrow(run, "id long, y int, at binary, x binary").collect()
     found.sort(key=lambda r: (r.id, r.y))
     levels = sorted({r.y for r in found} | {0})
-    return fit([r.seen for r in found], [levels.index(r.y) for r in found])
+    rows = [dict(zip(np.frombuffer(r.at, "<u4").tolist(), np.frombuffer(r.x, "<f4").tolist(), strict=True)) for r in found]
+    return fit(rows, [levels.index(r.y) for r in found])
 
 
 def severity(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -156,11 +189,9 @@ def severity(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     A null or empty text has no feature, so it gets what the thresholds alone say. Null ids and repeated rows stay.
     """
-    few = {w for w in model.weights}
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ps = [model.at_least(t) for t in b.column(1).to_pylist()] if few or len(model.thresholds) else []
+            ps = [model.at_least(t) for t in b.column(1).to_pylist()]
             grade = [int(np.argmax(np.append(1, p) - np.append(p, 0))) for p in ps]
             cols = [pa.array([float(p.sum()) for p in ps]), pa.array(grade, pa.int32()), pa.array([float(p[0]) for p in ps]), pa.array([bool(p[0] >= 0.5) for p in ps], pa.bool_())]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], [id_col, "severity", "grade", "p_toxic", "toxic"])
