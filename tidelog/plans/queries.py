@@ -1,4 +1,578 @@
-"""Registered queries over the driver's tables."""
+"""Registered queries: every operator over the driver's tables, with its SQL for the oracle in `oracle`."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidelog.functions import formats, frames, generators, measure
+from tidelog.operators import catalog, layout, lookup, merge, runs, state
+from tidelog.plans.oracle import ORACLE_SQL
+from tidelog.plans.tables import events_log, names, orders_log, table, urls
+from tidelog.streaming import live as streams
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+#: Bytes at which the queries' write buffer is flushed.
+LIMIT = 8192
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+# State
+
+
+@query
+def live_state(spark, sf_dir):
+    return state.live(events_log(spark, sf_dir))
+
+
+@query
+def live_state_orders(spark, sf_dir):
+    return state.live(orders_log(spark, sf_dir))
+
+
+@query
+def latest_entry_with_tombstones(spark, sf_dir):
+    return state.latest(events_log(spark, sf_dir))
+
+
+@query
+def live_count_vs_entry_count(spark, sf_dir):
+    entries = state.latest(events_log(spark, sf_dir))
+    return entries.agg(F.count("*").alias("n_entries"), F.sum((~F.col("is_tombstone")).cast("long")).alias("n_live"))
+
+
+@query
+def point_get_hit(spark, sf_dir):
+    return state.point_get(events_log(spark, sf_dir), 7)
+
+
+@query
+def point_get_all_keys(spark, sf_dir):
+    """Every user's get, deleted ones included: value and whether it is found."""
+    log = events_log(spark, sf_dir)
+    return state.multi_get(log.select("key").distinct(), state.live(log))
+
+
+@query
+def point_get_missing(spark, sf_dir):
+    return state.point_get(events_log(spark, sf_dir), -1)
+
+
+@query
+def multi_get(spark, sf_dir):
+    keys = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"))
+    return state.multi_get(keys, state.live(orders_log(spark, sf_dir)))
+
+
+@query
+def membership_accuracy(spark, sf_dir):
+    """Users below twice the largest id, half of them never written; expected present where any event isn't an error."""
+    log = events_log(spark, sf_dir)
+    last = log.agg((F.max("key") * 2).alias("n"))
+    probes = last.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("n"))).alias("key"))
+    written = log.groupBy("key").agg(F.max((~F.col("is_tombstone")).cast("int")).alias("put"))
+    return state.accuracy(probes.join(written, "key", "left").select("key", (F.coalesce("put", F.lit(0)) == 1).alias("expected")), state.live(log))
+
+
+@query
+def range_scan(spark, sf_dir):
+    return state.KVFrame(events_log(spark, sf_dir)).range(3, 40)
+
+
+# Batches and the write buffer
+
+
+def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events_log(spark, sf_dir).select(F.floor(F.col("seq") / 100).alias("batch_id"), (F.col("seq") % 100).cast("int").alias("op_index"), "key", "value", "is_tombstone")
+
+
+@query
+def batch_replay(spark, sf_dir):
+    return state.replayed(batches(spark, sf_dir)).where(~F.col("is_tombstone")).select("key", "value")
+
+
+@query
+def batch_op_counts(spark, sf_dir):
+    return state.batch_counts(batches(spark, sf_dir)).select("batch_id", "n_ops", "n_deletes")
+
+
+@query
+def batch_size_accounting(spark, sf_dir):
+    return state.batch_counts(batches(spark, sf_dir)).select("batch_id", "bytes")
+
+
+@query
+def group_commit_batches(spark, sf_dir):
+    commit = state.group_commits(F.col("seq")).alias("commit_no")
+    return events_log(spark, sf_dir).groupBy(commit).agg(F.count("*").alias("n_writes"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+
+
+def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.generations(events_log(spark, sf_dir), LIMIT)
+
+
+@query
+def memtable_generations(spark, sf_dir):
+    return numbered(spark, sf_dir).groupBy("gen").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count("*").alias("n_ops"), F.sum(state.cost()).alias("bytes"))
+
+
+@query
+def generations_put_only(spark, sf_dir):
+    """Customers as puts in order of their key, which is dense from 0 or 1: generations by the closed form."""
+    rows = table(spark, sf_dir, "customer")
+    first = rows.agg(F.min("c_custkey").alias("least"))
+    gen = runs.put_only_generation(F.col("c_custkey") - F.col("least"), LIMIT)
+    return rows.join(F.broadcast(first)).groupBy(gen.alias("gen")).agg(F.count("*").alias("n_puts"), F.min("c_name").alias("min_key"), F.max("c_name").alias("max_key"))  # one row is broadcast
+
+
+@query
+def memtable_contents(spark, sf_dir):
+    """The write buffer that is still open: newest entries, tombstones included, and whether each counts as live."""
+    rows = numbered(spark, sf_dir)
+    shut = runs.full(rows, LIMIT).select("gen").distinct()
+    return state.latest(rows.join(shut, "gen", "left_anti")).select("key", "value", "is_tombstone")
+
+
+# Runs and levels
+
+
+def flushes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.flushed(runs.full(numbered(spark, sf_dir), LIMIT))
+
+
+def flushed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flushes(spark, sf_dir).withColumnRenamed("gen", "sstable_id")
+
+
+def n_flushes(entries: DataFrame, by: str = "gen") -> DataFrame:
+    return entries.agg((F.max(by) + 1).alias("flushes"))
+
+
+@query
+def flush_runs(spark, sf_dir):
+    return flushes(spark, sf_dir)
+
+
+@query
+def run_metadata(spark, sf_dir):
+    return runs.metadata(flushes(spark, sf_dir))
+
+
+def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(gen, level, run_no) of every flush, once all full levels are merged."""
+    rows = flushes(spark, sf_dir).select("gen").distinct()
+    level = runs.level_of(F.col("gen"), F.col("flushes"))
+    return rows.join(F.broadcast(n_flushes(rows))).withColumn("level", level).withColumn("run_no", runs.run_of(F.col("gen"), F.col("level")))  # one row is broadcast
+
+
+@query
+def level_placement(spark, sf_dir):
+    return placed(spark, sf_dir).select("gen", "level", "run_no")
+
+
+@query
+def level_file_counts(spark, sf_dir):
+    return placed(spark, sf_dir).groupBy("level").agg(F.countDistinct("run_no").alias("n_runs"))
+
+
+@query
+def total_run_count(spark, sf_dir):
+    return placed(spark, sf_dir).agg(F.countDistinct("level", "run_no").alias("n_runs"))
+
+
+@query
+def compaction_backlog(spark, sf_dir):
+    """Runs in flight if every level of two runs or more were being merged."""
+    counts = level_file_counts(spark, sf_dir)
+    return counts.agg(F.coalesce(F.sum(F.when(F.col("n_runs") >= 2, F.col("n_runs"))), F.lit(0)).cast("long").alias("backlog"))
+
+
+@query
+def filter_tier(spark, sf_dir):
+    return placed(spark, sf_dir).select("gen", "level", runs.filter_type(F.col("level")).alias("filter_type"))
+
+
+@query
+def flush_ids(spark, sf_dir):
+    rows = flushes(spark, sf_dir).select("gen").distinct()
+    return rows.select("gen", runs.flush_id(F.col("gen")).alias("sstable_id"))
+
+
+@query
+def run_file_names(spark, sf_dir):
+    rows = flushes(spark, sf_dir).select("gen").distinct()
+    return rows.select("gen", formats.run_name(F.lit(0), runs.flush_id(F.col("gen"))).alias("run_file"), formats.log_name(F.col("gen")).alias("log_file"))
+
+
+# Merging
+
+
+@query
+def merge_order(spark, sf_dir):
+    return merge.merge_order(flushed_runs(spark, sf_dir).select("sstable_id", "key", "is_tombstone")).select("pop_no", "key", "sstable_id", "is_tombstone")
+
+
+@query
+def kway_merge(spark, sf_dir):
+    return merge.kway_merge(flushed_runs(spark, sf_dir))
+
+
+@query
+def level_compaction(spark, sf_dir):
+    """The entries of every run after all merges: in each, the newest generation's; tombstones stay."""
+    at = placed(spark, sf_dir).select("gen", "level", "run_no")
+    rows = flushes(spark, sf_dir).join(at, "gen")
+    return state.latest(rows, "level", "run_no", order="gen")
+
+
+@query
+def compaction_preserves_live(spark, sf_dir):
+    """Differences between the live state of the log and that of its merged runs and open buffer: none."""
+    rows = numbered(spark, sf_dir)
+    shut = runs.full(rows, LIMIT)
+    merged = merge.compacted(runs.flushed(shut).withColumnRenamed("gen", "sstable_id")).withColumn("layer", F.lit(1))
+    rest = state.latest(rows.join(shut.select("gen").distinct(), "gen", "left_anti")).withColumn("layer", F.lit(0))
+    after = lookup.layered(rest.unionByName(merged)).where("found").select("key", "value")
+    return merge.differences(state.live(events_log(spark, sf_dir)), after)
+
+
+@query
+def run_set_difference(spark, sf_dir):
+    """Runs that stay when those of the lowest level are replaced."""
+    at = placed(spark, sf_dir).select("level", "run_no").distinct()
+    return at.join(at.where("level = 0"), ["level", "run_no"], "left_anti")
+
+
+# The read path
+
+
+def layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event log as layers: the last tenth in the buffer, the tenth before it frozen, the rest in four runs."""
+    log = events_log(spark, sf_dir)
+    n = log.agg((F.max("seq") + 1).alias("n"))
+    slot = F.floor(F.col("seq") * 10 / F.col("n"))
+    layer = F.when(slot == 9, 0).when(slot == 8, 1).otherwise(F.lit(5) - F.floor(slot / 2)).cast("int")
+    return state.latest(log.join(F.broadcast(n)).withColumn("layer", layer), "layer")  # one row is broadcast
+
+
+@query
+def layered_lookup(spark, sf_dir):
+    return lookup.layered(layers(spark, sf_dir))
+
+
+@query
+def runs_probed_per_get(spark, sf_dir):
+    entries = flushed_runs(spark, sf_dir)
+    probes = table(spark, sf_dir, "events").select(F.explode(F.array(F.col("user_id"), F.col("user_id") + 1000)).alias("key")).distinct()
+    return lookup.runs_probed(probes, runs.metadata(entries, "sstable_id"), entries)
+
+
+@query
+def run_overlap_pairs(spark, sf_dir):
+    meta = runs.metadata(order_runs(spark, sf_dir), "sstable_id")
+    return lookup.overlapping(meta.where("sstable_id % 2 = 0"), meta.where("sstable_id % 2 = 1"))
+
+
+def order_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty runs of customers by key range, some ranges meeting."""
+    rows = state.latest(orders_log(spark, sf_dir))
+    n = rows.agg((F.max("key") + 1).alias("n"))
+    cell = F.floor(F.col("key") * 10 / F.col("n"))
+    both = F.explode(F.array(cell * 2, F.when(F.col("key") % 3 == 0, F.least(cell + 1, F.lit(9)) * 2 + 1).otherwise(cell * 2 + 1)))
+    return rows.join(F.broadcast(n)).select(both.alias("sstable_id"), "key", "value", "is_tombstone")  # one row is broadcast
+
+
+@query
+def hull_overlap(spark, sf_dir):
+    meta = runs.metadata(order_runs(spark, sf_dir), "sstable_id")
+    return lookup.hull_overlapping(meta.where("sstable_id in (4, 6)"), meta.where("sstable_id % 2 = 1")).select("sstable_id", "min_key", "max_key")
+
+
+@query
+def sparse_index(spark, sf_dir):
+    return layout.restart_points(urls(spark, sf_dir)).select("block_no", "first_key")
+
+
+@query
+def index_floor_lookup(spark, sf_dir):
+    rows = urls(spark, sf_dir)
+    return lookup.floor_lookup(rows.select("sstable_id", "key"), layout.restart_points(rows)).select("key", "first_key", "block_no")
+
+
+@query
+def block_cache_trace(spark, sf_dir):
+    """A user's event reads the block of the user's ten neighbours in run 0 or 1."""
+    rows = table(spark, sf_dir, "events")
+    return lookup.cache_trace(rows.select(F.col("event_id").alias("access_no"), (F.col("user_id") % 2).alias("sstable_id"), (F.floor(F.col("user_id") / 10) * 4096).alias("offset")))
+
+
+# Layout
+
+
+@query
+def restart_points(spark, sf_dir):
+    return layout.numbered(names(spark, sf_dir)).select("key", "pos", (F.col("pos") % layout.RESTART_INTERVAL == 0).alias("is_restart"))
+
+
+@query
+def shared_prefix_len(spark, sf_dir):
+    shared = layout.shared_prefix(F.col("key"), F.col("before"))
+    return layout.numbered(urls(spark, sf_dir)).select("key", F.when(F.col("pos") % layout.RESTART_INTERVAL == 0, 0).otherwise(shared).cast("long").alias("shared"))
+
+
+@query
+def prefix_roundtrip(spark, sf_dir):
+    """Keys cut to their suffixes and rebuilt: how many, and how many differ."""
+    rows = layout.numbered(names(spark, sf_dir))
+    shared = F.when(F.col("pos") % layout.RESTART_INTERVAL == 0, 0).otherwise(layout.common_prefix(F.col("key"), F.col("before")))
+    cut = rows.select("sstable_id", "pos", "key", shared.alias("shared"))
+    suffixes = cut.select("sstable_id", "pos", "shared", F.substring(F.col("key"), F.col("shared").cast("int") + 1, F.length("key")).alias("suffix"))
+    back = layout.rebuilt(suffixes).withColumnRenamed("key", "again")
+    return cut.join(back, ["sstable_id", "pos"]).agg(F.count("*").alias("n_keys"), F.sum((F.col("key") != F.col("again")).cast("long")).alias("n_differ"))
+
+
+@query
+def block_packing(spark, sf_dir):
+    return layout.blocks(names(spark, sf_dir)).select("block_no", "first_key", "num_entries", "data_bytes", "restarts")
+
+
+@query
+def block_offsets(spark, sf_dir):
+    return layout.offsets(layout.blocks(names(spark, sf_dir))).select("block_no", "offset", layout.frame_bytes().alias("bytes"))
+
+
+@query
+def encoded_sizes(spark, sf_dir):
+    key, value, dead = F.col("key").cast("string"), F.col("value"), F.col("is_tombstone")
+    return events_log(spark, sf_dir).select("seq", layout.key_size(key).alias("key_bytes"), layout.value_size(value, dead).alias("value_bytes"), layout.log_size(key, value, dead).alias("log_bytes"))
+
+
+@query
+def space_amplification(spark, sf_dir):
+    """Bytes of each table's run, uncompressed by prefixes, over its raw bytes."""
+    sized = []
+    for name, rows in (("names", names(spark, sf_dir)), ("urls", urls(spark, sf_dir))):
+        disk = F.sum(layout.key_size(F.col("key")) + layout.value_size(F.col("value"), F.col("is_tombstone")) + layout.ENTRY)
+        raw = F.sum(F.octet_length("key") + F.octet_length("value")).cast("long")
+        sized.append(rows.agg(F.lit(name).alias("run"), disk.cast("long").alias("disk_bytes"), raw.alias("raw_bytes")))
+    ratio = layout.amplification(F.col("disk_bytes"), F.col("raw_bytes"))
+    return sized[0].unionByName(sized[1]).withColumn("ratio", ratio).withColumn("tier", layout.tier(F.col("ratio")))
+
+
+# Catalog and recovery
+
+
+def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog log that the flushes and merges of the event log leave behind."""
+    rows = flushes(spark, sf_dir).select("gen").distinct()
+    runs_of = lambda k: rows.where((F.col("gen") + 1) % 4**k == 0).select(F.col("gen"), F.lit(k).alias("level"), F.floor(F.col("gen") / 4**k).cast("long").alias("run_no"))
+    parts = []
+    for k in range(5):
+        made = runs_of(k)
+        own = made.select("gen", "level", "run_no", F.lit("add").alias("action"), F.lit(2 * k).alias("step"))
+        parts.append(own)
+        if k:
+            old = made.select("gen", F.lit(k - 1).alias("level"), F.explode(F.sequence(F.col("run_no") * 4, F.col("run_no") * 4 + 3)).alias("run_no"), F.lit("remove").alias("action"), F.lit(2 * k - 1).alias("step"))
+            parts.append(old)
+    log = parts[0]
+    for p in parts[1:]:
+        log = log.unionByName(p)
+    seq = (F.col("gen") * 64 + F.col("step") * 4).cast("long")
+    added = log.select(seq.alias("seq"), "action", "level", formats.run_name(F.col("level"), F.col("run_no")).alias("path"), F.lit(None).cast("long").alias("next_id"))
+    ids = rows.select((F.col("gen") * 64 + 1).alias("seq"), F.lit("next_id").alias("action"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("string").alias("path"), (runs.flush_id(F.col("gen")) + 1).alias("next_id"))
+    return added.unionByName(ids)
+
+
+@query
+def manifest_active_runs(spark, sf_dir):
+    return catalog.active_runs(manifest(spark, sf_dir))
+
+
+@query
+def manifest_next_id(spark, sf_dir):
+    return catalog.next_id(manifest(spark, sf_dir))
+
+
+def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A directory: a level-0 file for every flush, merged or not, the merged runs, and logs among other files."""
+    gens = flushes(spark, sf_dir).select("gen").distinct()
+    files = gens.select(formats.run_name(F.lit(0), F.col("gen")).alias("name"), (F.col("gen") + 1000).alias("length"))
+    merged = placed(spark, sf_dir).where("level > 0").select("level", "run_no").distinct()
+    files = files.unionByName(merged.select(formats.run_name(F.col("level"), F.col("run_no")).alias("name"), (F.col("run_no") + 2000).alias("length")))
+    others = gens.select(F.concat(formats.zero_pad(F.col("gen"), 6), F.when(F.col("gen") % 3 == 0, ".wal").when(F.col("gen") % 3 == 1, ".wal.bak").otherwise("x.wal")).alias("name"), (F.col("gen") * 7).alias("length"))
+    return files.unionByName(others)
+
+
+@query
+def orphan_files(spark, sf_dir):
+    return catalog.orphans(listing(spark, sf_dir), manifest(spark, sf_dir)).select("name", "length")
+
+
+@query
+def used_files(spark, sf_dir):
+    return catalog.used(listing(spark, sf_dir), manifest(spark, sf_dir)).select("name", "length")
+
+
+@query
+def log_discovery(spark, sf_dir):
+    return catalog.logs(listing(spark, sf_dir))
+
+
+@query
+def disk_usage(spark, sf_dir):
+    return catalog.disk_usage(listing(spark, sf_dir))
+
+
+@query
+def wal_replay(spark, sf_dir):
+    """The event log dealt over three logs by thirds, read in any order and replayed by log and place."""
+    log = events_log(spark, sf_dir)
+    n = log.agg((F.max("seq") + 1).alias("n"))
+    rows = log.join(F.broadcast(n)).withColumn("wal_id", F.floor(F.col("seq") * 3 / F.col("n"))).withColumnRenamed("seq", "pos")  # one row is broadcast
+    return state.live(rows, order=catalog.replay_order())
+
+
+@query
+def frame_verdicts(spark, sf_dir):
+    """Frames of the users' properties, whole and damaged in five ways."""
+    raw = frames.frame(F.coalesce(F.col("props"), F.lit("")).cast("binary"))
+    n = F.octet_length(raw)
+    kind = F.col("event_id") % 6
+    flipped = F.concat(F.substring(raw, F.lit(1), n - 1), F.unhex(F.lpad(F.hex(F.conv(F.hex(F.substring(raw, n, F.lit(1))), 16, 10).cast("long").bitwiseXOR(F.lit(255))), 2, "0")))
+    large = F.concat(F.substring(raw, 1, 4), F.unhex(F.lit("0000000400000001")), F.substring(raw, F.lit(13), n))
+    damaged = F.when(kind == 0, raw).when(kind == 1, F.substring(raw, 1, 3)).when(kind == 2, F.substring(raw, 1, 9)).when(kind == 3, F.substring(raw, F.lit(1), n - 1)).when(kind == 4, large).otherwise(flipped)
+    rows = table(spark, sf_dir, "events").where(F.octet_length("props") > 0)
+    return rows.select("event_id", F.octet_length(damaged).cast("long").alias("n_bytes"), frames.frame_verdict(damaged).alias("verdict"))
+
+
+@query
+def footer_verdicts(spark, sf_dir):
+    """Footers: whole, cut short, of another magic number, of a later version."""
+    kind = F.col("c_custkey") % 4
+    magic = F.when(kind == 2, F.lit("00" * 8)).otherwise(F.lit(frames.MAGIC))
+    version = F.when(kind == 3, F.lit("02000000")).otherwise(F.lit("01000000"))
+    foot = F.unhex(F.concat(F.lit("00" * 32), magic, version, F.lit("00" * 20)))
+    raw = F.concat(F.col("c_name").cast("binary"), F.when(kind == 1, F.substring(foot, 20, 40)).otherwise(foot))
+    return table(spark, sf_dir, "customer").select("c_custkey", frames.footer_verdict(raw).alias("verdict"))
+
+
+# Measurements and workloads
+
+
+@query
+def latency_percentiles(spark, sf_dir):
+    samples = table(spark, sf_dir, "events").select("event_type", F.floor("value").cast("long").alias("us"))
+    return measure.latencies(samples, ["event_type"])
+
+
+def phases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phase metrics from the event log: operations and seconds of each kind of event, per ten users."""
+    rows = table(spark, sf_dir, "events").select(F.floor(F.col("user_id") / 10).alias("config"), "event_type", "value")
+    phase = F.when(F.col("event_type") == "click", measure.DIRTY).when(F.col("event_type") == "view", measure.CLEANED).otherwise(F.col("event_type"))
+    return rows.groupBy("config", phase.alias("phase")).agg(F.count("*").alias("ops"), F.sum(F.floor("value")).cast("long").alias("ms"))
+
+
+@query
+def phase_report(spark, sf_dir):
+    seconds = F.col("ms") / 1000.0
+    return phases(spark, sf_dir).select("config", "phase", "ops", measure.ops_per_second(F.col("ops"), seconds).alias("ops_per_s"), measure.mean_us(F.col("ops"), seconds).alias("mean_us"))
+
+
+@query
+def read_improvement(spark, sf_dir):
+    return measure.read_improvement(phase_report(spark, sf_dir))
+
+
+@query
+def format_numbers(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") * 7919).alias("n"))
+    third = F.col("n") / 3.0
+    return rows.select("k", formats.thousands(F.col("n")).alias("grouped"), formats.short_float(F.floor(third)).alias("short"), formats.kilobytes(F.col("n")).alias("kb"), formats.zero_pad(F.col("n"), 5).alias("padded"))
+
+
+@query
+def lcg_keys(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("i"))
+    i = F.col("i")
+    kinds = {"sequential_key": "sequential", "random_key": "random", "striped_key": "striped"}
+    values = [generators.value(i, p, 12).alias(f"{p}_value") for p in ("v", "upd", "thr")]
+    return rows.select("i", generators.lcg(i).cast("string").alias("lcg"), *(generators.key(i, k, 16).alias(a) for a, k in kinds.items()), *values)
+
+
+@query
+def read_targets(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("i"))
+    return rows.select("i", generators.target(F.col("i"), 50_000).alias("read_target"), generators.target(F.col("i"), 50_000, generators.OVERWRITE).alias("overwrite_target"))
+
+
+def workload(spark: SparkSession, writes: int, overwrites: int, threads: int, deletes: int, pattern: str, pad: int) -> DataFrame:
+    """The benchmark's log: bulk puts, overwrites, the threads' rewrites, deletions."""
+    def phase(n: int, at: int, index, value):
+        i = spark.range(n)
+        return i.select((F.col("id") + at).alias("seq"), index(F.col("id")).alias("i"), value.alias("prefix"))
+
+    share = writes // threads if threads > 1 else 0
+    parts = [
+        phase(writes, 0, lambda c: c, F.lit("v")),
+        phase(overwrites, writes, lambda c: generators.target(c, writes, generators.OVERWRITE), F.lit("upd")),
+        phase(share * threads, writes + overwrites, lambda c: c, F.lit("thr")),
+        phase(deletes, writes + overwrites + share * threads, lambda c: c, F.lit(None).cast("string")),
+    ]
+    log = parts[0]
+    for p in parts[1:]:
+        log = log.unionByName(p)
+    return log.select("seq", generators.key(F.col("i"), pattern, pad).alias("key"), generators.value(F.col("i"), "", 16).alias("padded"), "prefix").select("seq", "key", F.concat("prefix", "padded").alias("value"), F.col("prefix").isNull().alias("is_tombstone"))
+
+
+@query
+def bench_end_state(spark, sf_dir):
+    """The benchmark's end state by the first bytes of the values: keys and their least and greatest."""
+    rows = state.live(workload(spark, 4000, 1000, 4, 500, "random", 24))
+    return rows.groupBy(F.substring("value", 1, 3).alias("kind")).agg(F.count("*").alias("n"), F.min("key").alias("min_key"), F.max("key").alias("max_key"))
+
+
+@query
+def bench_read_accuracy(spark, sf_dir):
+    """The benchmark's last phase: random reads, deleted indices expected absent."""
+    log = workload(spark, 4000, 1000, 4, 500, "random", 24)
+    at = generators.target(F.col("id"), 4000)
+    probes = spark.range(2000).select(generators.key(at, "random", 24).alias("key"), (at >= 500).alias("expected"))
+    return state.accuracy(probes, state.live(log))
+
+
+@query
+def bench_flush_counts(spark, sf_dir):
+    """Runs on disk at the end of each phase of two of the benchmark's configurations, in one partitioned pass each."""
+    out = None
+    for name, n, over, threads, dele, pattern, limit in (("SmallSeq", 50_000, 10_000, 1, 5_000, "sequential", 4 << 20), ("MediumRandom", 200_000, 50_000, 4, 25_000, "random", 8 << 20)):
+        log = workload(spark, n, over, threads, dele, pattern, 24).select("seq", "is_tombstone")
+        ends = [("bulk", n), ("overwrite", n + over)] + [("threads", 2 * n + over)] * (threads > 1)
+        ends.append(("delete", ends[-1][1] + dele))
+        gens = runs.generations(log, limit).groupBy("gen").agg(F.sum(state.cost()).alias("bytes"), F.max("seq").alias("last")).where(F.col("bytes") >= limit)
+        at = [F.struct(F.lit(name).alias("config"), F.lit(p).alias("phase"), F.sum((F.col("last") < end).cast("long")).alias("n")) for p, end in ends]
+        rows = gens.agg(F.array(*at).alias("r")).select(F.explode("r").alias("r")).select("r.config", "r.phase", F.coalesce("r.n", F.lit(0)).alias("n_runs"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query
+def space_keys(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("i"))
+    i = F.col("i")
+    return rows.select("i", generators.space_key(i, "prefixed", 10, "user_").alias("short_key"), generators.space_key(i, "prefixed", 4, "data_").alias("unpadded_key"), generators.space_key(i, "sequential", 10).alias("fixed_key"))
+
+
+# Streaming
+
+
+@query
+def stream_live_state(spark, sf_dir):
+    return streams.live_once(spark, sf_dir)
