@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch of whole texts; bounds a Python worker's memory by rows rather than by table size.
 TEXT_BATCH_ROWS = 256
+#: Keys (of 8 bytes) that are broadcast at most.
+FEW = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +55,34 @@ def small_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def only(df: DataFrame, key: Column, wanted: DataFrame, others: DataFrame) -> DataFrame:
+    """The rows of `df` whose key is in `wanted`. Both tables have one column, key; `others` holds the remaining keys.
+
+    Wide rows stay where they are if one of the tables has FEW keys at most: that one is broadcast. Else both sides are
+    shuffled. Rows with a null key go.
+    """
+    wanted, others, rows = wanted.select(F.col("key").alias("__key")), others.select(F.col("key").alias("__key")), df.where(key.isNotNull())
+    match = key == F.col("__key")
+    if wanted.count() <= FEW:
+        return rows.join(F.broadcast(wanted), match, "left_semi")
+    if others.count() <= FEW:
+        return rows.join(F.broadcast(others), match, "left_anti")
+    return rows.join(wanted.hint("shuffle_hash"), match, "left_semi")
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """`run`, after whose partition the worker gives back the memory that Arrow and malloc only keep for later."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return tidy
+
+
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str], value: str) -> Iterator[tuple[tuple, np.ndarray]]:
     """From batches sorted by integer key columns: each key with the values of all its rows."""
     last, kept = None, []

@@ -18,8 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import small_batches
-from tidelog.llm.tokens import encoder
+from tidelog.llm.common import small_batches, tidied
+from tidelog.llm.tokens import TOKEN_ROWS, encoder
 
 CAPACITY = 1024
 #: Remainders that a task packs together.
@@ -107,7 +107,7 @@ def packed(df: DataFrame, vocabulary: str, end_id: int = 0, id_col: str = "doc_i
         enc = encoder(vocabulary)
         for b in batches:
             found = []
-            for doc, ids in zip(b.column(0).to_pylist(), enc.ids(b.column(1).to_pylist()), strict=True):
+            for doc, ids in zip(b.column(0).to_pylist(), enc.ids(b.column(1)), strict=True):
                 ids += end
                 n, raw = len(ids) // 4, memoryview(ids)
                 for s in range(0, n, capacity):
@@ -124,5 +124,5 @@ def packed(df: DataFrame, vocabulary: str, end_id: int = 0, id_col: str = "doc_i
         if kept:
             yield flushed()
 
-    small_batches(df.sparkSession)
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, SCHEMA)
+    small_batches(df.sparkSession, TOKEN_ROWS)
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(tidied(run), SCHEMA)

@@ -27,8 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import scratch_path, small_batches, stored
-from tidelog.llm.tokens import encoder
+from tidelog.llm.common import scratch_path, small_batches, stored, tidied
+from tidelog.llm.tokens import TOKEN_ROWS, encoder
 
 BITS, LANES, BLOCK, TABLE = 16, 512, 1 << 16, 1 << 15
 #: Ids from which a segment is closed, and of a part of the files.
@@ -157,17 +157,29 @@ def read_segment(raw: bytes, table: Table, table_crc: int) -> tuple[list[int | N
 
 
 def tokenized(df: DataFrame, vocabulary: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n, crc, ids binary): ids in 16 bits where the vocabulary allows, else 32."""
+    """(id, n, crc, ids binary, counts binary): ids in 16 bits where the vocabulary allows, else 32.
+
+    Each task adds one row of which only `counts` isn't null: how often it met each id, 64 bits each.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
-        end, kind = np.array([end_id], "<u4").tobytes(), "<u2" if max(enc.size, end_id + 1) <= 1 << 16 else "<u4"
+        size = max(enc.size, end_id + 1)
+        end, kind, total = np.array([end_id], "<u4").tobytes(), "<u2" if size <= 1 << 16 else "<u4", np.zeros(size, np.int64)
+
+        def rows(*cols: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["id", "n", "crc", "ids", "counts"])
+
         for b in batches:
-            found = [x + end for x in enc.ids(b.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 4 for x in found], pa.int64()), pa.array([zlib.crc32(x) for x in found], pa.int64()), pa.array([np.frombuffer(x, "<u4").astype(kind).tobytes() for x in found], pa.binary())], ["id", "n", "crc", "ids"])
+            found = [x + end for x in enc.ids(b.column(1))]
+            for x in found:
+                own = np.bincount(np.frombuffer(x, "<u4"))
+                total[: len(own)] += own
+            yield rows(b.column(0).to_pylist(), [len(x) // 4 for x in found], [zlib.crc32(x) for x in found], [np.frombuffer(x, "<u4").astype(kind).tobytes() for x in found], [None] * len(found))
+        yield rows([None], [None], [None], [None], [total.tobytes()])
 
-    small_batches(df.sparkSession)
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "id long, n long, crc long, ids binary")
+    small_batches(df.sparkSession, TOKEN_ROWS)
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(tidied(run), "id long, n long, crc long, ids binary, counts binary")
 
 
 def _ids(raw: bytes, n: int) -> np.ndarray:
@@ -178,17 +190,14 @@ def _counts(rows: DataFrame) -> dict[int, int]:
     """How often each id occurs in all rows; as many entries as the vocabulary has at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
         for b in batches:
-            for n, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own = np.bincount(_ids(raw, n))
-                if len(own) > len(total):
-                    own, total = total, own
-                total[: len(own)] += own
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["i", "c"])
+            for raw in b.column(0).to_pylist():
+                total = np.frombuffer(raw, np.int64)
+                at = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["i", "c"])
 
-    return {r.i: r.c for r in rows.select("n", "ids").mapInArrow(run, "i long, c long").groupBy("i").agg(F.sum("c").alias("c")).collect()}
+    own = rows.where("counts is not null").select("counts")
+    return {r.i: r.c for r in own.mapInArrow(tidied(run), "i long, c long").groupBy("i").agg(F.sum("c").alias("c")).collect()}
 
 
 def write_ids(df: DataFrame, vocabulary: str, path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", segment_ids: int = SEGMENT, part_ids: int = PART) -> None:
@@ -199,6 +208,7 @@ def write_ids(df: DataFrame, vocabulary: str, path: str, end_id: int = 1, id_col
     spark = df.sparkSession
     rows = stored(tokenized(df, vocabulary, end_id, id_col, text_col), "ids")
     counts = _counts(rows)
+    rows = rows.where("counts is null").drop("counts")
     image = Table.of(counts).image()
     spark.createDataFrame([(bytearray(image),)], "image binary").coalesce(1).write.parquet(f"{path}/table")
     parts = max(spark.sparkContext.defaultParallelism, -(-sum(counts.values()) // part_ids))
@@ -225,7 +235,7 @@ def write_ids(df: DataFrame, vocabulary: str, path: str, end_id: int = 1, id_col
             yield closed()
 
     order = ["id", "n", "crc"]
-    rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("id", "n", "ids").mapInArrow(run, "part int, before long, n_ids long, image binary").write.parquet(f"{path}/segments")
+    rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("id", "n", "ids").mapInArrow(tidied(run), "part int, before long, n_ids long, image binary").write.parquet(f"{path}/segments")
 
 
 def read_ids(spark, path: str, id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
@@ -252,7 +262,7 @@ def read_ids(spark, path: str, id_col: str = "doc_id", with_ids: bool = False) -
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     small_batches(spark, 8)
-    return segments.select("part", "image").mapInArrow(run, f"{id_col} long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    return segments.select("part", "image").mapInArrow(tidied(run), f"{id_col} long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 
 def round_trip(df: DataFrame, vocabulary: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
