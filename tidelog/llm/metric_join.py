@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import Forest, small_batches, stored
+from tidelog.llm.common import Forest, small_batches, stored, tidied
 from tidelog.llm.components import connected_components
 
 MIN_COSINE = 0.95
@@ -66,16 +66,18 @@ def linked(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", mi
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             units = _unit(b.column(2))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(u) for u in units], pa.int32()), pa.array([u.astype("<f8").tobytes() for u in units], pa.binary())], ["rep", "n", "dim", "unit"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(u) for u in units], pa.int32()), pa.array([u.astype("<f8").tobytes() for u in units], pa.binary()), b.column(2)], ["rep", "n", "dim", "unit", "vec"])
 
-    small_batches(spark, 4 * VISITORS)
+    small_batches(spark, VISITORS)
     classes = good.groupBy("vec").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
-    units = stored(classes.select("rep", "n", "vec").mapInArrow(pack, "rep long, n long, dim int, unit binary"), "units")
+    packed = classes.select("rep", "n", "vec").mapInArrow(tidied(pack), "rep long, n long, dim int, unit binary, vec array<double>")
+    classes = stored(packed.withColumn("node", F.monotonically_increasing_id()), "units")  # a number of its own for each class
+    units = classes.select("node", "n", "dim", "unit")
     sizes = {x.dim: x.n for x in units.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # a row for each length of vector
 
     pivots: dict[int, np.ndarray] = {}
     for dim, n in sizes.items():
-        drawn = units.where(F.col("dim") == dim).orderBy(F.xxhash64("rep"), "rep", F.xxhash64("unit")).limit(min(MAX_PIVOTS, -(-n // block))).collect()
+        drawn = units.where(F.col("dim") == dim).orderBy(F.xxhash64("unit"), "unit").limit(min(MAX_PIVOTS, -(-n // block))).collect()
         pivots[dim] = np.array([np.frombuffer(x.unit, "<f8") for x in drawn])
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,10 +89,10 @@ def linked(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", mi
                 at = [i for i, x in enumerate(dims) if x == dim]
                 d = np.sqrt(np.maximum(0, 2 - 2 * np.array([us[i] for i in at]) @ pivots[dim].T))
                 home[at], dist[at] = d.argmin(axis=1), d.min(axis=1)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(home), pa.array(dist)], ["rep", "n", "dim", "unit", "home", "dist"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(home), pa.array(dist)], ["node", "n", "dim", "unit", "home", "dist"])
 
     small_batches(spark, VISITORS)
-    placed = stored(units.mapInArrow(nearest, "rep long, n long, dim int, unit binary, home int, dist double"), "cells")
+    placed = stored(units.mapInArrow(tidied(nearest), "node long, n long, dim int, unit binary, home int, dist double"), "cells")
     cells: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
     base = 0
     found = placed.groupBy("dim", "home").agg(F.count("*").alias("n"), F.max("dist").alias("d")).collect()  # a row for each pivot at most
@@ -121,7 +123,7 @@ def linked(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", mi
                         to.append(np.full(len(host), k))
                         guest.append(h[host] != k)
             rows = np.concatenate(at) if at else np.zeros(0, int)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(to), pa.int32()), pa.array(np.concatenate(guest)), b.column(0).take(rows), b.column(1).take(rows), b.column(3).take(rows)], ["block", "guest", "rep", "n", "unit"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(to), pa.int32()), pa.array(np.concatenate(guest)), b.column(0).take(rows), b.column(1).take(rows), b.column(3).take(rows)], ["block", "guest", "node", "n", "unit"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here: list[tuple] = []
@@ -158,8 +160,8 @@ def linked(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", mi
             state.pop("ids")
             return made(ids[some], state["links"][some], ids[roots[some]])
 
-        def made(rep: np.ndarray, links: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(links, pa.int64()), pa.array(root, pa.int64())], ["rep", "links", "root"])
+        def made(node: np.ndarray, links: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(links, pa.int64()), pa.array(root, pa.int64())], ["node", "links", "root"])
 
         last = None
         for b in batches:
@@ -190,13 +192,15 @@ def linked(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", mi
         if last is not None:
             yield ended()
 
-    dealt = placed.select("rep", "n", "dim", "unit", "home", F.pmod(F.xxhash64("rep", F.lit(11)), F.lit(1 << 20)).alias("salt")).mapInArrow(deal, "block int, guest boolean, rep long, n long, unit binary")
+    dealt = placed.select("node", "n", "dim", "unit", "home", F.pmod(F.xxhash64("node", F.lit(11)), F.lit(1 << 20)).alias("salt")).mapInArrow(tidied(deal), "block int, guest boolean, node long, n long, unit binary")
     tasks = min(max(base, spark.sparkContext.defaultParallelism), 4096)
-    near = stored(dealt.repartition(tasks, "block").sortWithinPartitions("block", "guest").mapInArrow(join, "rep long, links long, root long"), "links")
+    near = stored(dealt.repartition(tasks, "block").sortWithinPartitions("block", "guest").mapInArrow(tidied(join), "node long, links long, root long"), "links")
 
-    degree = near.groupBy("rep").agg(F.sum("links").alias("links"))
-    roots = connected_components(near, "rep", "root").select(F.col("node").alias("rep"), "root")
-    known = classes.join(degree, "rep", "left").join(roots, "rep", "left").select("vec", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+    degree = near.groupBy("node").agg(F.sum("links").alias("links"))
+    roots = connected_components(near, "node", "root")
+    rooted = classes.select("node", "rep", "n", "vec").join(degree, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
+    known = rooted.join(least, "root").select("vec", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
     rest = rows.where(~usable("vec") | F.col("id").isNull()).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = good.join(known, "vec").select("id", "n_links", "component_id").unionByName(rest)
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
