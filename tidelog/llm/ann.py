@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import small_batches, stored
+from tidelog.llm.common import small_batches, stored, tidied
 from tidelog.llm.metric_join import usable
 
 BITS, SUBSTRING = 128, 16
@@ -148,6 +148,6 @@ def nearest(df: DataFrame, queries, k: int = 10, id_col: str = "vec_id", vec_col
 
     small_batches(spark, 4096)
     tasks = min(max(n_rows * n_queries, spark.sparkContext.defaultParallelism), 4096)
-    found = grid.repartition(tasks, "r", "q").sortWithinPartitions("r", "q", "query").mapInArrow(run, "query_id long, id long, score double")
+    found = grid.repartition(tasks, "r", "q").sortWithinPartitions("r", "q", "query").mapInArrow(tidied(run), "query_id long, id long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "id")
     return stored(found, "neighbours").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import small_batches
+from tidelog.llm.common import small_batches, tidied
 
 BUCKETS, DIM, ORDERS = 1 << 13, 16, (2, 3, 4)
 #: Bounds of the training sample: languages (the most frequent ones), and rows of all languages together.
@@ -120,8 +120,10 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     names = sorted(r.l for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(max_languages).collect())
     if not names:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
-    first = Window.partitionBy("l").orderBy(F.xxhash64("id"), "id")
-    ids = rows.select("id", "l").where(F.col("l").isin(names)).withColumn("r", F.row_number().over(first)).where(F.col("r") <= max(1, max_rows // len(names)))
+    share, rank = max(1, max_rows // len(names)), [F.xxhash64("id"), F.col("id")]
+    ids = rows.select("id", "l", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(8)).alias("part")).where(F.col("l").isin(names))
+    for by in (["l", "part"], ["l"]):  # the first of each part hold the first of all, so a frequent label isn't ranked in one task
+        ids = ids.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(*rank))).where(F.col("r") <= share)
     ids = df.sparkSession.createDataFrame([(r.id, r.l) for r in ids.select("id", "l").distinct().collect()], "id long, l string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +134,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.binary(), pa.binary()), strict=True)], ["id", "l", "at", "x"])
 
     small_batches(df.sparkSession)
-    sample = rows.join(F.broadcast(ids), ["id", "l"]).dropDuplicates(["id", "l"]).select("id", "l", "t").mapInArrow(run, "id long, l string, at binary, x binary").collect()
+    sample = rows.join(F.broadcast(ids), ["id", "l"]).dropDuplicates(["id", "l"]).select("id", "l", "t").mapInArrow(tidied(run), "id long, l string, at binary, x binary").collect()
     sample.sort(key=lambda r: (hash((r.id * 2654435761) % 2**32), r.id, r.l))
     languages = sorted({r.l for r in sample})
     x = np.zeros((len(sample), BUCKETS), np.float32)
@@ -155,7 +157,7 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     small_batches(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long").alias("id"), held_out(id_col).alias("h"), F.col(text_col).cast("string").alias("t"))
-    return rows.mapInArrow(run, f"{id_col} long, held_out boolean, lang_pred string, score double, rejected boolean")
+    return rows.mapInArrow(tidied(run), f"{id_col} long, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
 def accepted(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -167,4 +169,4 @@ def accepted(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             yield b.filter(pa.array([not model.predict(t)[2] for t in b.column(at).to_pylist()], pa.bool_()))
 
     small_batches(df.sparkSession)
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidied(run), df.schema)

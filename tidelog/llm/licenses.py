@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import small_batches
+from tidelog.llm.common import small_batches, tidied
 
 #: Unknown sentences allowed between two sentences of a rule.
 GAP = 3
@@ -181,4 +181,4 @@ def licences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     small_batches(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-    return rows.mapInArrow(run, f"{id_col} long, n_sentences long, known array<string>, licences array<string>, spans array<string>")
+    return rows.mapInArrow(tidied(run), f"{id_col} long, n_sentences long, known array<string>, licences array<string>, spans array<string>")
