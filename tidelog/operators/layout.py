@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.operators import ranged
+
 BLOCK_SIZE, RESTART_INTERVAL = 4096, 16
 #: Bytes of a frame's checksum and length; of an entry's three lengths; of a string's length.
 FRAME, ENTRY, LENGTH = 12, 12, 8
@@ -48,9 +50,14 @@ def shared_prefix(key: Column, before: Column) -> Column:
 
 
 def numbered(entries: DataFrame, by: str = "sstable_id") -> DataFrame:
-    """Entries of runs with their 0-based place and the key before."""
-    order = Window.partitionBy(by).orderBy("key")
-    return entries.withColumn("pos", (F.row_number().over(order) - 1).cast("long")).withColumn("before", F.lag("key").over(order))
+    """Entries of runs with their 0-based place and the key before; a long run is dealt over many tasks."""
+    placed = ranged.ranged(entries, by, "key")
+    carry = ranged.carried(placed, by, __offset=(F.count("*"), "sum"), __last=(F.max("key"), "last"))
+    order = ranged.within(by, "key")
+    rows = placed.withColumn("__row", F.row_number().over(order)).withColumn("__lag", F.lag("key").over(order))
+    out = ranged.joined(rows, carry, by)
+    place = (F.col("__row") - 1 + F.coalesce("__offset", F.lit(0))).cast("long")
+    return out.select(*entries.columns, place.alias("pos"), F.coalesce("__lag", "__last").alias("before"))
 
 
 def restart_points(entries: DataFrame, by: str = "sstable_id", interval: int = RESTART_INTERVAL) -> DataFrame:
@@ -139,8 +146,11 @@ def frame_bytes() -> Column:
 
 def offsets(packed: DataFrame, by: str = "sstable_id") -> DataFrame:
     """Blocks with the byte offset at which each begins in its run's file."""
-    before = Window.partitionBy(by).orderBy("block_no").rowsBetween(Window.unboundedPreceding, -1)
-    return packed.withColumn("offset", F.coalesce(F.sum(frame_bytes()).over(before), F.lit(0)).cast("long"))
+    placed = ranged.ranged(packed.withColumn("__bytes", frame_bytes()), by, "block_no")
+    carry = ranged.carried(placed, by, __base=(F.sum("__bytes"), "sum"))
+    before = ranged.within(by, "block_no").rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.joined(placed.withColumn("__own", F.sum("__bytes").over(before)), carry, by)
+    return out.select(*packed.columns, (F.coalesce("__own", F.lit(0)) + F.coalesce("__base", F.lit(0))).cast("long").alias("offset"))
 
 
 def amplification(on_disk: Column, raw: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.operators import ranged
+
 
 def layered(entries: DataFrame) -> DataFrame:
     """From entries with layer (0 the newest): the first layer that has each key decides, tombstones hiding the rest."""
@@ -19,7 +21,7 @@ def in_range(key: Column, least: Column, most: Column) -> Column:
 def runs_probed(probes: DataFrame, runs: DataFrame, entries: DataFrame) -> DataFrame:
     """(key, n_probed): runs whose key range holds the probe, newest first, up to the one that has it.
 
-    `runs` is run metadata, one row a run; the planner decides whether it is small enough to be broadcast.
+    `runs` is run metadata, one row a run: with levels of less than four runs, a few dozen whatever the data's size.
     """
     keys = probes.select("key").distinct()
     hit = entries.groupBy("key").agg(F.max("sstable_id").alias("hit"))
@@ -51,13 +53,16 @@ def hull_overlapping(runs: DataFrame, level: DataFrame) -> DataFrame:
 def floor_lookup(probes: DataFrame, index: DataFrame, by: str = "sstable_id") -> DataFrame:
     """For each probe (by, key) the greatest first_key <= key of the index (by, first_key, block_no), null below the first.
 
-    Both are sorted together within `by`; the last index row seen is the floor.
+    Both are sorted together, a run over many tasks; the last index row seen is the floor, which partitions hand on.
     """
     rows = index.select(by, F.col("first_key").alias("key"), F.struct("first_key", "block_no").alias("floor"), F.lit(0).alias("side"))
     rows = rows.unionByName(probes.select(by, "key", F.lit(None).cast(rows.schema["floor"].dataType).alias("floor"), F.lit(1).alias("side")))
-    seen = Window.partitionBy(by).orderBy("key", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = rows.withColumn("floor", F.last("floor", ignorenulls=True).over(seen)).where("side = 1")
-    return found.select(by, "key", F.col("floor.first_key").alias("first_key"), F.col("floor.block_no").alias("block_no"))
+    placed = ranged.ranged(rows, by, "key", "side")
+    carry = ranged.carried(placed, by, __floor=(F.max("floor"), "last"))
+    seen = ranged.within(by, "key", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = ranged.joined(placed.withColumn("__own", F.last("floor", ignorenulls=True).over(seen)), carry, by).where("side = 1")
+    floor = F.coalesce("__own", "__floor")
+    return found.select(by, "key", floor["first_key"].alias("first_key"), floor["block_no"].alias("block_no"))
 
 
 def cache_trace(accesses: DataFrame) -> DataFrame:
