@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch of whole texts; bounds a Python worker's memory by rows rather than by table size.
 TEXT_BATCH_ROWS = 256
-#: Keys (of 8 bytes) that are broadcast at most.
-FEW = 2_000_000
+#: Keys that are broadcast at most; a hashed one takes some 70 bytes.
+FEW = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,15 +58,14 @@ def small_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
 def only(df: DataFrame, key: Column, wanted: DataFrame, others: DataFrame) -> DataFrame:
     """The rows of `df` whose key is in `wanted`. Both tables have one column, key; `others` holds the remaining keys.
 
-    Wide rows stay where they are if one of the tables has FEW keys at most: that one is broadcast. Else both sides are
-    shuffled. Rows with a null key go.
+    Wide rows stay where they are if one of the tables has FEW keys at most: the smaller one is broadcast. Else both sides
+    are shuffled. Rows with a null key go.
     """
     wanted, others, rows = wanted.select(F.col("key").alias("__key")), others.select(F.col("key").alias("__key")), df.where(key.isNotNull())
     match = key == F.col("__key")
-    if wanted.count() <= FEW:
-        return rows.join(F.broadcast(wanted), match, "left_semi")
-    if others.count() <= FEW:
-        return rows.join(F.broadcast(others), match, "left_anti")
+    n, m = wanted.count(), others.count()
+    if min(n, m) <= FEW:
+        return rows.join(F.broadcast(wanted), match, "left_semi") if n <= m else rows.join(F.broadcast(others), match, "left_anti")
     return rows.join(wanted.hint("shuffle_hash"), match, "left_semi")
 
 

@@ -2,8 +2,8 @@
 
 Every version of a text is a blob, named by the SHA-256 of its bytes. The ledger lists, for a blob and the version of the
 rules, the spans found; only pairs of blob and rule version that it lacks are scanned, each blob once however many paths
-(documents) hold it, and findings are joined back to all paths. A scan reads its blob from one path: paths are matched by
-id and blob together, so a blob with many copies is no hot key.
+(documents) hold it, and findings are joined back to all paths. A scan reads its blob from one path; which paths are read
+or left out is broadcast where that is few, so texts aren't shuffled.
 
 Matches' places come from the pieces between them: splitting by a pattern gives the lengths between its leftmost
 non-overlapping matches, and the matches give their own.
@@ -16,12 +16,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import scratch_path, stored
+from tidelog.llm.common import only, scratch_path, stored
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A kind of secret: the pattern, the group whose length counts, and the least length; shorter matches are dropped."""
+    """A kind of secret: the pattern, the group whose length counts, and the least length; shorter matches are dropped.
+
+    Where a match is a maximal run, the pattern itself can ask for the least length: a run that is too short has no part
+    that is long enough.
+    """
 
     kind: str
     pattern: str
@@ -32,37 +36,42 @@ class Rule:
 
 #: The base rules.
 BASE = (
-    Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, r"[:=]"),
-    Rule("access", r"AKIA[A-Z0-9]+", 0, 20, r"AKIA"),
-    Rule("hex", r"[0-9a-f]+", 0, 24, r"[0-9a-f]{24}"),
+    Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]"""),
+    Rule("access", r"AKIA[A-Z0-9]{16,}", 0, 20, r"AKIA[A-Z0-9]{16}"),
+    Rule("hex", r"[0-9a-f]{24,}", 0, 24, r"[0-9a-f]{24}"),
 )
 #: Rules that the method adds.
 ADDED = (
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0, r"PRIVATE KEY-----"),
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 0, 40, r"gh[pousr]_"),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 40, r"gh[pousr]_[A-Za-z0-9]{36}"),
 )
 RULES = BASE + ADDED
 VERSION = 1
+#: Spans (and blobs with spans, four times) that are broadcast at most, for redaction: some ten megabytes.
+FEW_SPANS = 200_000
 SPAN = "struct<start:long,rank:int,kind:string,end:long,least:boolean>"
 LEDGER = f"blob string, version int, spans array<{SPAN}>"
 
 
 def spans(text: Column, rule: Rule, rank: int) -> Column:
-    """The rule's spans in a text, by start: places in code points, end exclusive; `least`: whether the match is kept."""
-    lengths = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), lambda m: F.length(m).cast("long"))
-    kept = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)), lambda m: F.length(m) >= rule.least)
-    between = F.transform(F.split(text, rule.pattern, -1), lambda m: F.length(m).cast("long"))
+    """The rule's spans in a text, by start: places in code points, end exclusive; `least`: whether the match is kept.
+
+    The patterns are matched once a text (in the zipped arrays, outside the lambda, which would match them for each span).
+    """
+    length = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), lambda m: F.length(m).cast("long"))
+    kept = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)), lambda m: F.length(m) >= rule.least) if rule.group else F.transform(length, lambda n: n >= rule.least)
+    before = F.transform(F.split(text, rule.pattern, -1), lambda m: F.length(m).cast("long"))
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{SPAN}>").alias("found"))
 
-    def step(s: Column, i: Column) -> Column:
-        start = s["at"] + F.get(between, i)
-        end = start + F.get(lengths, i)
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), end.alias("end"), F.get(kept, i).alias("least"))
-        return F.struct(end.alias("at"), F.concat(s["found"], F.array(span)).alias("found"))
+    def step(s: Column, m: Column) -> Column:
+        start = s["at"] + m["before"]
+        end = start + m["length"]
+        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), end.alias("end"), m["kept"].alias("least"))
+        return F.struct(end.alias("at"), F.when(m["kept"], F.concat(s["found"], F.array(span))).otherwise(s["found"]).alias("found"))
 
-    n = F.size(lengths)
-    found = F.aggregate(F.sequence(F.lit(0), n - 1), zero, step, lambda s: F.filter(s["found"], lambda x: x["least"]))
-    return F.when(text.rlike(rule.hint) & (n > 0), found).otherwise(F.array().cast(f"array<{SPAN}>"))
+    matches = F.arrays_zip(before.alias("before"), length.alias("length"), kept.alias("kept"))  # what follows the last match has no length
+    found = F.aggregate(matches, zero, step, lambda s: s["found"])
+    return F.when(text.rlike(rule.hint), found).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -82,19 +91,27 @@ class Ledger:
         self.spark, self.path = spark, path or scratch_path(spark, "ledger")
         spark.createDataFrame([], LEDGER).write.mode("append").parquet(self.path)
 
-    def entries(self, version: int = VERSION) -> DataFrame:
-        """One entry for each blob of that rule version (a repeated append leaves equal entries)."""
-        return self.spark.read.schema(LEDGER).parquet(self.path).where(F.col("version") == version).groupBy("blob").agg(F.first("spans").alias("spans"))
+    def _of(self, version: int) -> DataFrame:
+        return self.spark.read.schema(LEDGER).parquet(self.path).where(F.col("version") == version)
+
+    def hits(self, version: int = VERSION) -> DataFrame:
+        """(blob, spans) of blobs with spans; entries that were appended twice are equal."""
+        return self._of(version).where(F.size("spans") > 0).select("blob", "spans").dropDuplicates(["blob"])
 
     def update(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, version: int = VERSION) -> DataFrame:
-        """Scan what is unseen, append it; returns (id, blob) of all rows."""
+        """Scan what is unseen, append it; returns (id, blob, key) of all rows.
+
+        Of the paths of an unseen blob, that of the smallest id is read. Paths are told apart by a hash of id and blob; if
+        two paths share a hash, either both are read or neither need be.
+        """
         text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-        paths = stored(docs.select(F.col(id_col).cast("long").alias("id"), blob_of(text).alias("blob")), "paths")
-        seen = self.spark.read.schema(LEDGER).parquet(self.path).where(F.col("version") == version).select("blob")
-        unseen = paths.join(seen, "blob", "left_anti").groupBy("blob").agg(F.min("id").alias("id")).select(F.col("blob").alias("b"), F.col("id").alias("i"))
-        rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), blob_of(text).alias("blob"))
-        due = rows.join(unseen.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("i")) & (F.col("blob") == F.col("b")), "left_semi")
-        scan(due, rules).select("blob", F.lit(version).alias("version"), "spans").write.mode("append").parquet(self.path)
+        rows = docs.select(F.col(id_col).cast("long").alias("id"), blob_of(text).alias("blob"), text.alias("text"))
+        key = F.xxhash64("id", "blob")
+        paths = stored(rows.select("id", "blob", key.alias("key")), "paths")
+        unseen = paths.join(self._of(version).select("blob"), "blob", "left_anti")
+        due = stored(unseen.groupBy("blob").agg(F.min("id").alias("id")).select(key.alias("key")), "due")
+        rest = paths.select("key").join(due, "key", "left_anti").distinct()
+        scan(only(rows, key, due, rest), rules).select("blob", F.lit(version).alias("version"), "spans").write.mode("append").parquet(self.path)
         return paths
 
 
@@ -109,9 +126,8 @@ def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     """
     ledger = ledger or Ledger(docs.sparkSession)
     paths = ledger.update(docs, id_col, text_col)
-    hits = ledger.entries().where(F.size("spans") > 0)
     none = F.array().cast(f"array<{SPAN}>")
-    return paths.join(hits, "blob", "left").select("id", "blob", F.coalesce("spans", none).alias("spans"))
+    return paths.join(ledger.hits(), "blob", "left").select("id", "blob", F.coalesce("spans", none).alias("spans"))
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger: Ledger | None = None) -> DataFrame:
@@ -131,7 +147,11 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
     Where a text changes and there is a column n_chars, that becomes the text's new length.
     """
     at = "__secret"
-    hits = findings(docs, id_col, text_col).where(F.size("spans") > 0).select(F.col("id").alias(f"{at}_id"), F.col("blob").alias(f"{at}_blob"), F.col("spans").alias(f"{at}_spans")).distinct()
+    ledger = Ledger(docs.sparkSession)
+    ledger.update(docs, id_col, text_col)
+    hits = ledger.hits().select(F.col("blob").alias(f"{at}_blob"), F.col("spans").alias(f"{at}_spans"))
+    if hits.agg(F.coalesce(F.sum(F.size(f"{at}_spans") + 4), F.lit(0))).first()[0] <= FEW_SPANS:
+        hits = F.broadcast(hits)
     text, found = F.col(text_col), F.col(f"{at}_spans")
     zero = F.struct(F.array().cast("array<struct<b:long,e:long>>").alias("cuts"), F.lit(0).cast("long").alias("end"))
 
@@ -144,8 +164,9 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
 
     whole = F.aggregate(found, zero, step, lambda s: F.concat(s["cuts"], F.array(F.struct(s["end"].alias("b"), F.length(text).cast("long").alias("e")))))
     new = F.when(found.isNull(), text).otherwise(F.array_join(F.transform(whole, piece), mask))
-    rows = docs.join(hits, F.col(id_col).cast("long").eqNullSafe(F.col(f"{at}_id")) & (blob_of(text.cast("string")) == F.col(f"{at}_blob")), "left")
-    changed = {text_col: new.alias(text_col)}
+    rows = docs.join(hits, blob_of(text.cast("string")) == F.col(f"{at}_blob"), "left")
+    rows = rows.withColumn(f"{at}_text", new)  # a step of its own: a lambda must not see the new column for the old
+    changed = {text_col: F.col(f"{at}_text").alias(text_col)}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(found.isNull(), F.col("n_chars")).otherwise(F.length(new)).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+        changed["n_chars"] = F.when(found.isNull(), F.col("n_chars")).otherwise(F.length(f"{at}_text")).cast(docs.schema["n_chars"].dataType).alias("n_chars")
     return rows.select(*(changed.get(c, F.col(c)) for c in docs.columns))
