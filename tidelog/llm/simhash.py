@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import Forest, cut, groups, small_batches, stored
+from tidelog.llm.common import Forest, cut, groups, only, small_batches, stored, tidied
 from tidelog.llm.components import connected_components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -73,7 +73,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["id", "fp"])
 
     small_batches(df.sparkSession)
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "id long, fp long")
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(tidied(run), "id long, fp long")
 
 
 def bit_planes(fps: np.ndarray) -> np.ndarray:
@@ -156,7 +156,7 @@ def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tidied(run), "a long, b long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, width: int = SHINGLE, block: int = BLOCK) -> DataFrame:
@@ -178,9 +178,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """`df` with one row of each component: that of the smallest id. Rows with a null id go; columns stay."""
     found = near_duplicates(df, id_col, text_col, **how)
-    kept = cut(found.where("id = component_id").groupBy("id").agg(F.count("*").alias("n")))
-    out = df.join(kept.select(F.col("id").alias(id_col)), id_col, "left_semi").select(*df.columns)
-    return out.dropDuplicates([id_col]) if kept.where("n > 1").take(1) else out
+    kept = cut(found.where("id is not null").groupBy("id").agg((F.min("component_id") == F.col("id")).alias("stays"), F.count("*").alias("n")))
+    ids = F.col("id").alias("key")
+    out = only(df, F.col(id_col), kept.where("stays").select(ids), kept.where("not stays").select(ids))
+    return out.dropDuplicates([id_col]) if kept.where("stays and n > 1").take(1) else out
 
 
 def hex_digits(fp: str = "fp"):
