@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,10 +52,14 @@ class Files:
         return self.fs.getContentSummary(self._path(path)).getLength() if self.fs.exists(self._path(path)) else 0
 
 
-def checksum() -> Column:
-    """Of a mutation's key, value and kind, by their text."""
-    text = [F.coalesce(F.to_json(F.struct(c)), F.lit("")) for c in ("key", "value", "is_tombstone")]
-    return F.crc32(F.concat_ws("\0", *text).cast("binary"))
+def checksum(schema: T.StructType) -> Column:
+    """Of a mutation's key, value and kind, by their text; a null value has a text of its own."""
+
+    def text(c: str) -> Column:
+        nested = isinstance(schema[c].dataType, (T.StructType, T.ArrayType, T.MapType))
+        return F.coalesce(F.to_json(c) if nested else F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+
+    return F.crc32(F.concat_ws("\0", text("key"), text("value"), F.col("is_tombstone").cast("string")).cast("binary"))
 
 
 class Store:
@@ -86,7 +90,7 @@ class Store:
         logs = self.log_ids()
         self.log_id = max(logs, default=0)
         if logs:
-            bad = self.log().where(F.col("crc").isNull() | (F.col("crc") != checksum())).limit(1).count()
+            bad = self.log().where(F.col("crc").isNull() | (F.col("crc") != checksum(self.schema))).limit(1).count()
             if bad:
                 raise CorruptionError("a log record doesn't match its checksum")
         last = self.entries().agg(F.max("seq")).first()[0]
@@ -166,13 +170,14 @@ class Store:
     # Writing
 
     def write_frame(self, batch: DataFrame, index: str = "op_index") -> None:
-        """A batch (op_index from 0, key, value, is_tombstone) in one commit; an empty one changes nothing."""
+        """A batch (op_index from 0, key, value, is_tombstone) in one commit; an empty one changes no state."""
         rows = batch.select((F.col(index) + F.lit(self.next_seq)).cast("long").alias("seq"), "key", F.when(~F.col("is_tombstone"), F.col("value")).alias("value"), "is_tombstone")
-        size = rows.agg(F.count("*").alias("n"), F.max("seq").alias("last"), F.sum(state.cost()).alias("bytes")).first()
-        if not size.n:
+        seen = Observation()  # counted while it is written
+        counted = rows.observe(seen, F.count("*").alias("n"), F.max("seq").alias("last"), F.sum(state.cost()).alias("bytes"))
+        counted.withColumn("crc", checksum(self.schema)).write.mode("append").parquet(f"{self.path}/wal/{self.log_id:06}.wal")
+        if not seen.get["n"]:
             return
-        rows.withColumn("crc", checksum()).write.mode("append").parquet(f"{self.path}/wal/{self.log_id:06}.wal")
-        self.next_seq, self.buffered = size.last + 1, self.buffered + size.bytes
+        self.next_seq, self.buffered = seen.get["last"] + 1, self.buffered + seen.get["bytes"]
         if self.buffered >= self.limit:
             self.flush()
 
