@@ -35,13 +35,18 @@ def usable(vec: str):
     return F.coalesce(x.isNotNull() & ~bad & F.exists(x, lambda v: v != 0), F.lit(False))
 
 
-def _unit(col: pa.Array) -> list[np.ndarray]:
-    out = []
-    for v in col.to_pylist():
-        x = np.array(v, np.float64)
-        x /= np.abs(x).max()  # neither overflows nor vanishes when squared
-        out.append(x / np.sqrt((x * x).sum()))
-    return out
+def _raw(vector: list[float]) -> bytes:
+    """A vector's components, in 32 bits each where that loses nothing."""
+    wide = np.array(vector, "<f8")
+    with np.errstate(over="ignore"):
+        narrow = wide.astype("<f4")
+    return (narrow if np.array_equal(narrow, wide) else wide).tobytes()
+
+
+def _units(raws: list[bytes], dim: int) -> np.ndarray:
+    x = np.array([np.frombuffer(r, "<f4" if len(r) == 4 * dim else "<f8") for r in raws], np.float64).reshape(len(raws), dim)
+    x /= np.abs(x).max(axis=1, keepdims=True)  # neither overflows nor vanishes when squared
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
 def _sent(units: np.ndarray, pivots: np.ndarray, home: np.ndarray, radii: np.ndarray, r: float) -> np.ndarray:
@@ -65,34 +70,34 @@ def linked(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", mi
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            units = _unit(b.column(2))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(u) for u in units], pa.int32()), pa.array([u.astype("<f8").tobytes() for u in units], pa.binary()), b.column(2)], ["rep", "n", "dim", "unit", "vec"])
+            vecs = b.column(2).to_pylist()
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(v) for v in vecs], pa.int32()), pa.array([_raw(v) for v in vecs], pa.binary()), b.column(2)], ["rep", "n", "dim", "raw", "vec"])
 
     small_batches(spark, VISITORS)
     classes = good.groupBy("vec").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
-    packed = classes.select("rep", "n", "vec").mapInArrow(tidied(pack), "rep long, n long, dim int, unit binary, vec array<double>")
+    packed = classes.select("rep", "n", "vec").mapInArrow(tidied(pack), "rep long, n long, dim int, raw binary, vec array<double>")
     classes = stored(packed.withColumn("node", F.monotonically_increasing_id()), "units")  # a number of its own for each class
-    units = classes.select("node", "n", "dim", "unit")
+    units = classes.select("node", "n", "dim", "raw")
     sizes = {x.dim: x.n for x in units.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # a row for each length of vector
 
     pivots: dict[int, np.ndarray] = {}
     for dim, n in sizes.items():
-        drawn = units.where(F.col("dim") == dim).orderBy(F.xxhash64("unit"), "unit").limit(min(MAX_PIVOTS, -(-n // block))).collect()
-        pivots[dim] = np.array([np.frombuffer(x.unit, "<f8") for x in drawn])
+        drawn = units.where(F.col("dim") == dim).orderBy(F.xxhash64("raw"), "raw").limit(min(MAX_PIVOTS, -(-n // block))).collect()
+        pivots[dim] = _units([bytes(x.raw) for x in drawn], dim)
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             dims = b.column(2).to_pylist()
-            us = [np.frombuffer(u, "<f8") for u in b.column(3).to_pylist()]
-            home, dist = np.zeros(len(us), np.int32), np.zeros(len(us))
+            raws = b.column(3).to_pylist()
+            home, dist = np.zeros(len(raws), np.int32), np.zeros(len(raws))
             for dim in set(dims):
                 at = [i for i, x in enumerate(dims) if x == dim]
-                d = np.sqrt(np.maximum(0, 2 - 2 * np.array([us[i] for i in at]) @ pivots[dim].T))
+                d = np.sqrt(np.maximum(0, 2 - 2 * _units([raws[i] for i in at], dim) @ pivots[dim].T))
                 home[at], dist[at] = d.argmin(axis=1), d.min(axis=1)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(home), pa.array(dist)], ["node", "n", "dim", "unit", "home", "dist"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(home), pa.array(dist)], ["node", "n", "dim", "raw", "home", "dist"])
 
     small_batches(spark, VISITORS)
-    placed = stored(units.mapInArrow(tidied(nearest), "node long, n long, dim int, unit binary, home int, dist double"), "cells")
+    placed = stored(units.mapInArrow(tidied(nearest), "node long, n long, dim int, raw binary, home int, dist double"), "cells")
     cells: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
     base = 0
     found = placed.groupBy("dim", "home").agg(F.count("*").alias("n"), F.max("dist").alias("d")).collect()  # a row for each pivot at most
@@ -107,14 +112,14 @@ def linked(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", mi
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            dims, us = b.column(2).to_numpy(), [np.frombuffer(u, "<f8") for u in b.column(3).to_pylist()]
+            dims, raws = b.column(2).to_numpy(), b.column(3).to_pylist()
             home, salt = b.column(4).to_numpy(), b.column(5).to_numpy()
             at, to, guest = [], [], []
             for dim in np.unique(dims).tolist():
                 own = np.flatnonzero(dims == dim)
                 radii, parts, starts = cells[dim]
                 h = starts[home[own]] + salt[own] % parts[home[own]]
-                sent = _sent(np.array([us[i] for i in own]), pivots[dim], home[own], radii, r)
+                sent = _sent(_units([raws[i] for i in own], dim), pivots[dim], home[own], radii, r)
                 for cell in range(len(parts)):
                     who = np.flatnonzero(sent[:, cell])
                     for k in range(int(starts[cell]), int(starts[cell] + parts[cell])):
@@ -123,7 +128,7 @@ def linked(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", mi
                         to.append(np.full(len(host), k))
                         guest.append(h[host] != k)
             rows = np.concatenate(at) if at else np.zeros(0, int)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(to), pa.int32()), pa.array(np.concatenate(guest)), b.column(0).take(rows), b.column(1).take(rows), b.column(3).take(rows)], ["block", "guest", "node", "n", "unit"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(to), pa.int32()), pa.array(np.concatenate(guest)), b.column(0).take(rows), *(b.column(k).take(rows) for k in (1, 2, 3))], ["block", "guest", "node", "n", "dim", "raw"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here: list[tuple] = []
@@ -131,8 +136,7 @@ def linked(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", mi
 
         def settle() -> None:
             """Link a block's own vectors with each other once they are all there."""
-            ids, n, raw = (np.concatenate([h[k] for h in here]) if k < 2 else [u for h in here for u in h[2]] for k in range(3))
-            u = np.array([np.frombuffer(x, "<f8") for x in raw])
+            ids, n, u = (np.concatenate([h[k] for h in here]) for k in range(3))
             state.update(ids=ids, n=n, u=u, u32=u.astype(np.float32), links=np.zeros(len(ids), np.int64), forest=Forest(len(ids)))
             here.clear()
             for i in range(0, len(ids), VISITORS):
@@ -172,14 +176,14 @@ def linked(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", mi
                     if last is not None:
                         yield ended()
                     last = blocks[s]
-                own = (b.column(2)[s:e].to_numpy(), b.column(3)[s:e].to_numpy(), b.column(4)[s:e].to_pylist())
+                own = (b.column(2)[s:e].to_numpy(), b.column(3)[s:e].to_numpy(), _units(b.column(5)[s:e].to_pylist(), b.column(4)[int(s)].as_py()))
                 if not guests[s]:
                     here.append(own)
                     continue
                 if here:
                     settle()
-                ids, n, raw = own
-                x, y = near(np.array([np.frombuffer(v, "<f8") for v in raw]))
+                ids, n, units = own
+                x, y = near(units)
                 if len(x):
                     np.add.at(state["links"], y, n[x])
                     who, first = np.unique(x, return_index=True)
@@ -192,7 +196,7 @@ def linked(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", mi
         if last is not None:
             yield ended()
 
-    dealt = placed.select("node", "n", "dim", "unit", "home", F.pmod(F.xxhash64("node", F.lit(11)), F.lit(1 << 20)).alias("salt")).mapInArrow(tidied(deal), "block int, guest boolean, node long, n long, unit binary")
+    dealt = placed.select("node", "n", "dim", "raw", "home", F.pmod(F.xxhash64("node", F.lit(11)), F.lit(1 << 20)).alias("salt")).mapInArrow(tidied(deal), "block int, guest boolean, node long, n long, dim int, raw binary")
     tasks = min(max(base, spark.sparkContext.defaultParallelism), 4096)
     near = stored(dealt.repartition(tasks, "block").sortWithinPartitions("block", "guest").mapInArrow(tidied(join), "node long, links long, root long"), "links")
 
