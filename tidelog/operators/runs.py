@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.operators.state import PUT_COST, cost, latest
-from tidelog.sources.shared import cut
+from tidelog.sources.shared import batch_rows, cut
 
 FANOUT = 4
 #: Levels beyond which no run can lie: 4^16 flushes.
@@ -46,6 +46,7 @@ def generations(log: DataFrame, limit: int, size: Column | None = None, partitio
     `size` is an entry's size, shallow unless given; a size of 0 or a null one counts as nothing. Seq is taken as unique.
     """
     spark = log.sparkSession
+    batch_rows(spark)
     sized = log.withColumn("__size", F.coalesce(size if size is not None else cost(), F.lit(0)).cast("long"))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = cut(sized.repartitionByRange(n, "seq").sortWithinPartitions("seq").withColumn("__part", F.spark_partition_id()))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,21 +11,35 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where none is set (tests)."""
+    """spark.checkpoint.dir; a temporary folder, gone with the process, only where none is set (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tidelog-shared-")
+        own = tempfile.mkdtemp(prefix="tidelog-shared-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        found = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
 def scratch(spark: SparkSession, name: str) -> str:
+    """A new path for a table that lives until drop_scratch()."""
     return f"{shared_dir(spark).rstrip('/')}/tidelog/{name}-{uuid.uuid4().hex}"
 
 
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete all tables made under scratch(); frames that read them are of no more use."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/tidelog")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """`df` from a checkpoint in the shared folder: the same partitions, whatever is lost."""
     sc, found = df.sparkSession.sparkContext, shared_dir(df.sparkSession)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(found)
     return df.checkpoint(eager=True)
+
+
+def batch_rows(spark: SparkSession, rows: int = 10_000) -> None:
+    """Rows of the Arrow batches that Python gets from now on."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
