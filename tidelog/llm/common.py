@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.sources.shared import batch_rows
+from tidelog.sources.shared import cut as cut
+from tidelog.sources.shared import scratch as scratch_path
+
 #: Rows in an Arrow batch of whole texts; bounds a Python worker's memory by rows rather than by table size.
 TEXT_BATCH_ROWS = 256
 #: Keys that are broadcast at most; a hashed one takes some 70 bytes.
@@ -22,28 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one only where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tidelog-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/tidelog/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder, so that a lost executor costs no recomputation."""
-    sc = df.sparkSession.sparkContext
-    found = shared_dir(df.sparkSession)
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(found)
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write to a table in the shared folder and read it back: a checkpoint in columnar, compressed form."""
     path = scratch_path(df.sparkSession, name)
@@ -52,7 +32,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    batch_rows(spark, rows)
 
 
 def only(df: DataFrame, key: Column, wanted: DataFrame, others: DataFrame) -> DataFrame:
