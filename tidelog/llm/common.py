@@ -16,6 +16,8 @@ from tidelog.sources.shared import scratch as scratch_path
 
 #: Rows in an Arrow batch of whole texts; bounds a Python worker's memory by rows rather than by table size.
 TEXT_BATCH_ROWS = 256
+#: Bytes of files under which partitions are put together.
+SMALL = 8 << 20
 #: Keys that are broadcast at most; a hashed one takes some 70 bytes.
 FEW = 1_000_000
 
@@ -24,10 +26,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write to a table in the shared folder and read it back: a checkpoint in columnar, compressed form."""
+def parts(df: DataFrame) -> int:
+    """Partitions that suit a table's size, by its plan's estimate: of SMALL bytes at least, but two for each core."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(2 * df.sparkSession.sparkContext.defaultParallelism, min(-(-size // SMALL), 1 << 30))
+
+
+def scanned(df: DataFrame) -> DataFrame:
+    """`df` in fewer partitions where its files are many and small, so that what is written from it isn't; no shuffle."""
+    return df.coalesce(parts(df))
+
+
+def stored(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    """Write to a table in the shared folder and read it back: a checkpoint in columnar, compressed form.
+
+    A narrow table's small partitions are put together first (adaptive execution sees how many are needed).
+    """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.hint("rebalance") if narrow else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

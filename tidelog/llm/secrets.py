@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import only, scratch_path, stored
+from tidelog.llm.common import only, scanned, scratch_path, stored
 
 
 @dataclass(frozen=True)
@@ -105,13 +105,13 @@ class Ledger:
         two paths share a hash, either both are read or neither need be.
         """
         text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-        rows = docs.select(F.col(id_col).cast("long").alias("id"), blob_of(text).alias("blob"), text.alias("text"))
+        rows = scanned(docs).select(F.col(id_col).cast("long").alias("id"), blob_of(text).alias("blob"), text.alias("text"))
         key = F.xxhash64("id", "blob")
-        paths = stored(rows.select("id", "blob", key.alias("key")), "paths")
+        paths = stored(rows.select("id", "blob", key.alias("key")), "paths", narrow=True)
         unseen = paths.join(self._of(version).select("blob"), "blob", "left_anti")
-        due = stored(unseen.groupBy("blob").agg(F.min("id").alias("id")).select(key.alias("key")), "due")
+        due = stored(unseen.groupBy("blob").agg(F.min("id").alias("id")).select(key.alias("key")), "due", narrow=True)
         rest = paths.select("key").join(due, "key", "left_anti").distinct()
-        scan(only(rows, key, due, rest), rules).select("blob", F.lit(version).alias("version"), "spans").write.mode("append").parquet(self.path)
+        scan(only(rows, key, due, rest), rules).select("blob", F.lit(version).alias("version"), "spans").hint("rebalance").write.mode("append").parquet(self.path)
         return paths
 
 
@@ -164,7 +164,7 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
 
     whole = F.aggregate(found, zero, step, lambda s: F.concat(s["cuts"], F.array(F.struct(s["end"].alias("b"), F.length(text).cast("long").alias("e")))))
     new = F.when(found.isNull(), text).otherwise(F.array_join(F.transform(whole, piece), mask))
-    rows = docs.join(hits, blob_of(text.cast("string")) == F.col(f"{at}_blob"), "left")
+    rows = scanned(docs).join(hits, blob_of(text.cast("string")) == F.col(f"{at}_blob"), "left")
     rows = rows.withColumn(f"{at}_text", new)  # a step of its own: a lambda must not see the new column for the old
     changed = {text_col: F.col(f"{at}_text").alias(text_col)}
     if "n_chars" in docs.columns:
