@@ -62,7 +62,45 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_langid, op2_licenses, op3_toxicity, op4_simhash, op5_metric_join, op6_secrets, op7_token_ids, op8_packing, op9_ann, op10_mixing)}
 
+
+def _secrets_sql() -> str:
+    """Places from the lengths of the matches and of what lies between them, rule by rule."""
+    parts = []
+    for rank, r in enumerate(secrets.RULES):
+        p = r.pattern.replace("'", "''")
+        parts.append(f"""SELECT doc, {rank} AS rank, '{r.kind}' AS kind, {r.least} AS least, regexp_extract_all(t, '{p}', 0) AS whole,
+regexp_extract_all(t, '{p}', {r.group}) AS val, string_split_regex(t, '{p}') AS gaps FROM d WHERE regexp_matches(t, '{p}')""")
+    counts = ", ".join(f"(count(*) FILTER (rank = {i}))::BIGINT AS n_{r.kind}" for i, r in enumerate(secrets.BASE))
+    listed = "string_agg(kind || ':' || b || ':' || (b + n), ',' ORDER BY b, rank)"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS doc, doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({" UNION ALL ".join(parts)}),
+i AS (SELECT *, unnest(range(1, len(whole) + 1)) AS i FROM m),
+s AS (
+  SELECT doc, rank, kind, least, length(val[i]) AS size, length(whole[i]) AS n,
+         (list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(whole[1:i - 1], lambda x: length(x))), 0))::BIGINT AS b FROM i
+),
+g AS (
+  SELECT doc, {counts}, {listed} AS spans, {listed} FILTER (rank < {len(secrets.BASE)}) AS base FROM s WHERE size >= least GROUP BY doc
+)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in secrets.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, sha256(t) AS blob
+FROM d LEFT JOIN g USING (doc)
+"""
+
+
 ORACLE_SQL = {
+    "op5_metric_join": f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= {metric_join.MIN_COSINE}),
+r AS (SELECT vec_id AS n, vec_id AS c FROM embeddings UNION SELECT p.b, r.c FROM r JOIN p ON p.a = r.n),
+c AS (SELECT n AS vec_id, min(c) AS component_id FROM r GROUP BY n),
+l AS (SELECT a AS vec_id, count(*) AS n FROM p GROUP BY a)
+SELECT vec_id, coalesce(l.n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN c USING (vec_id) LEFT JOIN l USING (vec_id)
+""",
+    "op6_secrets": _secrets_sql(),
     "op10_mixing": f"""
 WITH RECURSIVE sizes AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 rates AS (SELECT source, 1.0::DOUBLE / (SELECT count(*) FROM sizes)::DOUBLE * (SELECT count(*) FROM documents)::DOUBLE / n::DOUBLE AS rate FROM sizes),
