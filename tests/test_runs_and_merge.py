@@ -137,3 +137,11 @@ def test_floor_lookup_below_the_first_key_and_between(spark):
 def test_cache_misses_once_a_block(spark):
     df = spark.createDataFrame([(0, 1, 100), (1, 1, 100), (2, 1, 200)], "access_no long, sstable_id long, offset long")
     assert [h for _, h in rows(lookup.cache_trace(df), "access_no", "hit")] == [False, True, False]
+
+
+def test_filters_miss_no_key_and_few_others(spark):
+    keys = spark.range(0, 4000, 2).withColumnRenamed("id", "key")
+    got = lookup.maybe_contains(spark.range(4000).withColumnRenamed("id", "key"), lookup.filter_of(keys, 2000), 2000).collect()
+    assert len(got) == 4000 and all(r.maybe for r in got if r.key % 2 == 0) and sum(r.maybe for r in got if r.key % 2) < 60
+    none = lookup.maybe_contains(keys, lookup.filter_of(keys.limit(0), 0), 0)
+    assert none.where("maybe").count() == 0

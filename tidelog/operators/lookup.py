@@ -31,6 +31,32 @@ def runs_probed(probes: DataFrame, runs: DataFrame, entries: DataFrame) -> DataF
     return ranged.groupBy("key").agg(F.sum(asked.cast("long")).alias("n_probed"))
 
 
+#: Bits a key and hashes of a run's approximate filter: one absent key in a hundred is taken for a present one.
+FILTER_BITS, FILTER_HASHES = 10, 7
+
+
+def key_hash(key: Column, seed: int = 0) -> Column:
+    """64 bits of a key; only their spread matters."""
+    return F.xxhash64(key, F.lit(seed))
+
+
+def _positions(size: int) -> Column:
+    return F.explode(F.array(*(F.pmod(key_hash(F.col("key"), k), F.lit(size)) for k in range(FILTER_HASHES))))
+
+
+def filter_of(keys: DataFrame, n: int) -> DataFrame:
+    """(word, bits): a filter for `n` keys, 64 positions a word, combined before the shuffle."""
+    at = keys.select(_positions(max(64, n * FILTER_BITS)).alias("at"))
+    return at.groupBy(F.floor(F.col("at") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
+
+
+def maybe_contains(probes: DataFrame, bits: DataFrame, n: int) -> DataFrame:
+    """(key, maybe) for every distinct probe: false only for keys that the filter was not made of."""
+    at = probes.select("key").distinct().select("key", _positions(max(64, n * FILTER_BITS)).alias("at")).withColumn("word", F.floor(F.col("at") / 64))
+    hit = F.coalesce(F.expr("(shiftrightunsigned(bits, cast(at % 64 as int)) & 1) = 1"), F.lit(False))
+    return at.join(bits, "word", "left").groupBy("key").agg(F.bool_and(hit).alias("maybe"))
+
+
 def overlap(a_min: Column, a_max: Column, b_min: Column, b_max: Column) -> Column:
     """Whether two closed key ranges meet."""
     return (a_min <= b_max) & (b_min <= a_max)

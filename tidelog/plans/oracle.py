@@ -137,6 +137,8 @@ SELECT count(*) AS n, (count(*) FILTER (expected = found))::BIGINT AS n_right, a
     "runs_probed_per_get": f"""WITH RECURSIVE {_GEN}, p AS (SELECT user_id AS key FROM events UNION SELECT user_id + 1000 FROM events),
 meta AS (SELECT gen, min(key) AS lo, max(key) AS hi FROM fl GROUP BY gen), hit AS (SELECT key, max(gen) AS hit FROM fl GROUP BY key)
 SELECT p.key, (count(*) FILTER (meta.gen IS NOT NULL AND (hit IS NULL OR meta.gen >= hit)))::BIGINT AS n_probed FROM p LEFT JOIN meta ON p.key BETWEEN lo AND hi LEFT JOIN hit ON hit.key = p.key GROUP BY p.key""",
+    "filter_membership": "SELECT (count(*) FILTER (c_custkey IN (SELECT o_custkey FROM orders)))::BIGINT AS n_there, 0::BIGINT AS n_missed FROM customer",
+    "run_scan": f"WITH {_L1} SELECT row_number() OVER (ORDER BY key) - 1 AS pos, key, value, is_tombstone FROM l1",
     "run_overlap_pairs": f"WITH {_ORDER_RUNS} SELECT a.sstable_id AS left_id, b.sstable_id AS right_id FROM meta a JOIN meta b ON a.min_key <= b.max_key AND b.min_key <= a.max_key WHERE a.sstable_id % 2 = 0 AND b.sstable_id % 2 = 1",
     "hull_overlap": f"WITH {_ORDER_RUNS}, h AS (SELECT min(min_key) AS lo, max(max_key) AS hi FROM meta WHERE sstable_id IN (4, 6)) SELECT sstable_id, min_key, max_key FROM meta, h WHERE sstable_id % 2 = 1 AND lo <= max_key AND min_key <= hi",
     "sparse_index": f"WITH {_URLS} SELECT (pos // 16)::BIGINT AS block_no, key AS first_key FROM u WHERE pos % 16 = 0",

@@ -275,6 +275,24 @@ def runs_probed_per_get(spark, sf_dir):
     return lookup.runs_probed(probes, runs.metadata(entries, "sstable_id"), entries)
 
 
+@query
+def filter_membership(spark, sf_dir):
+    """A filter of the customers with orders, asked for all customers: none that is there is missed."""
+    keys = orders_log(spark, sf_dir).select("key").distinct()
+    n = keys.count()
+    asked = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"))
+    got = lookup.maybe_contains(asked, lookup.filter_of(keys, n), n).join(keys.withColumn("there", F.lit(True)), "key", "left")
+    there = F.coalesce("there", F.lit(False))
+    return got.agg(F.sum(there.cast("long")).alias("n_there"), F.sum((there & ~F.col("maybe")).cast("long")).alias("n_missed"))
+
+
+@query
+def run_scan(spark, sf_dir):
+    """The event log as one merged run, scanned in key order, tombstones included."""
+    run = state.latest(events_log(spark, sf_dir)).withColumn("sstable_id", F.lit(0).cast("long"))
+    return layout.numbered(run).select("pos", "key", "value", "is_tombstone")
+
+
 @query
 def run_overlap_pairs(spark, sf_dir):
     meta = runs.metadata(order_runs(spark, sf_dir), "sstable_id")
