@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from tidelog.llm.common import cut
 
 
+#: Edges of a partition at least; rounds don't make more edges.
+AT_ONCE = 200_000
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -37,7 +41,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     now = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct())
     sign = _sign(now)
     while sign[0]:
-        now = cut(_small_star(_large_star(now)))
+        now = cut(_small_star(_large_star(now)).coalesce(max(1, sign[0] // AT_ONCE)))
         after = _sign(now)
         if after == sign:
             break

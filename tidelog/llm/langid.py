@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import small_batches, tidied
+from tidelog.llm.common import scanned, small_batches, tidied
 
 BUCKETS, DIM, ORDERS = 1 << 13, 16, (2, 3, 4)
 #: Bounds of the training sample: languages (the most frequent ones), and rows of all languages together.
@@ -115,7 +115,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     The sample: of each of the `max_languages` most frequent labels, the rows of the smallest hashes of their ids, as
     many for each and `max_rows` at most in all. Their bucket counts (bounded, whatever the texts' lengths) reach the driver.
     """
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"), F.col(label_col).cast("string").alias("l"))
+    rows = scanned(df).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"), F.col(label_col).cast("string").alias("l"))
     rows = rows.where(~held_out("id") & F.col("id").isNotNull() & F.col("l").isNotNull() & F.col("t").isNotNull())
     names = sorted(r.l for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(max_languages).collect())
     if not names:
@@ -156,7 +156,7 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays(cols, [id_col, "held_out", "lang_pred", "score", "rejected"])
 
     small_batches(df.sparkSession)
-    rows = df.select(F.col(id_col).cast("long").alias("id"), held_out(id_col).alias("h"), F.col(text_col).cast("string").alias("t"))
+    rows = scanned(df).select(F.col(id_col).cast("long").alias("id"), held_out(id_col).alias("h"), F.col(text_col).cast("string").alias("t"))
     return rows.mapInArrow(tidied(run), f"{id_col} long, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
@@ -169,4 +169,4 @@ def accepted(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             yield b.filter(pa.array([not model.predict(t)[2] for t in b.column(at).to_pylist()], pa.bool_()))
 
     small_batches(df.sparkSession)
-    return df.mapInArrow(tidied(run), df.schema)
+    return scanned(df).mapInArrow(tidied(run), df.schema)

@@ -12,6 +12,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.llm.common import parts, scanned
+
 SEED = "tidelog"
 #: Sources whose rates are broadcast; with more, they are joined by shuffle.
 FEW_SOURCES = 10_000
@@ -77,12 +79,12 @@ def mixed(
     if len(few) <= FEW_SOURCES:
         found = F.broadcast(spark.createDataFrame(few, found.schema))
     u = uniform(F.col(id_col), seed)
-    rows = df.join(found, F.col(source_col).cast("string").eqNullSafe(F.col(f"{at}_source")))
+    rows = scanned(df).join(found, F.col(source_col).cast("string").eqNullSafe(F.col(f"{at}_source")))
     count = F.size(F.filter(F.col(f"{at}_steps"), lambda p: p <= u))
     rows = rows.withColumn(f"{at}_n", count).where(F.col(f"{at}_n") > 0)
     rows = rows.select(*(F.col(c) for c in df.columns), F.explode(F.sequence(F.lit(0), F.col(f"{at}_n") - 1)).alias(f"{at}_copy"))
     key = F.md5(F.concat(F.lit(seed + ":shuffle:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.col(f"{at}_copy")))
-    rows = rows.withColumn(f"{at}_key", key).repartition(f"{at}_key").sortWithinPartitions(f"{at}_key")
+    rows = rows.withColumn(f"{at}_key", key).repartition(f"{at}_key").sortWithinPartitions(f"{at}_key").coalesce(parts(df))
     if not mark:
         return rows.select(*df.columns)
     own = [c for c in df.columns if c not in ("copy_no", "shuffle_key")]

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import Forest, cut, groups, only, small_batches, stored, tidied
+from tidelog.llm.common import Forest, cut, groups, only, scanned, small_batches, stored, tidied
 from tidelog.llm.components import connected_components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -73,7 +73,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["id", "fp"])
 
     small_batches(df.sparkSession)
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(tidied(run), "id long, fp long")
+    return scanned(df).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(tidied(run), "id long, fp long")
 
 
 def bit_planes(fps: np.ndarray) -> np.ndarray:
@@ -180,7 +180,7 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     found = near_duplicates(df, id_col, text_col, **how)
     kept = cut(found.where("id is not null").groupBy("id").agg((F.min("component_id") == F.col("id")).alias("stays"), F.count("*").alias("n")))
     ids = F.col("id").alias("key")
-    out = only(df, F.col(id_col), kept.where("stays").select(ids), kept.where("not stays").select(ids))
+    out = only(scanned(df), F.col(id_col), kept.where("stays").select(ids), kept.where("not stays").select(ids))
     return out.dropDuplicates([id_col]) if kept.where("stays and n > 1").take(1) else out
 
 

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import scratch_path, small_batches, stored, tidied
+from tidelog.llm.common import scanned, scratch_path, small_batches, stored, tidied
 from tidelog.llm.tokens import TOKEN_ROWS, encoder
 
 BITS, LANES, BLOCK, TABLE = 16, 512, 1 << 16, 1 << 15
@@ -179,7 +179,7 @@ def tokenized(df: DataFrame, vocabulary: str, end_id: int = 1, id_col: str = "do
         yield rows([None], [None], [None], [None], [total.tobytes()])
 
     small_batches(df.sparkSession, TOKEN_ROWS)
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(tidied(run), "id long, n long, crc long, ids binary, counts binary")
+    return scanned(df).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(tidied(run), "id long, n long, crc long, ids binary, counts binary")
 
 
 def _ids(raw: bytes, n: int) -> np.ndarray:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import small_batches, tidied
+from tidelog.llm.common import scanned, small_batches, tidied
 
 #: Bounds of the training sample and of the features that training weighs.
 MAX_ROWS, BUCKETS, SCREENED = 4000, 1 << 18, 4096
@@ -199,5 +199,5 @@ def severity(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], [id_col, "severity", "grade", "p_toxic", "toxic"])
 
     small_batches(df.sparkSession)
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
+    rows = scanned(df).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
     return rows.mapInArrow(tidied(run), f"{id_col} long, severity double, grade int, p_toxic double, toxic boolean")
