@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -89,6 +90,118 @@ def test_licence_rules(spark):
     assert texts[5][0][s:e].startswith("Licensed under the Apache") and got[1].known == ["mit-grant", "mit-notice", "mit-warranty"]
 
 
+#: Canonical texts, wrapped as they are published.
+CANONICAL = {
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY.""",
+    "BSD-4-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:
+1. Redistributions of source code must retain the above copyright
+   notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright
+   notice, this list of conditions and the following disclaimer in the
+   documentation and/or other materials provided with the distribution.
+3. All advertising materials mentioning features or use of this software
+   must display the following acknowledgement:
+   This product includes software developed by Foo, Inc. and its contributors.
+4. Neither the name of Foo, Inc. nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY FOO, INC. AND CONTRIBUTORS ``AS IS'' AND
+ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY ARE DISCLAIMED.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "Unlicense": """This is free and unencumbered software released into the public
+domain.""",
+    "CC0": """To the extent possible under law, J. Doe
+has waived all copyright and related or neighboring rights to this work.""",
+    "CC-BY-NC-SA": """This work is licensed under a Creative
+Commons Attribution-NonCommercial-ShareAlike 4.0 International License.""",
+}
+CANONICAL["BSD-2-Clause"] = CANONICAL["BSD-3-Clause"].replace(CANONICAL["BSD-3-Clause"].split("\n\n")[3] + "\n\n", "")
+for _name, _kind in (("GPL", "General"), ("LGPL", "Lesser General"), ("AGPL-3.0", "Affero General")):
+    CANONICAL[_name] = f"""This program is free software{";" if _name == "LGPL" else ":"} you can redistribute it and/or modify
+it under the terms of the GNU {_kind} Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY.  See the GNU {_kind} Public License for more details.
+
+You should have received a copy of the GNU {_kind} Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+LAYOUTS = {
+    "plain": lambda t: t,
+    "narrow": lambda t: "\n\n".join(textwrap.fill(p, 34) for p in t.split("\n\n")),
+    "indented": lambda t: textwrap.indent(t, "        "),
+    "hash": lambda t: textwrap.indent(t, "# ", lambda _: True),
+    "slashes": lambda t: textwrap.indent(t, "// ", lambda _: True),
+    "star": lambda t: "/*\n" + textwrap.indent(t, " * ", lambda _: True) + "\n */\nint main();",
+    "box": lambda t: "\n".join(f"/* {line:<80} */" for line in t.split("\n")),
+    "dashes": lambda t: textwrap.indent(t, "-- ", lambda _: True),
+    "dnl": lambda t: textwrap.indent(t, "dnl ", lambda _: True),
+    "crlf": lambda t: t.replace("\n", "\r\n"),
+    "page": lambda t: "<!--\n" + t + "\n-->\n<p>Text</p>",
+}
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+@pytest.mark.parametrize("name", CANONICAL)
+def test_canonical_licences_as_they_are_wrapped_and_commented(name, layout):
+    text = LAYOUTS[layout](CANONICAL[name])
+    (hit,) = licenses.match(licenses.identify(text)[1])
+    assert hit[0] == name
+    before = "İİ! Une phrase.\n\n"
+    assert licenses.match(licenses.identify(before + text)[1]) == [(name, hit[1] + len(before), hit[2] + len(before))]
+
+
+def test_known_sentences_end_where_sentences_do():
+    for text in ("All rights. Reserved seats.", "all rights\n\nreserved", "Neither the name of X.\n\nIt may be used to endorse or promote products."):
+        assert licenses.identify(text)[1] == []
+    text = "# One.\n# Neither the name of X, Inc. nor Y may be used to endorse or promote products. Last."
+    n, ((at, b, e, name),) = licenses.identify(text)
+    assert (n, at, name) == (3, 2, "bsd-endorse") and text[b:e] == "Neither the name of X, Inc. nor Y may be used to endorse or promote products"
+
+
 def test_licences_on_awkward_tables(spark):
     docs = awkward(spark)
     got = licenses.licences(docs).collect()

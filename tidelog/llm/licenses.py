@@ -1,14 +1,16 @@
 """Licence scans by sentence rules.
 
-A text is cut into sentences, which are normalised (lower case, blanks and marks reduced); a sentence that a known
-sentence's pattern fits gets that sentence's identifier. Rules are ordered: each names a licence and a sequence of
-identifiers. A rule fits where its identifiers follow each other, with GAP unknown sentences between two of them at most;
-the sentences that it uses are taken, and later rules see what is left. So a whole licence wins over its own parts.
+A text is cut into sentences at marks and blank lines. Known sentences are sought by patterns, in lower case and whatever
+blanks, marks and comment marks stand between the words; each gets its identifier. Rules are ordered: each names a licence
+and a sequence of identifiers. A rule fits where its identifiers follow each other, with GAP unknown sentences between two
+of them at most; the sentences that it uses are taken, and later rules see what is left. So a whole licence wins over its
+own parts.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
 
@@ -20,7 +22,7 @@ from tidelog.llm.common import scanned, small_batches, tidied
 
 #: Unknown sentences allowed between two sentences of a rule.
 GAP = 3
-#: Characters of a longer sentence that are looked at together; a longer one is cut at blanks.
+#: Characters after which a text without marks counts as another sentence, and those that a pattern's .* holds at most.
 LONGEST = 2000
 
 #: Known sentences, as (identifier, pattern of the normalised sentence).
@@ -92,48 +94,71 @@ RULES = (
     ("Public-Domain", ("public-domain",)),
     ("All-Rights-Reserved", ("all-rights",)),
 )
-#: A sentence ends at a line's end (unless the next line goes on in lower case) or at a mark that a blank follows.
-_END = re.compile(r"(?<=[.!?;:])\s+|\n\s*(?![a-z])|\n\s*\n")
-#: Any text with a known sentence has one of these; others are not cut at all.
+#: A sentence ends at a mark that a blank follows (but for the v. of a version) and at a blank line.
+_END = re.compile(r"(?<=[.!?])(?<!\bv\.)\s+|\n\s*\n")
+_BLANK_LINE = re.compile(r"\n\s*\n")
+#: Any text with a known sentence has one of these; others are not searched.
 _HINT = re.compile(r"licen[sc]e|permission|redistribut|provided|advertising|neither\s+the|public\s+domain|rights\s+reserved|warrant|free\s+software|copy\s+of|cc0|creative|hope\s+that|copyright", re.I)
-_EDGE, _MARKS = re.compile(r"(?m)^[ \t]*(?:[/*#;%!-]+|//+|<!--)[ \t]*"), re.compile(r"[^\w.]+|\.(?!\d)")
+#: Marks of comments and lists at the edges of a line.
+_EDGE = re.compile(r"(?m)^[ \t]*(?:(?:<!--|\(\*|[/*#;%!|>:'.\"-])+|(?:dnl|rem)\b)|(?<![*#/|;-])(?:--+>|[*#/|;-]+\)?)[ \t\r]*$")
+#: What a blank of a known sentence's pattern fits, and what its .* does: any marks in a sentence, any text in a paragraph.
+_BLANK, _ANY = r"(?:[^\w.\x00\x01]|\.(?!\d))++", rf"[^\x01]{{0,{LONGEST}}}?"
 
 
 @cache
 def _known() -> list[tuple[str, re.Pattern]]:
-    return [(name, re.compile(pattern.replace(",?", ""))) for name, pattern in SENTENCES]
+    wide = lambda p: p.replace(",?", "").replace(".*", "\x02").replace(" ?", f"(?:{_BLANK})?").replace(" ", _BLANK).replace("\x02", _ANY)
+    return [(name, re.compile(wide(pattern))) for name, pattern in SENTENCES]
 
 
-def normalised(sentence: str) -> str:
-    return _MARKS.sub(" ", _EDGE.sub(" ", sentence).lower()).strip()
+def plain(text: str) -> str:
+    """In lower case, with the marks at the lines' edges made blanks; every code point keeps its place."""
+    low = text.lower()
+    if len(low) != len(text):
+        low = "".join(x if len(x := c.lower()) == 1 else c for c in text)
+    return _EDGE.sub(lambda m: " " * len(m[0]), low)
 
 
-def sentences(text: str) -> Iterator[tuple[int, int]]:
-    """(start, end) of the sentences in code points; one over LONGEST characters is cut after a blank."""
-    at, cuts = 0, [m.span() for m in _END.finditer(text)]
-    for b, e in [*cuts, (len(text), len(text))]:
-        while b - at > LONGEST:
-            cut = text.rfind(" ", at, at + LONGEST) + 1 or at + LONGEST
-            yield at, cut
-            at = cut
-        if b > at:
-            yield at, b
+def ends(low: str) -> list[tuple[int, int]]:
+    """(start, end) of the blanks after the sentences of a plain text."""
+    return [m.span() for m in _END.finditer(low)]
+
+
+def sentences(size: int, cuts: list[tuple[int, int]]) -> list[int]:
+    """Where the sentences between the cuts begin; one over LONGEST characters counts once for each LONGEST begun."""
+    at, out = 0, []
+    for b, e in [*cuts, (size, size)]:
+        out.extend(range(at, b, LONGEST))
         at = e
+    return out
 
 
 def identify(text: str) -> tuple[int, list[tuple[int, int, int, str]]]:
-    """How many sentences there are, and (number, start, end, identifier) of the known ones; of several the first listed."""
-    if not _HINT.search(text):
-        return sum(1 for _ in sentences(text)), []
-    found, n = [], 0
-    for n, (b, e) in enumerate(sentences(text), 1):
-        if _HINT.search(text, b, e):
-            s = normalised(text[b:e])
-            for name, pattern in _known():
-                if pattern.search(s):
-                    found.append((n, b, e, name))
-                    break
-    return n, found
+    """How many sentences there are, and (number, start, end, identifier) of the known ones; of several the first listed.
+
+    Known sentences are sought in the whole text, so lines, marks of comments and LONGEST don't part them. A mark inside
+    of one (an abbreviation's) ends no sentence.
+    """
+    low = plain(text)
+    cuts, spans, taken = ends(low), [], bytearray(len(low))
+    if _HINT.search(low):
+        whole = list(low.replace("\x00", " ").replace("\x01", " "))
+        for b, e in cuts:
+            whole[b] = "\x01" if _BLANK_LINE.search(low, b, e) else "\x00"
+        whole = "".join(whole)
+        for name, pattern in _known():
+            for m in pattern.finditer(whole):
+                b, e = m.span()
+                if taken.find(1, b, e) < 0:
+                    taken[b:e] = b"\x01" * (e - b)
+                    spans.append((b, e, name))
+        cuts = [c for c in cuts if not taken[c[0]]]
+    begun = sentences(len(low), cuts)
+    first: dict[int, tuple] = {}
+    for b, e, name in spans:
+        n = bisect_right(begun, b)
+        first.setdefault(n, (n, b, e, name))
+    return len(begun), [first[n] for n in sorted(first)]
 
 
 def match(found: list[tuple[int, int, int, str]]) -> list[tuple[str, int, int]]:
