@@ -202,6 +202,16 @@ def test_known_sentences_end_where_sentences_do():
     assert (n, at, name) == (3, 2, "bsd-endorse") and text[b:e] == "Neither the name of X, Inc. nor Y may be used to endorse or promote products"
 
 
+@pytest.mark.parametrize("shift", [0, 1900, 1960, 2000, 3990])
+def test_known_sentences_that_share_a_sentence_or_lie_across_windows(shift):
+    found = lambda text: sorted({x for x, *_ in licenses.match(licenses.identify("w " * (shift // 2) + text)[1])})
+    bare = re.sub(r"\W+", " ", CANONICAL["MIT"])
+    assert found(bare) == ["MIT"] and [f[3] for f in licenses.identify(bare)[1]] == ["mit-grant", "mit-notice", "mit-warranty"]
+    assert found(re.sub(r"[^\w.]+|\.(?!\d)", " ", CANONICAL["BSD-3-Clause"])) == ["BSD-3-Clause"]
+    assert found("licensed under the Apache License, Version 2.0, or released under the MIT License") == ["Apache-2.0", "MIT"]
+    assert found("Licensed under CC BY-SA 4.0 and distributed under the GNU General Public License, version 3") == ["CC-BY-SA", "GPL-3.0"]
+
+
 def test_licences_on_awkward_tables(spark):
     docs = awkward(spark)
     got = licenses.licences(docs).collect()

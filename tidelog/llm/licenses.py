@@ -134,10 +134,10 @@ def sentences(size: int, cuts: list[tuple[int, int]]) -> list[int]:
 
 
 def identify(text: str) -> tuple[int, list[tuple[int, int, int, str]]]:
-    """How many sentences there are, and (number, start, end, identifier) of the known ones; of several the first listed.
+    """How many sentences there are, and (number, start, end, identifier) of the known ones, by place.
 
-    Known sentences are sought in the whole text, so lines, marks of comments and LONGEST don't part them. A mark inside
-    of one (an abbreviation's) ends no sentence.
+    Known sentences are sought in the whole text, so lines, marks of comments and LONGEST don't part them, and several may
+    share a sentence; of those that overlap the first listed stays. A mark inside of one (an abbreviation's) ends none.
     """
     low = plain(text)
     cuts, spans, taken = ends(low), [], bytearray(len(low))
@@ -154,11 +154,7 @@ def identify(text: str) -> tuple[int, list[tuple[int, int, int, str]]]:
                     spans.append((b, e, name))
         cuts = [c for c in cuts if not taken[c[0]]]
     begun = sentences(len(low), cuts)
-    first: dict[int, tuple] = {}
-    for b, e, name in spans:
-        n = bisect_right(begun, b)
-        first.setdefault(n, (n, b, e, name))
-    return len(begun), [first[n] for n in sorted(first)]
+    return len(begun), [(bisect_right(begun, b), b, e, name) for b, e, name in sorted(spans)]
 
 
 def match(found: list[tuple[int, int, int, str]]) -> list[tuple[str, int, int]]:
