@@ -212,6 +212,54 @@ def test_known_sentences_that_share_a_sentence_or_lie_across_windows(shift):
     assert found("Licensed under CC BY-SA 4.0 and distributed under the GNU General Public License, version 3") == ["CC-BY-SA", "GPL-3.0"]
 
 
+#: One text for every known sentence.
+KNOWN = {
+    "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+    "mit-notice": "The above copyright notice and this permission notice shall be included in all copies",
+    "mit-warranty": "The software is provided 'as is', without warranty of any kind",
+    "mit-name": "Available under the terms of the MIT licence",
+    "bsd-grant": "Redistribution and use in source and binary forms, with or without modification, are permitted",
+    "bsd-source": "Redistributions of source code must retain the above copyright notice",
+    "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice",
+    "bsd-endorse": "Neither the name of X nor Y may be used to endorse or promote products",
+    "bsd-advert": "All advertising materials mentioning features or use of this software must display",
+    "bsd-warranty": "This software is provided by X 'as is' and any express or implied warranties",
+    "bsd-name": "Released under the 2-clause BSD license",
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "apache-header": "Licensed under the Apache License, Version 2.0",
+    "apache-copy": "You may obtain a copy of the License at",
+    "apache-warranty": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an 'as is' basis",
+    "gpl-free": "It is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License",
+    "lgpl-free": "X is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",
+    "agpl-free": "X is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License",
+    "gpl-warranty": "Is distributed in the hope that it will be useful, but without any warranty",
+    "gpl-copy": "You should have received a copy of the GNU General Public License",
+    "gpl-3-name": "Distributed under the GNU General Public License, version 3",
+    "gpl-2-name": "Distributed under the GNU General Public License version 2",
+    "gpl-name": "Distributed under the GNU General Public Licence",
+    "lgpl-name": "Distributed under the GNU Library General Public License",
+    "mpl-2": "Subject to the terms of the Mozilla Public License, v. 2.0",
+    "cc-by-nc-sa": "Released under CC BY-NC-SA 4.0",
+    "cc-by-nc-nd": "Released under CC BY-NC-ND 4.0",
+    "cc-by-nc": "Released under CC BY-NC 4.0",
+    "cc-by-sa": "Released under CC BY-SA 4.0",
+    "cc-by": "Released under CC BY 4.0",
+    "cc0": "To the extent possible under law, X has waived all copyright",
+    "unlicense": "This is free and unencumbered software released into the public domain",
+    "public-domain": "It is hereby placed in the public domain",
+    "all-rights": "All rights reserved",
+}
+
+
+def test_every_known_sentence_passes_the_prefilter():
+    assert list(KNOWN) == [name for name, _ in licenses.SENTENCES]
+    for name, text in KNOWN.items():
+        assert name in {found for found, _ in licenses.sought(text.lower())}, name
+        for own in (text, text.upper(), "Blah. " + text.replace(" ", "\n") + ". Blah."):
+            assert [f[3] for f in licenses.identify(own)[1]] == [name], own
+    assert [f[3] for f in licenses.identify("cc0")[1]] == ["cc0"] and licenses.sought("no known words at all") == []
+
+
 def test_licences_on_awkward_tables(spark):
     docs = awkward(spark)
     got = licenses.licences(docs).collect()

@@ -13,6 +13,7 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
+from re import _constants, _parser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -97,18 +98,41 @@ RULES = (
 #: A sentence ends at a mark that a blank follows (but for the v. of a version) and at a blank line.
 _END = re.compile(r"(?<=[.!?])(?<!\bv\.)\s+|\n\s*\n")
 _BLANK_LINE = re.compile(r"\n\s*\n")
-#: Any text with a known sentence has one of these; others are not searched.
-_HINT = re.compile(r"licen[sc]e|permission|redistribut|provided|advertising|neither\s+the|public\s+domain|rights\s+reserved|warrant|free\s+software|copy\s+of|cc0|creative|hope\s+that|copyright", re.I)
 #: Marks of comments and lists at the edges of a line.
 _EDGE = re.compile(r"(?m)^[ \t]*(?:(?:<!--|\(\*|[/*#;%!|>:'.\"-])+|(?:dnl|rem)\b)|(?<![*#/|;-])(?:--+>|[*#/|;-]+\)?)[ \t\r]*$")
 #: What a blank of a known sentence's pattern fits, and what its .* does: any marks in a sentence, any text in a paragraph.
 _BLANK, _ANY = r"(?:[^\w.\x00\x01]|\.(?!\d))++", rf"[^\x01]{{0,{LONGEST}}}?"
 
 
+def _needed(parsed) -> list[set[str]]:
+    """From a parsed pattern: sets of words, of each of which any text that it fits holds one."""
+    out, run = [], ""
+    for op, arg in [*parsed, (None, None)]:
+        if op is _constants.LITERAL and arg != ord(" "):
+            run += chr(arg)
+            continue
+        if run:
+            out.append({run})
+            run = ""
+        if op is _constants.SUBPATTERN:
+            out += _needed(arg[-1])
+        elif op is _constants.BRANCH:
+            sides = [_needed(side) for side in arg[1]]
+            if all(sides):
+                out.append(set().union(*(max(side, key=lambda words: min(map(len, words))) for side in sides)))
+    return sorted(out, key=lambda words: -min(map(len, words)))
+
+
 @cache
-def _known() -> list[tuple[str, re.Pattern]]:
+def _known() -> list[tuple[str, list[set[str]], re.Pattern]]:
+    """(identifier, sets of words one of each of which is needed, pattern) of the known sentences."""
     wide = lambda p: p.replace(",?", "").replace(".*", "\x02").replace(" ?", f"(?:{_BLANK})?").replace(" ", _BLANK).replace("\x02", _ANY)
-    return [(name, re.compile(wide(pattern))) for name, pattern in SENTENCES]
+    return [(name, _needed(_parser.parse(pattern.replace(",?", ""))), re.compile(wide(pattern))) for name, pattern in SENTENCES]
+
+
+def sought(low: str) -> list[tuple[str, re.Pattern]]:
+    """The known sentences whose words a text in lower case has; no others can be in it."""
+    return [(name, pattern) for name, needed, pattern in _known() if all(any(word in low for word in words) for words in needed)]
 
 
 def plain(text: str) -> str:
@@ -141,12 +165,12 @@ def identify(text: str) -> tuple[int, list[tuple[int, int, int, str]]]:
     """
     low = plain(text)
     cuts, spans, taken = ends(low), [], bytearray(len(low))
-    if _HINT.search(low):
+    if found := sought(low):
         whole = list(low.replace("\x00", " ").replace("\x01", " "))
         for b, e in cuts:
             whole[b] = "\x01" if _BLANK_LINE.search(low, b, e) else "\x00"
         whole = "".join(whole)
-        for name, pattern in _known():
+        for name, pattern in found:
             for m in pattern.finditer(whole):
                 b, e = m.span()
                 if taken.find(1, b, e) < 0:
