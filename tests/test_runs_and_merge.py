@@ -5,7 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tidelog.functions import formats
 from tidelog.operators import lookup, merge, runs, state
+from tidelog.plans import queries
 from tidelog.plans.queries import workload
 
 LOG = "seq long, key string, value string, is_tombstone boolean"
@@ -78,6 +80,20 @@ def test_levels_and_ids_against_a_simulation(spark):
     assert ids == {}
 
 
+#: The highest level by the number of flushes.
+TOP_LEVEL = {0: 0, 3: 0, 64: 3, 1023: 4, 1024: 5, 4**6 + 5: 6}
+
+
+@pytest.mark.parametrize("n", TOP_LEVEL)
+def test_the_catalog_knows_the_runs_of_all_levels(spark, monkeypatch, n):
+    monkeypatch.setattr(queries, "flushes", lambda spark, sf_dir: spark.range(n).select(F.col("id").alias("gen")))
+    placed = queries.placed(spark, "").select("level", formats.run_name(F.col("level"), F.col("run_no")).alias("path")).distinct()
+    active = set(rows(placed, "level", "path"))
+    assert set(rows(queries.manifest_active_runs(spark, ""), "level", "path")) == active and max([k for k, _ in active], default=0) == TOP_LEVEL[n]
+    used, orphans = ({x for x, in rows(q(spark, ""), "name")} for q in (queries.used_files, queries.orphan_files))
+    assert used == {p for _, p in active} and orphans == {f"L0-{g:020}.sst" for g in range(n)} - used
+
+
 def test_merge_order_newer_runs_first(spark):
     def order(pairs):
         df = spark.createDataFrame([(i, k, "", False) for k, i in pairs], RUN)

@@ -18,6 +18,8 @@ __all__ = ["ORACLE_SQL", "QUERIES"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: Bytes at which the queries' write buffer is flushed.
 LIMIT = 8192
+#: Numbers of the catalog log that a flush and its merges take at most.
+A_FLUSH = 8 * runs.LEVELS
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -391,21 +393,15 @@ def space_amplification(spark, sf_dir):
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The catalog log that the flushes and merges of the event log leave behind."""
     rows = flushes(spark, sf_dir).select("gen").distinct()
-    runs_of = lambda k: rows.where((F.col("gen") + 1) % 4**k == 0).select(F.col("gen"), F.lit(k).alias("level"), F.floor(F.col("gen") / 4**k).cast("long").alias("run_no"))
-    parts = []
-    for k in range(5):
-        made = runs_of(k)
-        own = made.select("gen", "level", "run_no", F.lit("add").alias("action"), F.lit(2 * k).alias("step"))
-        parts.append(own)
-        if k:
-            old = made.select("gen", F.lit(k - 1).alias("level"), F.explode(F.sequence(F.col("run_no") * 4, F.col("run_no") * 4 + 3)).alias("run_no"), F.lit("remove").alias("action"), F.lit(2 * k - 1).alias("step"))
-            parts.append(old)
-    log = parts[0]
-    for p in parts[1:]:
-        log = log.unionByName(p)
-    seq = (F.col("gen") * 64 + F.col("step") * 4).cast("long")
+    levels = F.expr(f"filter(sequence(0, {runs.LEVELS - 1}), k -> (gen + 1) % shiftleft(1L, 2 * k) = 0)")  # 4**k flushes make a run of level k
+    made = rows.select("gen", F.explode(levels).alias("level")).withColumn("run_no", F.expr("shiftright(gen, 2 * level)"))
+    own = made.select("gen", "level", "run_no", F.lit("add").alias("action"), (2 * F.col("level")).alias("step"))
+    parts = F.explode(F.sequence(F.col("run_no") * runs.FANOUT, F.col("run_no") * runs.FANOUT + runs.FANOUT - 1)).alias("run_no")
+    old = made.where("level > 0").select("gen", (F.col("level") - 1).alias("level"), parts, F.lit("remove").alias("action"), (2 * F.col("level") - 1).alias("step"))
+    log = own.unionByName(old)
+    seq = (F.col("gen") * A_FLUSH + F.col("step") * 4).cast("long")
     added = log.select(seq.alias("seq"), "action", "level", formats.run_name(F.col("level"), F.col("run_no")).alias("path"), F.lit(None).cast("long").alias("next_id"))
-    ids = rows.select((F.col("gen") * 64 + 1).alias("seq"), F.lit("next_id").alias("action"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("string").alias("path"), (runs.flush_id(F.col("gen")) + 1).alias("next_id"))
+    ids = rows.select((F.col("gen") * A_FLUSH + 1).alias("seq"), F.lit("next_id").alias("action"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("string").alias("path"), (runs.flush_id(F.col("gen")) + 1).alias("next_id"))
     return added.unionByName(ids)
 
 
