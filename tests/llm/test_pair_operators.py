@@ -41,6 +41,14 @@ def test_simhash_on_awkward_tables(spark):
     assert simhash.one_of_each(empty(spark)).collect() == []
 
 
+def test_one_of_each_where_texts_share_an_id(spark):
+    a, b, c = ("the first text has these words in it and some more of them", "quite another one that is about boats, rivers and the sea", "a third of its own kind with nothing of the rest at all")
+    table = [(3, a, "x"), (7, a, "y"), (7, b, "z"), (9, b, "u"), (8, c, "v"), (8, c, "w"), (5, c, "t"), (11, "one more that nobody else has here", "s")]
+    found = lambda rows: sorted((r.doc_id, r.text) for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, k string")).collect())
+    assert found(table) == sorted([(3, a), (7, b), (5, c), (11, table[-1][1])])
+    assert found([(6, a, "x"), (6, b, "y"), (6, b, "z"), (9, a, "u")]) == sorted([(6, a), (6, b)])
+
+
 def test_long_texts_are_fingerprinted_by_chunks(monkeypatch):
     text = " ".join(f"w{i * i % 101}" for i in range(3000)) + "\n\n tail"
     want = plain_fingerprint(text)

@@ -159,6 +159,14 @@ def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame
     return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tidied(run), "a long, b long")
 
 
+def _rooted(df: DataFrame, id_col: str, text_col: str, radius: int, width: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """(id, fp) of every row, and (fp, least, root) of every fingerprint: its smallest id and its component's root."""
+    docs = stored(fingerprints(df, id_col, text_col, width), "simhash")
+    fps = docs.groupBy("fp").agg(F.min("id").alias("least"))
+    parts = connected_components(links(fps.select("fp"), radius, block))
+    return docs, fps.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, width: int = SHINGLE, block: int = BLOCK) -> DataFrame:
     """One row per row of `df`: id, fp long, component_id (smallest id reachable through links, itself included).
 
@@ -166,22 +174,46 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     null id, links like any other and lends its component no id: component_id is null where no member has one. Repeated
     rows are repeated in the result. An empty table gives an empty result.
     """
-    docs = stored(fingerprints(df, id_col, text_col, width), "simhash")
-    fps = docs.groupBy("fp").agg(F.min("id").alias("least"))
-    parts = connected_components(links(fps.select("fp"), radius, block))
-    rooted = fps.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    docs, rooted = _rooted(df, id_col, text_col, radius, width, block)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = cut(rooted.join(least, "root").select("fp", "component_id"))
     return docs.join(ids, "fp").select("id", "fp", "component_id")
 
 
-def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """`df` with one row of each component: that of the smallest id. Rows with a null id go; columns stay."""
-    found = near_duplicates(df, id_col, text_col, **how)
-    kept = cut(found.where("id is not null").groupBy("id").agg((F.min("component_id") == F.col("id")).alias("stays"), F.count("*").alias("n")))
+def _with_fingerprint(df: DataFrame, text_col: str, width: int) -> DataFrame:
+    """`df` and the fingerprints of its texts, as __fp."""
+    names, at = [*df.columns, "__fp"], len(df.columns)
+    rows = df.withColumn("__fp", F.lit(0).cast("long"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = np.array([fingerprint(t, width) for t in b.column(at).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(fps, pa.int64())], names)
+
+    small_batches(df.sparkSession)
+    return df.withColumn("__fp", F.col(text_col).cast("string")).mapInArrow(tidied(run), rows.schema)
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, width: int = SHINGLE, block: int = BLOCK) -> DataFrame:
+    """`df` with one row of each component: that of the smallest id, and of the smallest fingerprint among that id's.
+
+    Rows are told apart by id and fingerprint, so different texts that share an id stay or go by themselves, and of equal
+    rows one stays. Rows with a null id go, also where no row of their component has one; columns stay.
+    """
+    docs, rooted = _rooted(df, id_col, text_col, radius, width, block)
+    heads = rooted.where("least is not null").groupBy("root").agg(F.min(F.struct(F.col("least").alias("id"), "fp")).alias("h")).select("h.id", "h.fp")
+    heads = cut(heads.withColumn("head", F.lit(True)))
+    rows = docs.where("id is not null").groupBy("id", "fp").agg(F.count("*").alias("n")).join(heads, ["id", "fp"], "left")
+    kept = cut(rows.groupBy("id").agg(F.coalesce(F.max("head"), F.lit(False)).alias("stays"), F.sum("n").alias("n")))
     ids = F.col("id").alias("key")
-    out = only(scanned(df), F.col(id_col), kept.where("stays").select(ids), kept.where("not stays").select(ids))
-    return out.dropDuplicates([id_col]) if kept.where("stays and n > 1").take(1) else out
+    out = only(scanned(df), F.col(id_col), kept.where("stays and n = 1").select(ids), kept.where("not stays or n > 1").select(ids))
+    if not kept.where("stays and n > 1").take(1):
+        return out
+    shared = only(scanned(df), F.col(id_col), kept.where("stays and n > 1").select(ids), kept.where("not stays or n = 1").select(ids))
+    shared = _with_fingerprint(shared, text_col, width).dropDuplicates([id_col, "__fp"])
+    wanted = heads.select(F.col("id").alias("__id"), F.col("fp").alias("__head"))
+    same = (F.col(id_col).cast("long") == F.col("__id")) & (F.col("__fp") == F.col("__head"))
+    return out.unionByName(shared.join(wanted, same, "left_semi").drop("__fp"))
 
 
 def hex_digits(fp: str = "fp"):
