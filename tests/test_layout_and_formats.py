@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions import formats, frames, generators, measure
 from tidelog.operators import layout
+from tidelog.plans import queries
 
 RUN = "sstable_id long, key string, value string, is_tombstone boolean"
 
@@ -112,6 +113,13 @@ def test_frame_verdicts(spark):
     assert [v for _, v in rows(df.select("i", frames.frame_verdict(F.col("raw")).alias("v")), "i", "v")] == [v for _, v in cases]
 
 
+def test_events_without_properties_get_verdicts(spark, monkeypatch):
+    events = spark.createDataFrame([(i, p) for i, p in enumerate([None] * 6 + [""] * 6 + ["ab"])], "event_id long, props string")
+    monkeypatch.setattr(queries, "table", lambda spark, sf_dir, name: events)
+    empty = [(12, "ok"), (3, "end"), (9, "truncated length"), (11, "truncated length"), (12, "record too large"), (12, "record too large")]
+    assert rows(queries.frame_verdicts(spark, ""), "event_id", "n_bytes", "verdict") == [(i, *v) for i, v in enumerate([*empty, *empty, (14, "ok")])]
+
+
 def test_frames_as_written(spark):
     df = spark.createDataFrame([(bytearray(b"LSM,Rust"),), (bytearray(b""),)], "p binary")
     assert [bytes(r.f) for r in df.select(frames.frame(F.col("p")).alias("f")).collect()] == [frame(b"LSM,Rust"), frame(b"")]

@@ -456,14 +456,14 @@ def wal_replay(spark, sf_dir):
 
 @query
 def frame_verdicts(spark, sf_dir):
-    """Frames of the users' properties, whole and damaged in five ways."""
+    """Frames of the users' properties, whole and damaged in five ways; null ones are framed as empty."""
     raw = frames.frame(F.coalesce(F.col("props"), F.lit("")).cast("binary"))
     n = F.octet_length(raw)
     kind = F.col("event_id") % 6
     flipped = F.concat(F.substring(raw, F.lit(1), n - 1), F.unhex(F.lpad(F.hex(F.conv(F.hex(F.substring(raw, n, F.lit(1))), 16, 10).cast("long").bitwiseXOR(F.lit(255))), 2, "0")))
     large = F.concat(F.substring(raw, 1, 4), F.unhex(F.lit("0000000400000001")), F.substring(raw, F.lit(13), n))
     damaged = F.when(kind == 0, raw).when(kind == 1, F.substring(raw, 1, 3)).when(kind == 2, F.substring(raw, 1, 9)).when(kind == 3, F.substring(raw, F.lit(1), n - 1)).when(kind == 4, large).otherwise(flipped)
-    rows = table(spark, sf_dir, "events").where(F.octet_length("props") > 0)
+    rows = table(spark, sf_dir, "events")
     rows = rows.select("event_id", damaged.alias("raw"))  # a step of its own: the verdict looks at the bytes many times
     return rows.select("event_id", F.octet_length("raw").cast("long").alias("n_bytes"), frames.frame_verdict(F.col("raw")).alias("verdict"))
 
