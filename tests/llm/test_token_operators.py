@@ -22,7 +22,6 @@ def library(path):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -30,12 +29,21 @@ def library(path):
 def test_cached_ids_are_the_library_s(spark, path):
     rng, plain, enc = random.Random(1), library(path), Encoder(path)
     letters = [*"aé .,\n\t '|!3Σİß́ \x1f\x00日本ẖA\u0085​　Ž", "  ", "'s", "<|endoftext|>", " the", "\r\n", " ,", "2.0"]
-    texts = ["".join(rng.choices(letters, k=rng.randrange(60))) for _ in range(4000)] + [r.text for r in spark.read.parquet(f"{TINY}/documents.parquet").collect()] + [None, ""]
+    letters += ["<|", "|>", "<|startoftext|>", "<|EndOfText|>", "endoftext"]
+    texts = ["".join(rng.choices(letters, k=rng.randrange(60))) for _ in range(4000)] + ["a <|endoftext|> b"] + [r.text for r in spark.read.parquet(f"{TINY}/documents.parquet").collect()] + [None, ""]
     for _ in range(2):
         for t, ids in zip(texts, enc.ids(texts), strict=True):
             assert np.frombuffer(ids, "<u4").tolist() == plain(t), t
 
 
+def test_texts_with_added_tokens_in_files_and_windows(spark):
+    texts = ["a <|endoftext|> b", "<|startoftext|>", "plain", None, "<|endoftext|>" * 900, "<|END"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted((str(r[0]), *r[1:]) for r in tokenbin.round_trip(docs, WORDS).collect()) == plain_files(docs.collect())
+    check_packing(packing.packed(docs, BYTES).collect(), docs.collect())
+    assert np.frombuffer(Encoder(WORDS).ids(texts[:1])[0], "<u4").tolist() == [320, 49407, 321]
+
+
 def test_a_full_cache_is_pruned(monkeypatch):
     from tidelog.llm import tokens
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import small_batches, stored, tidied
+from tidelog.llm.common import stored, tidied
 from tidelog.llm.metric_join import usable
 
 BITS, SUBSTRING = 128, 16
@@ -146,7 +146,6 @@ def nearest(df: DataFrame, queries, k: int = 10, id_col: str = "vec_id", vec_col
                 kept[bool(s[i])].append((b.column(3).slice(i, e - i).to_numpy(), vecs))
         yield from ended()
 
-    small_batches(spark, 4096)
     tasks = min(max(n_rows * n_queries, spark.sparkContext.defaultParallelism), 4096)
     found = grid.repartition(tasks, "r", "q").sortWithinPartitions("r", "q", "query").mapInArrow(tidied(run), "query_id long, id long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "id")

@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.sources.shared import batch_rows
 from tidelog.sources.shared import cut as cut
 from tidelog.sources.shared import scratch as scratch_path
 
-#: Rows in an Arrow batch of whole texts; bounds a Python worker's memory by rows rather than by table size.
+#: Whole texts that a Python worker takes from an Arrow batch at a time (the batch itself is bounded by Spark's bytes).
 TEXT_BATCH_ROWS = 256
 #: Bytes of files under which partitions are put together.
 SMALL = 8 << 20
@@ -47,8 +46,17 @@ def stored(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
-    batch_rows(spark, rows)
+def free(columns: Iterable[str], name: str) -> str:
+    """`name`, or one made of it, that none of `columns` has (Spark takes names for equal whatever their case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def named(column: str) -> Column:
+    """The column of exactly that name, dots and backticks included."""
+    return F.col("`" + column.replace("`", "``") + "`")
 
 
 def only(df: DataFrame, key: Column, wanted: DataFrame, others: DataFrame) -> DataFrame:
@@ -57,19 +65,29 @@ def only(df: DataFrame, key: Column, wanted: DataFrame, others: DataFrame) -> Da
     Wide rows stay where they are if one of the tables has FEW keys at most: the smaller one is broadcast. Else both sides
     are shuffled. Rows with a null key go.
     """
-    wanted, others, rows = wanted.select(F.col("key").alias("__key")), others.select(F.col("key").alias("__key")), df.where(key.isNotNull())
-    match = key == F.col("__key")
+    at = free(df.columns, "__key")
+    wanted, others, rows = wanted.select(F.col("key").alias(at)), others.select(F.col("key").alias(at)), df.where(key.isNotNull())
+    match = key == F.col(at)
     n, m = wanted.count(), others.count()
     if min(n, m) <= FEW:
         return rows.join(F.broadcast(wanted), match, "left_semi") if n <= m else rows.join(F.broadcast(others), match, "left_anti")
     return rows.join(wanted.hint("shuffle_hash"), match, "left_semi")
 
 
-def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
-    """`run`, after whose partition the worker gives back the memory that Arrow and malloc only keep for later."""
+def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], rows: int = TEXT_BATCH_ROWS) -> Callable:
+    """`run` on batches of `rows` rows at most, whatever the session's batches hold; empty ones are left out.
+
+    After its partition the worker gives back the memory that Arrow and malloc only keep for later.
+    """
 
     def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(batches)
+        yield from run(sliced(batches, rows))
         pa.default_memory_pool().release_unused()
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
         if trim:
@@ -78,6 +96,38 @@ def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return tidy
 
 
+def run_through(items: Column, start: Column, advance: Callable[[Column, Column], Column], emit: Callable[[Column, Column], Column], kind: str) -> Column:
+    """All that `emit` (an array of `kind`) gives for the elements of an array, from the state before each.
+
+    The state goes on by `advance`. Arrays grow by copying in an aggregate, so elements are taken in chunks of the square
+    root of their number: once for the state that each chunk begins with, once within the chunks.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def let(value: Column, body: Callable[[Column], Column]) -> Column:
+        return F.get(F.transform(F.array(value), body), F.lit(0))
+
+    def within(chunk: Column, state: Column) -> Column:
+        zero = F.struct(state.alias("s"), none.alias("out"))
+        return F.aggregate(chunk, zero, lambda a, x: F.struct(advance(a["s"], x).alias("s"), F.concat(a["out"], emit(a["s"], x)).alias("out")), lambda a: a["out"])
+
+    def chunked(all_: Column) -> Column:
+        n = F.size(all_)
+        width = F.ceil(F.sqrt(n.cast("double"))).cast("int")
+        return F.when(n == 0, F.array(all_)).otherwise(F.transform(F.sequence(F.lit(0), F.floor((n - 1) / F.greatest(width, F.lit(1))).cast("int")), lambda k: F.slice(all_, k * width + 1, width)))
+
+    def states(chunks: Column) -> Column:
+        zero = F.struct(start.alias("s"), F.array(start).alias("all"))
+        after = lambda a, c: F.aggregate(c, a["s"], advance)
+
+        def step(a: Column, c: Column) -> Column:
+            return let(after(a, c), lambda s: F.struct(s.alias("s"), F.concat(a["all"], F.array(s)).alias("all")))
+
+        return F.aggregate(chunks, zero, step, lambda a: a["all"])
+
+    return F.flatten(let(let(items, chunked), lambda chunks: let(states(chunks), lambda before: F.transform(chunks, lambda c, i: within(c, F.element_at(before, i + 1))))))
+
+
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str], value: str) -> Iterator[tuple[tuple, np.ndarray]]:
     """From batches sorted by integer key columns: each key with the values of all its rows."""
     last, kept = None, []

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import scanned, small_batches, tidied
+from tidelog.llm.common import scanned, tidied
 
 #: Unknown sentences allowed between two sentences of a rule.
 GAP = 3
@@ -224,6 +224,5 @@ def licences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), lists, lists, lists))]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], [id_col, "n_sentences", "known", "licences", "spans"])
 
-    small_batches(df.sparkSession)
     rows = scanned(df).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
     return rows.mapInArrow(tidied(run), f"{id_col} long, n_sentences long, known array<string>, licences array<string>, spans array<string>")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import Forest, small_batches, stored, tidied
+from tidelog.llm.common import Forest, stored, tidied
 from tidelog.llm.components import connected_components
 
 MIN_COSINE = 0.95
@@ -73,7 +73,6 @@ def linked(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", mi
             vecs = b.column(2).to_pylist()
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(v) for v in vecs], pa.int32()), pa.array([_raw(v) for v in vecs], pa.binary()), b.column(2)], ["rep", "n", "dim", "raw", "vec"])
 
-    small_batches(spark, VISITORS)
     classes = good.groupBy("vec").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
     packed = classes.select("rep", "n", "vec").mapInArrow(tidied(pack), "rep long, n long, dim int, raw binary, vec array<double>")
     classes = stored(packed.withColumn("node", F.monotonically_increasing_id()), "units")  # a number of its own for each class
@@ -96,7 +95,6 @@ def linked(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", mi
                 home[at], dist[at] = d.argmin(axis=1), d.min(axis=1)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(home), pa.array(dist)], ["node", "n", "dim", "raw", "home", "dist"])
 
-    small_batches(spark, VISITORS)
     placed = stored(units.mapInArrow(tidied(nearest), "node long, n long, dim int, raw binary, home int, dist double"), "cells")
     cells: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
     base = 0

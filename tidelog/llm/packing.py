@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import scanned, small_batches, tidied
+from tidelog.llm.common import scanned, tidied
 from tidelog.llm.tokens import TOKEN_ROWS, encoder
 
 CAPACITY = 1024
@@ -124,5 +124,4 @@ def packed(df: DataFrame, vocabulary: str, end_id: int = 0, id_col: str = "doc_i
         if kept:
             yield flushed()
 
-    small_batches(df.sparkSession, TOKEN_ROWS)
-    return scanned(df).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(tidied(run), SCHEMA)
+    return scanned(df).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(tidied(run, TOKEN_ROWS), SCHEMA)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import Forest, cut, groups, only, scanned, small_batches, stored, tidied
+from tidelog.llm.common import Forest, cut, groups, only, scanned, stored, tidied
 from tidelog.llm.components import connected_components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -72,7 +72,6 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             fps = np.array([fingerprint(t, width) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["id", "fp"])
 
-    small_batches(df.sparkSession)
     return scanned(df).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(tidied(run), "id long, fp long")
 
 
@@ -190,7 +189,6 @@ def _with_fingerprint(df: DataFrame, text_col: str, width: int) -> DataFrame:
             fps = np.array([fingerprint(t, width) for t in b.column(at).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(fps, pa.int64())], names)
 
-    small_batches(df.sparkSession)
     return df.withColumn("__fp", F.col(text_col).cast("string")).mapInArrow(tidied(run), rows.schema)
 
 

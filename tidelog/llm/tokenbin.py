@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import scanned, scratch_path, small_batches, stored, tidied
+from tidelog.llm.common import scanned, scratch_path, stored, tidied
 from tidelog.llm.tokens import TOKEN_ROWS, encoder
 
 BITS, LANES, BLOCK, TABLE = 16, 512, 1 << 16, 1 << 15
@@ -178,8 +178,7 @@ def tokenized(df: DataFrame, vocabulary: str, end_id: int = 1, id_col: str = "do
             yield rows(b.column(0).to_pylist(), [len(x) // 4 for x in found], [zlib.crc32(x) for x in found], [np.frombuffer(x, "<u4").astype(kind).tobytes() for x in found], [None] * len(found))
         yield rows([None], [None], [None], [None], [total.tobytes()])
 
-    small_batches(df.sparkSession, TOKEN_ROWS)
-    return scanned(df).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(tidied(run), "id long, n long, crc long, ids binary, counts binary")
+    return scanned(df).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(tidied(run, TOKEN_ROWS), "id long, n long, crc long, ids binary, counts binary")
 
 
 def _ids(raw: bytes, n: int) -> np.ndarray:
@@ -261,8 +260,7 @@ def read_ids(spark, path: str, id_col: str = "doc_id", with_ids: bool = False) -
                     cols, names = [*cols, pa.array([np.frombuffer(x, "<u4").tolist() for x in own], pa.list_(pa.int64()))], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    small_batches(spark, 8)
-    return segments.select("part", "image").mapInArrow(tidied(run), f"{id_col} long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    return segments.select("part", "image").mapInArrow(tidied(run, 8), f"{id_col} long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 
 def round_trip(df: DataFrame, vocabulary: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

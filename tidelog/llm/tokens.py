@@ -4,13 +4,15 @@ A text is cut only where the pre-tokenizers of these vocabularies always cut: at
 follows no blank, and before a comma or full stop that follows a Latin letter or a digit. So a text's ids are the
 joined ids of its pieces. Arrow cuts a batch's texts and numbers its distinct pieces; only pieces that the cache lacks are
 encoded by the library: plain Latin words in one call, by the same model without the steps that change nothing for them
-(their ids are told apart by their widths or word ends), the others one by one.
+(their ids are told apart by their widths or word ends), the others one by one. A text that may hold one of the
+vocabulary's added tokens (the library looks for those before anything else) is encoded whole.
 """
 
 from __future__ import annotations
 
 import functools
 import json
+import re
 from itertools import chain
 
 import numpy as np
@@ -57,12 +59,12 @@ class Encoder:
 
         self.lib = Tokenizer.from_file(path)
         self.bare = Tokenizer(self.lib.model)
-        self.lib.encode_special_tokens = self.bare.encode_special_tokens = True
         self.bare.normalizer, self.bare.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
         with open(path) as f:
             spec = json.load(f)
         kind, vocab = json.dumps([spec["normalizer"], spec["pre_tokenizer"]]), spec["model"]["vocab"]
         self.size = max(*vocab.values(), *(t["id"] for t in spec["added_tokens"])) + 1
+        self.added = "|".join(re.escape(t["content"]) for t in spec["added_tokens"])
         self.words = spec["model"].get("end_of_word_suffix") == "</w>" and "Lowercase" in kind and r"[\\p{L}]+" in kind and '"ByteLevel"' in kind
         self.bytes = not spec["normalizer"] and '"use_regex": true' in kind and '"add_prefix_space": false' in kind
         self.marks = np.zeros(self.size, np.int64)  # whether an id ends a word, or its width in bytes
@@ -140,11 +142,17 @@ class Encoder:
         out, at = self.flat[places].tobytes(), (4 * ends[offsets - offsets[0]]).tolist()
         return [out[b:e] for b, e in zip(at[:-1], at[1:], strict=True)]
 
+    def _whole(self, texts: pa.Array) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.lib.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+
     def ids(self, texts: pa.Array | list[str | None]) -> list[bytes]:
         """A null text counts as empty."""
         texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
         if not (self.words or self.bytes):
-            return [np.array(e.ids, "<u4").tobytes() for e in self.lib.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return self._whole(texts)
+        if self.added and pc.any(marked := pc.match_substring_regex(texts, self.added, ignore_case=True)).as_py():
+            out, whole = self.ids(pc.if_else(marked, "", texts)), iter(self._whole(texts.filter(marked)))
+            return [next(whole) if m else x for m, x in zip(marked.to_pylist(), out, strict=True)]
         out: list[bytes] = []
         grown = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // AT_ONCE
         edges = np.flatnonzero(np.append(True, grown[1:] != grown[:-1])).tolist() if len(texts) else []

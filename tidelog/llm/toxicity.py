@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import scanned, small_batches, tidied
+from tidelog.llm.common import scanned, tidied
 
 #: Bounds of the training sample and of the features that training weighs.
 MAX_ROWS, BUCKETS, SCREENED = 4000, 1 << 18, 4096
@@ -176,7 +176,6 @@ def train(docs: DataFrame, labels: DataFrame, grade: Column, id_col: str = "doc_
             cols = [[np.fromiter(f.keys(), "<u4", len(f)).tobytes() for f in found], [np.fromiter(f.values(), "<f4", len(f)).tobytes() for f in found]]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, pa.binary()) for c in cols)], ["id", "y", "at", "x"])
 
-    small_batches(spark)
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).where(F.col("t").isNotNull())
     ids = F.broadcast(spark.createDataFrame(keep, "id long, y int"))
     found = text.join(ids, "id").dropDuplicates(["id", "y"]).select("id", "y", "t").mapInArrow(tidied(run), "id long, y int, at binary, x binary").collect()
@@ -198,6 +197,5 @@ def severity(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             cols = [pa.array([float(p.sum()) for p in ps]), pa.array(grade, pa.int32()), pa.array([float(p[0]) for p in ps]), pa.array([bool(p[0] >= 0.5) for p in ps], pa.bool_())]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], [id_col, "severity", "grade", "p_toxic", "toxic"])
 
-    small_batches(df.sparkSession)
     rows = scanned(df).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
     return rows.mapInArrow(tidied(run), f"{id_col} long, severity double, grade int, p_toxic double, toxic boolean")
