@@ -27,6 +27,45 @@ def test_language_of_rows_that_training_never_saw(spark):
     assert got.score.between(0, 1).all() and not got.rejected.any()
 
 
+#: Texts of no learned language.
+FOREIGN = {
+    "ja": "これは日本語の文章です。今日は天気がいいので散歩に行きましょう。",
+    "ru": "Съешь же ещё этих мягких французских булок, да выпей чаю.",
+    "el": "Ξεσκεπάζω την ψυχοφθόρα βδελυγμία στο μεγάλο σπίτι μας.",
+    "pl": "Wszyscy ludzie rodzą się wolni i równi w swojej godności i prawach.",
+    "fi": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan.",
+    "mash": "asdf jkl; qwer zxcv hjkl fdsa uiop rewq vcxz lkjh poiu mnbv asdfgh qwerty zxcvb",
+    "code": "def f(x):\n    for i in range(10):\n        if x[i] == None:\n            return self.foo(i, x)\nimport os\nprint(os.path.join(a, b))",
+}
+
+
+def test_texts_of_no_learned_language_are_rejected(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.train(docs)
+    assert all(model.predict(t)[2] for t in FOREIGN.values())
+    rows = [r.text for r in docs.where(langid.held_out()).collect()]
+    assert sum(model.predict(t)[2] for t in rows) <= 0.005 * len(rows)
+    turned = [langid.twin(t, i) for i, t in enumerate(rows) if len(t) > 200]
+    assert sum(model.predict(t)[2] for t in turned) > 0.9 * len(turned)
+    assert 1 / 64 < model.temperature < 64 and 0 < model.threshold < 1
+
+
+def test_a_language_left_out_of_training_is_rejected(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for lang in ("de", "es"):
+        model = langid.train(docs.where(F.col("lang") != lang))
+        assert lang not in model.languages
+        rows = [r.text for r in docs.where(F.col("lang") == lang).collect()]
+        assert sum(model.predict(t)[2] for t in rows) > 0.5 * len(rows)
+
+
+def test_letters_are_unicode_letters():
+    for text in ("²", "½ ¾", "①②", "Ⅷ", "12 ٣ 一二"[:4], "_", ""):
+        assert not langid.has_letter(text), text
+    for text in ("a", "2²é", "日", "Ⅷ x", "ª"):
+        assert langid.has_letter(text), text
+
+
 def test_language_depends_on_text_alone(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     model = langid.train(docs)

@@ -2,13 +2,18 @@
 
 A text's subwords are its runs of 2, 3 and 4 bytes, ASCII lower-cased and with all ASCII but letters made blanks. Each is
 hashed to one of BUCKETS embeddings; a text is the mean of its subwords' embeddings, and a linear softmax scores the
-languages. Training is stochastic gradient descent in numpy (with per-weight step sizes) on a bounded sample of labelled
-rows; every language gets the same share. A quarter of the sample is kept back to fit a temperature and the confidence
-below which a text is rejected. For prediction the embeddings are multiplied out, so a text costs its bucket counts.
+languages and one class more: text of no learned language. Training is stochastic gradient descent in numpy (with per-weight
+step sizes) on a bounded sample of labelled rows; every language gets the same share. What that last class learns from is
+made of the sample: each row once more with its letters scrambled, enciphered, reversed in their words, cut short or moved
+to another script. A quarter of the sample and of its twins is kept back to calibrate: a temperature for the probabilities,
+and a threshold halfway between what the languages' own rows reach and what the twins reach; where these overlap, the
+languages' rows decide, of which rejection may cost REJECTED. For prediction the embeddings are multiplied out, so a text
+costs its bucket counts.
 """
 
 from __future__ import annotations
 
+import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,21 +23,45 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import scanned, small_batches, tidied
+from tidelog.llm.common import scanned, tidied
 
 BUCKETS, DIM, ORDERS = 1 << 13, 16, (2, 3, 4)
 #: Bounds of the training sample: languages (the most frequent ones), and rows of all languages together.
 MAX_LANGUAGES, MAX_ROWS = 256, 2000
-EPOCHS, BATCH, RATE = 40, 32, 0.5
-#: Share of well-predicted held-back rows that rejection may cost, and the confidence that is never rejected.
-REJECTED, CEILING = 0.001, 0.4
+EPOCHS, BATCH, RATE = 24, 32, 0.5
+#: Share of rightly predicted rows that rejection may cost, and of the twins that the threshold leaves out of account.
+REJECTED, LEFT_OUT = 0.001, 0.05
 CHUNK = 1 << 20
-_LETTER = re.compile(r"[^\W\d_]")
+#: First and last letters of other scripts, as code points.
+SCRIPTS = ((0x430, 0x44F), (0x3B1, 0x3C9), (0x5D0, 0x5EA), (0x627, 0x64A), (0x905, 0x939), (0xE01, 0xE2E), (0x10D0, 0x10F0), (0x561, 0x586), (0x3041, 0x3093), (0x30A1, 0x30F3), (0xAC00, 0xD7A3), (0x4E00, 0x9FA5))
+_NUMERIC = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"[^\W\d_]{2,}")
 _BYTES = bytes(i + 32 if 65 <= i <= 90 else i if i >= 128 or 97 <= i <= 122 else 32 for i in range(256))
 
 
 def has_letter(text: str | None) -> bool:
-    return text is not None and _LETTER.search(text) is not None
+    """Whether a character of a Unicode letter category occurs; superscripts, fractions and the like are none."""
+    return text is not None and any(any(map(str.isalpha, m[0])) for m in _NUMERIC.finditer(text))
+
+
+def twin(text: str, seed: int) -> str:
+    """`text` as a text of no learned language, in one of several ways that the seed chooses."""
+    rng = random.Random(seed)
+    kind, text = rng.randrange(6), text.lower()
+    letters = sorted({c for c in text if c.isalpha()})
+    if kind == 0:  # every letter another one at random
+        return _WORD.sub(lambda m: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=len(m[0]))), text)
+    if kind == 1:  # a letter for a letter
+        other = rng.sample(letters, len(letters))
+        return text.translate({ord(a): b for a, b in zip(letters, other, strict=True)})
+    if kind == 2:
+        return _WORD.sub(lambda m: m[0][::-1], text)
+    if kind == 3:
+        return _WORD.sub(lambda m: "".join(rng.sample(m[0], len(m[0]))), text)
+    if kind == 4:  # the first letters of words, as names in programs and abbreviations have
+        return _WORD.sub(lambda m: m[0][: rng.randint(1, 3)], text)
+    first, last = rng.choice(SCRIPTS)
+    return _WORD.sub(lambda m: "".join(chr(rng.randint(first, last)) for _ in m[0]), text) if last - first > 1000 else text.translate({ord(a): chr(rng.randint(first, last)) for a in letters})
 
 
 def counts(text: str) -> np.ndarray:
@@ -57,7 +86,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 @dataclass
 class Model:
     languages: list[str]
-    weights: np.ndarray  # BUCKETS x languages: embeddings times output weights
+    weights: np.ndarray  # BUCKETS x (languages, then none of them): embeddings times output weights
     bias: np.ndarray
     temperature: float
     threshold: float
@@ -68,39 +97,76 @@ class Model:
             return "und", 0.0, True
         c = counts(text)
         p = _softmax((c @ self.weights / c.sum() + self.bias) / self.temperature)
-        best = int(np.argmax(p))
+        best = int(np.argmax(p[:-1]))
         return self.languages[best], float(min(1.0, p[best])), bool(p[best] < self.threshold)
 
 
-def fit(x: np.ndarray, y: np.ndarray, languages: list[str], seed: int = 0) -> Model:
-    """From rows of mean bucket counts and language numbers; every fourth row is held back for calibration."""
+def none() -> Model:
+    """A model that rejects all."""
+    return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
+
+
+def _dense(rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    x = np.zeros((len(rows), BUCKETS), np.float32)
+    for i, (at, v) in enumerate(rows):
+        x[i, at] = v
+    return x
+
+
+def _temperature(z: np.ndarray, y: np.ndarray) -> float:
+    """The temperature of least cross-entropy against targets a row's weight short of certain, so that it is never 0."""
+    sure = 1 - 1 / (len(y) + 2)
+    target = np.full(z.shape, (1 - sure) / (z.shape[1] - 1))
+    target[np.arange(len(y)), y] = sure
+    grid = np.geomspace(1 / 64, 64, 97)
+    return float(min(grid, key=lambda t: -(target * np.log(_softmax(z / t) + 1e-300)).sum()))
+
+
+def _threshold(right: np.ndarray, wrong: np.ndarray) -> float:
+    """Between the confidences of rightly predicted rows and those of rows of no language, in log odds."""
+    if not len(right):
+        return 0.0
+    odds = lambda p: float(np.log((p + 1e-12) / (1 - p + 1e-12)))
+    high = float(np.quantile(right, REJECTED))
+    low = float(np.quantile(wrong, 1 - LEFT_OUT)) if len(wrong) else 0.0
+    return high if low >= high else float(1 / (1 + np.exp(-(odds(low) + odds(high)) / 2)))
+
+
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, languages: list[str], seed: int = 0) -> Model:
+    """From rows of (buckets, shares) and their language numbers, one more than the languages for none of them.
+
+    Every fourth row of each number is held back for calibration.
+    """
     rng = np.random.default_rng(seed)
-    n = len(languages)
-    back = np.arange(len(y)) % 4 == 3
-    tx, ty = x[~back], y[~back]
+    n = len(languages) + 1
+    back = np.zeros(len(y), bool)
+    for k in range(n):
+        back[np.flatnonzero(y == k)[3::4]] = True
+    own = np.flatnonzero(~back)
     e, w, b = rng.normal(0, 0.5, (BUCKETS, DIM)), rng.normal(0, 0.1, (DIM, n)), np.zeros(n)
     ge, gw, gb = (np.full(a.shape, 1e-8) for a in (e, w, b))
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
-        order = rng.permutation(len(ty))
+        order = rng.permutation(own)
         for i in range(0, len(order), BATCH):
-            own = order[i : i + BATCH]
-            h = tx[own] @ e
+            now = order[i : i + BATCH]
+            x = _dense([rows[j] for j in now])
+            at = np.flatnonzero(x.any(axis=0))
+            x = x[:, at]
+            h = x @ e[at]
             d = _softmax(h @ w + b)
-            d[np.arange(len(own)), ty[own]] -= 1
-            d /= len(own)
-            at = np.flatnonzero(tx[own].any(axis=0))
-            for a, g, step, rows in ((e, ge, tx[own][:, at].T @ (d @ w.T), at), (w, gw, h.T @ d, slice(None)), (b, gb, d.sum(0), slice(None))):
-                g[rows] += step**2
-                a[rows] -= rate * step / np.sqrt(g[rows])
+            d[np.arange(len(now)), y[now]] -= 1
+            d /= len(now)
+            for a, g, step, of in ((e, ge, x.T @ (d @ w.T), at), (w, gw, h.T @ d, slice(None)), (b, gb, d.sum(0), slice(None))):
+                g[of] += step**2
+                a[of] -= rate * step / np.sqrt(g[of])
     flat = e @ w
-    z, cy = (x[back], y[back]) if back.any() else (tx, ty)
-    z = z @ flat + b
-    grid = np.geomspace(0.25, 16, 37)
-    temperature = float(min(grid, key=lambda t: -np.log(_softmax(z / t)[np.arange(len(cy)), cy] + 1e-12).mean()))
-    p = _softmax(z / temperature)
-    right = p.max(axis=1)[p.argmax(axis=1) == cy]
-    threshold = min(CEILING, float(np.quantile(right, REJECTED))) if len(right) else 0.0
+    kept = np.flatnonzero(back) if (back & (y < n - 1)).any() else np.arange(len(y))
+    z, cy = np.concatenate([_dense([rows[j] for j in kept[i : i + 256]]) @ flat for i in range(0, len(kept), 256)]) + b, y[kept]
+    temperature = _temperature(z, cy)
+    p = _softmax(z / temperature)[:, :-1]
+    known, best = cy < n - 1, p.argmax(axis=1)
+    threshold = _threshold(p.max(axis=1)[known & (best == cy)], p.max(axis=1)[~known])
     return Model(languages, flat, b, temperature, threshold)
 
 
@@ -119,7 +185,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     rows = rows.where(~held_out("id") & F.col("id").isNotNull() & F.col("l").isNotNull() & F.col("t").isNotNull())
     names = sorted(r.l for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(max_languages).collect())
     if not names:
-        return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
+        return none()
     share, rank = max(1, max_rows // len(names)), [F.xxhash64("id"), F.col("id")]
     ids = rows.select("id", "l", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(8)).alias("part")).where(F.col("l").isin(names))
     for by in (["l", "part"], ["l"]):  # the first of each part hold the first of all, so a frequent label isn't ranked in one task
@@ -128,19 +194,22 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(i, lang, counts(t)) for i, lang, t in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True) if has_letter(t)]
+            found = []
+            for i, lang, t in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                if has_letter(t):
+                    found += [(i, lang, counts(t)), (i, None, counts(twin(t, i)))]
             at = [np.flatnonzero(c).astype("<u2") for *_, c in found]
             cols = [[i for i, *_ in found], [x for _, x, _ in found], [a.tobytes() for a in at], [(c[a] / c.sum()).astype("<f4").tobytes() for a, (*_, c) in zip(at, found, strict=True)]]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.binary(), pa.binary()), strict=True)], ["id", "l", "at", "x"])
 
-    small_batches(df.sparkSession)
-    sample = rows.join(F.broadcast(ids), ["id", "l"]).dropDuplicates(["id", "l"]).select("id", "l", "t").mapInArrow(tidied(run), "id long, l string, at binary, x binary").collect()
-    sample.sort(key=lambda r: (hash((r.id * 2654435761) % 2**32), r.id, r.l))
-    languages = sorted({r.l for r in sample})
-    x = np.zeros((len(sample), BUCKETS), np.float32)
-    for i, r in enumerate(sample):
-        x[i, np.frombuffer(r.at, "<u2")] = np.frombuffer(r.x, "<f4")
-    return fit(x, np.array([languages.index(r.l) for r in sample], int), languages) if languages else Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
+    drawn = rows.join(F.broadcast(ids), ["id", "l"]).groupBy("id", "l").agg(F.min("t").alias("t"))  # of rows that repeat an id, always the same
+    sample = drawn.select("id", "l", "t").mapInArrow(tidied(run), "id long, l string, at binary, x binary").collect()
+    sample.sort(key=lambda r: (r.id * 2654435761 % 2**32, r.id, r.l or "", bytes(r.x)))
+    languages = sorted({r.l for r in sample if r.l is not None})
+    if not languages:
+        return none()
+    y = np.array([len(languages) if r.l is None else languages.index(r.l) for r in sample], int)
+    return fit([(np.frombuffer(r.at, "<u2"), np.frombuffer(r.x, "<f4")) for r in sample], y, languages)
 
 
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -155,7 +224,6 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             cols = [b.column(0), b.column(1), *(pa.array([f[k] for f in found], t) for k, t in enumerate((pa.string(), pa.float64(), pa.bool_())))]
             yield pa.RecordBatch.from_arrays(cols, [id_col, "held_out", "lang_pred", "score", "rejected"])
 
-    small_batches(df.sparkSession)
     rows = scanned(df).select(F.col(id_col).cast("long").alias("id"), held_out(id_col).alias("h"), F.col(text_col).cast("string").alias("t"))
     return rows.mapInArrow(tidied(run), f"{id_col} long, held_out boolean, lang_pred string, score double, rejected boolean")
 
@@ -168,5 +236,4 @@ def accepted(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         for b in batches:
             yield b.filter(pa.array([not model.predict(t)[2] for t in b.column(at).to_pylist()], pa.bool_()))
 
-    small_batches(df.sparkSession)
     return scanned(df).mapInArrow(tidied(run), df.schema)
