@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.operators import ranged
-from tidelog.sources.shared import batch_rows
 
 BLOCK_SIZE, RESTART_INTERVAL = 4096, 16
 #: Bytes of a frame's checksum and length; of an entry's three lengths; of a string's length.
@@ -95,7 +94,6 @@ def blocks(entries: DataFrame, by: str = "sstable_id", block_size: int = BLOCK_S
     writer writes one file; they stream through in constant memory, and runs go to tasks by hash.
     """
     kind = entries.schema[by].dataType.simpleString()
-    batch_rows(entries.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now = last = first = None

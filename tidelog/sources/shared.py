@@ -9,11 +9,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidelog.errors import InvalidDataError
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder, gone with the process, only where none is set (tests)."""
+    """spark.checkpoint.dir; a temporary folder, gone with the process, only where none is set and one machine does it all."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise InvalidDataError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="tidelog-shared-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         found = f"file://{own}"
@@ -38,8 +42,3 @@ def cut(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(found)
     return df.checkpoint(eager=True)
-
-
-def batch_rows(spark: SparkSession, rows: int = 10_000) -> None:
-    """Rows of the Arrow batches that Python gets from now on."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
