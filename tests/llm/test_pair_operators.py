@@ -37,7 +37,8 @@ def test_simhash_on_awkward_tables(spark):
     assert {r.component_id for r in got if r.f == "0" * 16} == {2}
     assert simhash.near_duplicates(empty(spark)).collect() == []
     kept = simhash.one_of_each(docs)
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 5, 6, 7, 8, 9]
+    assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 5, 6, 7, 8, 9]
+    assert [r.text for r in kept.collect() if r.doc_id is None] == ["Der Hund und die Katze"]
     assert simhash.one_of_each(empty(spark)).collect() == []
 
 
@@ -49,6 +50,18 @@ def test_one_of_each_where_texts_share_an_id(spark):
     assert found([(6, a, "x"), (6, b, "y"), (6, b, "z"), (9, a, "u")]) == sorted([(6, a), (6, b)])
 
 
+def test_one_of_each_of_rows_without_ids_and_of_clashing_names(spark):
+    a, b, c = ("the first text has these words in it and some more of them", "quite another one that is about boats, rivers and the sea", "a third of its own kind with nothing of the rest at all")
+    rows = [(None, a), (None, a), (None, b), (4, b), (1, a + " x" * 0), (None, c), (1, c)]
+    names = ["__fp", "__key", "__id", "__head", "__KEY_", "fp", "id", "root", "least", "a.b"]
+    schema = "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names)
+    df = spark.createDataFrame([(*r, *("v" + n for n in names)) for r in rows], schema)
+    for own, want in ((df, [(1, a), (1, c), (4, b)]), (df.where("doc_id is null"), [(None, a), (None, b), (None, c)])):
+        got = simhash.one_of_each(own)
+        assert got.columns == df.columns and sorted((str(r[0]), r[1]) for r in got.collect()) == sorted((str(i), t) for i, t in want)
+        assert all(r[2:] == tuple("v" + n for n in names) for r in got.collect())
+
+
 def test_long_texts_are_fingerprinted_by_chunks(monkeypatch):
     text = " ".join(f"w{i * i % 101}" for i in range(3000)) + "\n\n tail"
     want = plain_fingerprint(text)
@@ -75,12 +88,17 @@ def test_links_of_a_crowded_bucket_dealt_over_blocks(spark):
     base = rng.integers(0, 2**62, 4)
     fps = sorted({int(b) ^ sum(1 << int(j) for j in rng.choice(20, k, replace=False)) for b in base for k in rng.integers(0, 9, 100)})
     df = spark.createDataFrame([(f,) for f in fps], "fp long")
-    for block in (8, 4096):
-        edges = [(r.a, r.b) for r in simhash.links(df, block=block).collect()]
+    for block, blocks in ((8, 5), (4096, 5), (4096, None), (16, 6), (4096, 7), (8, 8)):
+        edges = [(r.a, r.b) for r in simhash.links(df, block=block, blocks=blocks).collect()]
         at = {f: i for i, f in enumerate(fps)}
         assert plain_components(len(fps), [(at[a], at[b]) for a, b in edges]) == plain_components(len(fps), near_pairs(fps))
 
 
+def test_blocks_of_bits_grow_with_the_fingerprints():
+    found = [simhash.blocks_for(n) for n in (0, 10**3, 10**6, 10**8, 10**9, 10**11, 10**13)]
+    assert found[0] == 5 and found == sorted(found) and found[-1] >= 8
+
+
 def test_components_of_chains_stars_and_loops(spark):
     rng = np.random.default_rng(0)
     pairs = [(i, i + 1) for i in range(100, 160)] + [(500, int(j)) for j in rng.integers(501, 600, 60)] + [(7, 7), (3, None), (None, None), (900, 901), (901, 900), (900, 901)]

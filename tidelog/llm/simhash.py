@@ -1,18 +1,20 @@
 """SimHash near-duplicates: shingle fingerprints, compared in vertical bit planes with carry-save counters.
 
-Fingerprints link at RADIUS or fewer differing bits. Radius + 1 bands of the 64 bits meet the pigeonhole bound, so each
-linked pair agrees on a whole band at least; fingerprints that share a band's value form a bucket. Buckets over BLOCK
-fingerprints are dealt over pairs of hashed sub-blocks, so no task holds more than two of those. Inside a bucket the
-planes are stored one bit position after the other, 64 fingerprints in a machine word; distances of a whole word grow by
-carry-save addition, and a tile is abandoned when every counter has passed the radius. Copies meet once (distinct
+Fingerprints link at RADIUS or fewer differing bits. Of the 64 bits cut into b > RADIUS blocks, each linked pair agrees on
+b - RADIUS whole ones at least, so fingerprints that share the values of some such choice of blocks form a bucket. b grows
+with the number of fingerprints: more blocks mean longer keys, more copies of each fingerprint, and smaller buckets.
+Buckets over BLOCK fingerprints are dealt over pairs of hashed sub-blocks, so no task holds more than two of those. Inside a
+bucket the planes are stored one bit position after the other, 64 fingerprints in a machine word; distances of a whole word
+grow by carry-save addition, and a tile is abandoned when every counter has passed the radius. Copies meet once (distinct
 fingerprints are compared), and a bucket returns a spanning forest of its links rather than its pairs.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +22,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import Forest, cut, groups, only, scanned, stored, tidied
+from tidelog.llm.common import Forest, cut, free, groups, named, only, scanned, stored, tidied
 from tidelog.llm.components import connected_components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Distinct fingerprints of a bucket that are compared in one piece.
 BLOCK = 4096
+#: Fingerprints whose comparison with one costs as much as dealing one copy of it.
+COPY = 512
 #: Bytes of a text from which shingles are taken at a time.
 CHUNK = 1 << 22
 TILE = 256
@@ -131,11 +135,25 @@ def forest(fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarra
     return fps[at], fps[roots[at]]
 
 
-def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+def blocks_for(n: float, radius: int = RADIUS) -> int:
+    """How many blocks of bits cost least for n distinct fingerprints spread evenly: copies, and partners of each copy."""
+    cost = lambda b: math.comb(b, radius) * (COPY + n / 2 ** (64 * (b - radius) // b))
+    return min(range(radius + 1, radius + 7), key=cost)
+
+
+def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK, blocks: int | None = None) -> DataFrame:
     """Edges (a, b) that join all distinct fingerprints of `fps` (fp long) within `radius`, by buckets."""
-    bands = radius + 1
-    edge = [round(64 * i / bands) for i in range(bands + 1)]
-    band = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(F.shiftleft("fp", 64 - edge[i + 1]), 64 - edge[i + 1] + edge[i]).alias("v")) for i in range(bands)])
+    blocks = blocks or blocks_for(fps.count(), radius)
+    edge = [round(64 * i / blocks) for i in range(blocks + 1)]
+    bits = [F.shiftrightunsigned(F.shiftleft("fp", 64 - edge[i + 1]), 64 - edge[i + 1] + edge[i]) for i in range(blocks)]
+
+    def joined(chosen: tuple[int, ...]):
+        out = F.lit(0).cast("long")
+        for i in chosen:
+            out = F.shiftleft(out, edge[i + 1] - edge[i]).bitwiseOR(bits[i])
+        return out
+
+    band = F.array(*[F.struct(F.lit(k).alias("band"), joined(chosen).alias("v")) for k, chosen in enumerate(combinations(range(blocks), blocks - radius))])
     rows = fps.select("fp", F.explode(band).alias("x")).select("fp", "x.band", "x.v")
     large = rows.groupBy("band", "v").agg(F.count("*").alias("n")).where(F.col("n") > block)
     k = F.ceil(F.col("n") / block).cast("int")
@@ -155,7 +173,7 @@ def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tidied(run), "a long, b long")
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tidied(run, 1 << 16), "a long, b long")
 
 
 def _rooted(df: DataFrame, id_col: str, text_col: str, radius: int, width: int, block: int) -> tuple[DataFrame, DataFrame]:
@@ -179,42 +197,52 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.join(ids, "fp").select("id", "fp", "component_id")
 
 
-def _with_fingerprint(df: DataFrame, text_col: str, width: int) -> DataFrame:
-    """`df` and the fingerprints of its texts, as __fp."""
-    names, at = [*df.columns, "__fp"], len(df.columns)
-    rows = df.withColumn("__fp", F.lit(0).cast("long"))
+def _with_fingerprint(df: DataFrame, text_col: str, width: int, at: str) -> DataFrame:
+    """`df` and the fingerprints of its texts, in the column `at`."""
+    n = len(df.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t, width) for t in b.column(at).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(fps, pa.int64())], names)
+            fps = np.array([fingerprint(t, width) for t in b.column(n).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(fps, pa.int64())], names)
 
-    return df.withColumn("__fp", F.col(text_col).cast("string")).mapInArrow(tidied(run), rows.schema)
+    names = [*df.columns, at]
+    schema = df.withColumn(at, F.lit(0).cast("long")).schema
+    return df.withColumn(at, named(text_col).cast("string")).mapInArrow(tidied(run), schema)
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, width: int = SHINGLE, block: int = BLOCK) -> DataFrame:
-    """`df` with one row of each component: that of the smallest id, and of the smallest fingerprint among that id's.
+    """`df` with one row of each component: that of the smallest id (null last), then of the smallest fingerprint.
 
-    Rows are told apart by id and fingerprint, so different texts that share an id stay or go by themselves, and of equal
-    rows one stays. Rows with a null id go, also where no row of their component has one; columns stay.
+    Rows are told apart by id and fingerprint, so different texts that share an id, or have none, stay or go by themselves.
+    Of rows equal in both, that of the smallest hash of all its columns stays. No component is left without a row.
+
+    Where an id is one row's alone, that row stays where it is, picked by its id; the others, with repeated or null ids, are
+    picked by fingerprint.
     """
     docs, rooted = _rooted(df, id_col, text_col, radius, width, block)
-    heads = rooted.where("least is not null").groupBy("root").agg(F.min(F.struct(F.col("least").alias("id"), "fp")).alias("h")).select("h.id", "h.fp")
-    heads = cut(heads.withColumn("head", F.lit(True)))
+    first = F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("id"), "fp")
+    heads = cut(rooted.groupBy("root").agg(F.min(first).alias("h")).select("h.id", "h.fp", F.lit(True).alias("head")))
     rows = docs.where("id is not null").groupBy("id", "fp").agg(F.count("*").alias("n")).join(heads, ["id", "fp"], "left")
     kept = cut(rows.groupBy("id").agg(F.coalesce(F.max("head"), F.lit(False)).alias("stays"), F.sum("n").alias("n")))
-    ids = F.col("id").alias("key")
-    out = only(scanned(df), F.col(id_col), kept.where("stays and n = 1").select(ids), kept.where("not stays or n > 1").select(ids))
-    if not kept.where("stays and n > 1").take(1):
-        return out
-    shared = only(scanned(df), F.col(id_col), kept.where("stays and n > 1").select(ids), kept.where("not stays or n = 1").select(ids))
-    shared = _with_fingerprint(shared, text_col, width).dropDuplicates([id_col, "__fp"])
-    wanted = heads.select(F.col("id").alias("__id"), F.col("fp").alias("__head"))
-    same = (F.col(id_col).cast("long") == F.col("__id")) & (F.col("__fp") == F.col("__head"))
-    return out.unionByName(shared.join(wanted, same, "left_semi").drop("__fp"))
+    id_, ids = named(id_col).cast("long"), F.col("id").alias("key")
+    out = only(scanned(df), id_, kept.where("stays and n = 1").select(ids), kept.where("not stays or n > 1").select(ids))
+    odd = []
+    if kept.where("stays and n > 1").take(1):
+        odd.append(only(scanned(df), id_, kept.where("stays and n > 1").select(ids), kept.where("not stays or n = 1").select(ids)))
+    if heads.where("id is null").take(1):
+        odd.append(scanned(df).where(id_.isNull()))
+    for some in odd:
+        at = free(df.columns, "__fp")
+        some = _with_fingerprint(some, text_col, width, at)
+        id_at, head_at = free(some.columns, "__id"), free(some.columns, "__head")
+        wanted = heads.select(F.col("id").alias(id_at), F.col("fp").alias(head_at))
+        some = some.join(wanted, id_.eqNullSafe(F.col(id_at)) & (F.col(at) == F.col(head_at)), "left_semi")
+        row = F.struct(*(named(c) for c in df.columns))
+        picked = some.groupBy(id_.alias("i"), F.col(at).alias("f")).agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("r"))
+        out = out.unionByName(picked.select(*(F.col("r").getField(c).alias(c) for c in df.columns)))
+    return out
 
 
 def hex_digits(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
-
-
