@@ -3,6 +3,7 @@
 import hashlib
 import re
 import textwrap
+import time
 import zlib
 
 import numpy as np
@@ -394,6 +395,43 @@ def test_ledger_scans_only_what_is_new(spark, tmp_path):
     assert scanned() == 6
 
 
+def test_ledger_of_other_rules_and_of_past_versions(spark, tmp_path):
+    ledger = secrets.Ledger(spark, str(tmp_path / "ledger"))
+    token = "ghp_" + "zQ" * 18
+    docs = spark.createDataFrame([(1, f"x {token}"), (2, "clean")], "doc_id long, text string")
+    ledger.update(docs, rules=secrets.BASE)
+    assert ledger.hits(secrets.BASE).count() == 0 and ledger.ever_found(secrets.BASE).count() == 0
+    assert {r.doc_id: r.spans for r in secrets.report(docs, ledger=ledger).collect()} == {1: "github:2:42", 2: ""}
+    later = spark.createDataFrame([(1, "the token is gone"), (3, f"x {token}"), (None, f"y {token}")], "doc_id long, text string")
+    for _ in range(2):
+        assert {r.doc_id: r.spans for r in secrets.report(later, ledger=ledger).collect()} == {1: "", 3: "github:2:42", None: "github:2:42"}
+    again = secrets.Ledger(spark, ledger.path)
+    assert sorted(str(r.id) for r in again.ever_found().collect()) == ["1", "3", "None"] and again.history().count() == 5
+
+
+def test_many_matches_in_one_text(spark):
+    text = "".join(f"é{i} token=abcdef{i} " + "0123456789abcdef01234567" * (i % 3 == 0) + "-" for i in range(100_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.monotonic()
+    got = secrets.report(df).first()
+    assert time.monotonic() - began < 60 and tuple(got[1:5]) == plain_secrets(text)
+    spans = sorted((int(b), int(e)) for b, e in (x.split(":")[1:] for x in got.spans.split(",")))
+    out, at = [], 0
+    for b, e in spans:
+        if b >= at:
+            out += [text[at:b], "[SECRET]"]
+        at = max(at, e)
+    began = time.monotonic()
+    assert secrets.redacted(df).first().text == "".join(out) + text[at:] and time.monotonic() - began < 60
+
+
+def test_redaction_leaves_clashing_columns_alone(spark):
+    names = ["__secret_blob", "__secret_spans", "__secret_text", "__SECRET_TEXT_", "__key", "blob", "spans", "key", "a.b"]
+    df = spark.createDataFrame([(1, "token=abcdefgh", *names), (2, "clean", *names)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    got = secrets.redacted(df)
+    assert got.columns == df.columns and sorted(r[:] for r in got.collect()) == [(1, "[SECRET]", *names), (2, "clean", *names)]
+
+
 def test_secrets_on_awkward_tables(spark):
     docs = awkward(spark)
     got = secrets.report(docs).collect()
