@@ -193,15 +193,54 @@ def test_mixing_reaches_its_targets(spark):
 
 
 def test_poisson_steps(spark):
-    for rate in (0.0, 0.1, 3.0, 50.0, 2000.0):
-        steps = np.array(spark.range(1).select(mixing.poisson_steps(F.lit(rate)).alias("s")).first().s)
+    for rate in (0.0, 0.1, 3.0, 50.0, 200.0, 2000.0, 1e6, 1e8):
+        r = spark.range(1).select(mixing.poisson_steps(F.lit(rate)).alias("s"), mixing.first_step(F.lit(rate)).alias("f")).first()
+        steps = np.array(r.s)
         if rate:
-            mean = (1 - np.minimum(1, steps)).sum()
-            assert abs(mean - rate) < 1e-6 * max(1, rate) and steps[-1] == pytest.approx(1, abs=1e-9)
+            mean = r.f + (1 - np.minimum(1, steps)).sum()
+            assert abs(mean - rate) < 1e-6 * max(1, rate) and steps[-1] == pytest.approx(1, abs=1e-8) and len(steps) < 30 * np.sqrt(rate) + 60
+            spread = np.diff(np.concatenate([[0], steps])) @ (r.f + np.arange(len(steps)) - rate) ** 2
+            assert spread == pytest.approx(rate, rel=1e-6)
         else:
             assert steps.tolist() == [1.0]
 
 
+def test_poisson_steps_from_the_middle_are_those_from_zero(spark):
+    """At a rate whose table begins above 0, against exact sums."""
+    from fractions import Fraction
+    from math import exp
+
+    rate, term, total, want = 400, Fraction(1), Fraction(0), []
+    for k in range(700):
+        total += term
+        want.append(total)
+        term = term * rate / (k + 1)
+    r = spark.range(1).select(mixing.poisson_steps(F.lit(float(rate))).alias("s"), mixing.first_step(F.lit(float(rate))).alias("f")).first()
+    assert r.f > 100
+    assert np.allclose(r.s, [float(want[r.f + i] / total) for i in range(len(r.s))], rtol=1e-9, atol=1e-15) and exp(-rate) > 0
+
+
+def test_a_very_large_rate_is_dealt_by_blocks(spark, monkeypatch):
+    df = spark.range(1001).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 7, "one").otherwise("rest").alias("source"))
+    got = mixing.mixed(df, total=2_000_000).groupBy("doc_id", "source").agg(F.count("*").alias("n"), F.countDistinct("copy_no").alias("d"), F.max("copy_no").alias("m"))
+    by = {r.doc_id: r for r in got.collect()}
+    assert abs(by[7].n - 1_000_000) < 6_000 and len(by) == 1001 and all(r.n == r.d == r.m + 1 for r in by.values())
+    small = df.where("doc_id < 60")
+    want = sorted(r[:] for r in mixing.mixed(small, total=9000).collect())
+    monkeypatch.setattr(mixing, "COPIES", 50)
+    assert sorted(r[:] for r in mixing.mixed(small, total=9000).collect()) == want
+    plan = mixing.mixed(small, total=9000)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_mixing_leaves_clashing_columns_alone(spark):
+    names = ["__mix_source", "__mix_steps", "__mix_first", "__mix_n", "__mix_copy", "__MIX_KEY", "rate", "source_", "a.b"]
+    df = spark.createDataFrame([(1, "a", *names), (2, "b", *names)], "doc_id long, source string, " + ", ".join(f"`{n}` string" for n in names))
+    got = mixing.mixed(df, total=20, mark=False)
+    assert got.columns == df.columns and {r[2:] for r in got.collect()} == {tuple(names)}
+    assert mixing.mixed(df, total=20).columns == ["copy_no", "shuffle_key", *df.columns]
+
+
 def test_mixing_awkward_tables(spark):
     docs = awkward(spark).withColumn("shuffle_key", F.lit(1))
     got = mixing.mixed(docs, total=60).collect()
@@ -215,8 +254,10 @@ def test_mixing_awkward_tables(spark):
 def test_many_sources_are_joined_by_shuffle(spark, monkeypatch):
     df = spark.range(300).select(F.col("id").alias("doc_id"), (F.col("id") % 40).cast("string").alias("source"))
     want = sorted(r[:] for r in mixing.mixed(df).collect())
-    monkeypatch.setattr(mixing, "FEW_SOURCES", 5)
-    assert sorted(r[:] for r in mixing.mixed(df).collect()) == want
+    for name, few in (("FEW_SOURCES", 5), ("FEW_STEPS", 100)):
+        with monkeypatch.context() as m:
+            m.setattr(mixing, name, few)
+            assert sorted(r[:] for r in mixing.mixed(df).collect()) == want
 
 
 def test_no_python_in_the_mixing(spark):
