@@ -23,10 +23,9 @@ from tidelog.llm.common import scanned, tidied
 
 #: Unknown sentences allowed between two sentences of a rule.
 GAP = 3
-#: Characters after which a text without marks counts as another sentence, and those that a pattern's .* holds at most.
-LONGEST = 2000
 
-#: Known sentences, as (identifier, pattern of the normalised sentence).
+#: Known sentences, as (identifier, pattern of the normalised sentence). At most one .* in a pattern stands
+#: for any text of the same paragraph.
 SENTENCES = (
     ("mit-grant", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     ("mit-notice", r"the above copyright notice and this permission notice shall be included in all copies"),
@@ -58,10 +57,37 @@ SENTENCES = (
     ("cc-by-nc", r"(?:licensed|released) under (?:a |the )?(?:creative commons|cc) (?:attribution noncommercial|by nc)"),
     ("cc-by-sa", r"(?:licensed|released) under (?:a |the )?(?:creative commons|cc) (?:attribution sharealike|by sa)"),
     ("cc-by", r"(?:licensed|released) under (?:a |the )?(?:creative commons|cc) (?:attribution|by)"),
-    ("cc0", r"(?:cc0|to the extent possible under law .* has waived all copyright)"),
+    ("cc0-name", r"cc0"),
+    ("cc0", r"to the extent possible under law .* has waived all copyright"),
     ("unlicense", r"this is free and unencumbered software released into the public domain"),
     ("public-domain", r"(?:is|are|released|placed) (?:hereby )?(?:in|into|in to) the public domain"),
     ("all-rights", r"all rights reserved"),
+    ("zlib-warranty", r"this software is provided as is without any express or implied warranty"),
+    ("zlib-grant", r"permission is granted to anyone to use this software for any purpose including commercial applications"),
+    ("zlib-origin", r"the origin of this software must not be misrepresented"),
+    ("boost-grant", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this licen[sc]e"),
+    ("boost-name", r"(?:licensed|released|distributed) under the boost software licen[sc]e"),
+    ("epl-2", r"made available under the terms of the eclipse public licen[sc]e,? (?:version |v ?\.? ?)?2"),
+    ("epl-1", r"made available under the terms of the eclipse public licen[sc]e,? (?:version |v ?\.? ?)?1"),
+    ("ofl", r"licensed under the sil open font licen[sc]e"),
+    ("cddl", r"subject to the terms of the common development and distribution licen[sc]e"),
+    ("artistic", r"(?:licensed|released|distributed) under the (?:terms of the )?artistic licen[sc]e"),
+    ("perl", r"under the same terms as perl itself"),
+    ("wtfpl", r"do what the fuck you want to public licen[sc]e"),
+    ("spdx-mit", r"spdx licen[sc]e identifier mit(?![\w-])"),
+    ("spdx-apache-2", r"spdx licen[sc]e identifier apache 2\.0"),
+    ("spdx-bsd-2", r"spdx licen[sc]e identifier bsd 2"),
+    ("spdx-bsd-3", r"spdx licen[sc]e identifier bsd 3"),
+    ("spdx-isc", r"spdx licen[sc]e identifier isc"),
+    ("spdx-gpl-2", r"spdx licen[sc]e identifier gpl 2\.0"),
+    ("spdx-gpl-3", r"spdx licen[sc]e identifier gpl 3\.0"),
+    ("spdx-lgpl", r"spdx licen[sc]e identifier lgpl"),
+    ("spdx-agpl-3", r"spdx licen[sc]e identifier agpl 3\.0"),
+    ("spdx-mpl-2", r"spdx licen[sc]e identifier mpl 2\.0"),
+    ("spdx-epl-2", r"spdx licen[sc]e identifier epl 2\.0"),
+    ("spdx-zlib", r"spdx licen[sc]e identifier zlib"),
+    ("spdx-boost", r"spdx licen[sc]e identifier bsl 1\.0"),
+    ("spdx-unlicense", r"spdx licen[sc]e identifier unlicense"),
 )
 #: Ordered rules, as (licence, identifiers in sequence).
 RULES = (
@@ -74,6 +100,7 @@ RULES = (
     ("LGPL", ("lgpl-free", "gpl-warranty", "gpl-copy")),
     ("GPL", ("gpl-free", "gpl-warranty", "gpl-copy")),
     ("ISC", ("isc-grant", "mit-warranty")),
+    ("Zlib", ("zlib-warranty", "zlib-grant", "zlib-origin")),
     ("MIT", ("mit-grant", "mit-notice")),
     ("MIT", ("mit-name",)),
     ("BSD", ("bsd-name",)),
@@ -91,8 +118,33 @@ RULES = (
     ("CC-BY-SA", ("cc-by-sa",)),
     ("CC-BY", ("cc-by",)),
     ("CC0", ("cc0",)),
+    ("CC0", ("cc0-name",)),
     ("Unlicense", ("unlicense",)),
     ("Public-Domain", ("public-domain",)),
+    ("Zlib", ("zlib-grant",)),
+    ("BSL-1.0", ("boost-grant",)),
+    ("BSL-1.0", ("boost-name",)),
+    ("EPL-2.0", ("epl-2",)),
+    ("EPL-1.0", ("epl-1",)),
+    ("OFL-1.1", ("ofl",)),
+    ("CDDL", ("cddl",)),
+    ("Artistic", ("artistic",)),
+    ("Perl", ("perl",)),
+    ("WTFPL", ("wtfpl",)),
+    ("MIT", ("spdx-mit",)),
+    ("Apache-2.0", ("spdx-apache-2",)),
+    ("BSD-2-Clause", ("spdx-bsd-2",)),
+    ("BSD-3-Clause", ("spdx-bsd-3",)),
+    ("ISC", ("spdx-isc",)),
+    ("GPL-2.0", ("spdx-gpl-2",)),
+    ("GPL-3.0", ("spdx-gpl-3",)),
+    ("LGPL", ("spdx-lgpl",)),
+    ("AGPL-3.0", ("spdx-agpl-3",)),
+    ("MPL-2.0", ("spdx-mpl-2",)),
+    ("EPL-2.0", ("spdx-epl-2",)),
+    ("Zlib", ("spdx-zlib",)),
+    ("BSL-1.0", ("spdx-boost",)),
+    ("Unlicense", ("spdx-unlicense",)),
     ("All-Rights-Reserved", ("all-rights",)),
 )
 #: A sentence ends at a mark that a blank follows (but for the v. of a version) and at a blank line.
@@ -100,14 +152,16 @@ _END = re.compile(r"(?<=[.!?])(?<!\bv\.)\s+|\n\s*\n")
 _BLANK_LINE = re.compile(r"\n\s*\n")
 #: Marks of comments and lists at the edges of a line.
 _EDGE = re.compile(r"(?m)^[ \t]*(?:(?:<!--|\(\*|[/*#;%!|>:'.\"-])+|(?:dnl|rem)\b)|(?<![*#/|;-])(?:--+>|[*#/|;-]+\)?)[ \t\r]*$")
-#: What a blank of a known sentence's pattern fits, and what its .* does: any marks in a sentence, any text in a paragraph.
-_BLANK, _ANY = r"(?:[^\w.\x00\x01]|\.(?!\d))++", rf"[^\x01]{{0,{LONGEST}}}?"
+#: What a blank of a known sentence's pattern fits: any marks in a sentence.
+_BLANK = r"(?:[^\w.\x00\x01]|\.(?!\d))++"
 
 
 def _needed(parsed) -> list[set[str]]:
     """From a parsed pattern: sets of words, of each of which any text that it fits holds one."""
     out, run = [], ""
     for op, arg in [*parsed, (None, None)]:
+        if op is _constants.ASSERT_NOT:
+            continue
         if op is _constants.LITERAL and arg != ord(" "):
             run += chr(arg)
             continue
@@ -124,15 +178,37 @@ def _needed(parsed) -> list[set[str]]:
 
 
 @cache
-def _known() -> list[tuple[str, list[set[str]], re.Pattern]]:
-    """(identifier, sets of words one of each of which is needed, pattern) of the known sentences."""
-    wide = lambda p: p.replace(",?", "").replace(".*", "\x02").replace(" ?", f"(?:{_BLANK})?").replace(" ", _BLANK).replace("\x02", _ANY)
-    return [(name, _needed(_parser.parse(pattern.replace(",?", ""))), re.compile(wide(pattern))) for name, pattern in SENTENCES]
+def _known() -> list[tuple[str, list[set[str]], list[re.Pattern]]]:
+    """(identifier, sets of words one of each of which is needed, patterns before and after .*) of the known sentences."""
+    wide = lambda p: re.compile(p.strip().replace(",?", "").replace(" ?", f"(?:{_BLANK})?").replace(" ", _BLANK))
+    return [(name, _needed(_parser.parse(pattern.replace(",?", ""))), [wide(p) for p in pattern.split(".*")]) for name, pattern in SENTENCES]
 
 
-def sought(low: str) -> list[tuple[str, re.Pattern]]:
+def sought(low: str) -> list[tuple[str, list[re.Pattern]]]:
     """The known sentences whose words a text in lower case has; no others can be in it."""
-    return [(name, pattern) for name, needed, pattern in _known() if all(any(word in low for word in words) for words in needed)]
+    return [(name, parts) for name, needed, parts in _known() if all(any(word in low for word in words) for words in needed)]
+
+
+def spans_of(parts: list[re.Pattern], whole: str) -> Iterator[tuple[int, int]]:
+    """Where a known sentence stands in a text, leftmost first and without overlaps.
+
+    Of two parts the second may stand anywhere after the first in the same paragraph (\x01 ends one); the nearest counts.
+    The parts' places are merged, so no length is too long and no text takes more than two searches.
+    """
+    if len(parts) == 1:
+        yield from (m.span() for m in parts[0].finditer(whole))
+        return
+    tails, tail, at = parts[1].finditer(whole), None, 0
+    for head in parts[0].finditer(whole):
+        if head.start() < at:
+            continue
+        while tail is None or tail.start() < head.end():
+            tail = next(tails, None)
+            if tail is None:
+                return
+        if whole.find("\x01", head.end(), tail.start()) < 0:
+            at = tail.end()
+            yield head.start(), at
 
 
 def plain(text: str) -> str:
@@ -149,10 +225,11 @@ def ends(low: str) -> list[tuple[int, int]]:
 
 
 def sentences(size: int, cuts: list[tuple[int, int]]) -> list[int]:
-    """Where the sentences between the cuts begin; one over LONGEST characters counts once for each LONGEST begun."""
+    """Where the sentences between the cuts begin."""
     at, out = 0, []
     for b, e in [*cuts, (size, size)]:
-        out.extend(range(at, b, LONGEST))
+        if at < b:
+            out.append(at)
         at = e
     return out
 
@@ -160,8 +237,8 @@ def sentences(size: int, cuts: list[tuple[int, int]]) -> list[int]:
 def identify(text: str) -> tuple[int, list[tuple[int, int, int, str]]]:
     """How many sentences there are, and (number, start, end, identifier) of the known ones, by place.
 
-    Known sentences are sought in the whole text, so lines, marks of comments and LONGEST don't part them, and several may
-    share a sentence; of those that overlap the first listed stays. A mark inside of one (an abbreviation's) ends none.
+    Known sentences are sought in the whole text, so lines and marks of comments don't part them, and several may share a
+    sentence; of those that overlap the first listed stays. A mark inside of one (an abbreviation's) ends none.
     """
     low = plain(text)
     cuts, spans, taken = ends(low), [], bytearray(len(low))
@@ -170,9 +247,8 @@ def identify(text: str) -> tuple[int, list[tuple[int, int, int, str]]]:
         for b, e in cuts:
             whole[b] = "\x01" if _BLANK_LINE.search(low, b, e) else "\x00"
         whole = "".join(whole)
-        for name, pattern in found:
-            for m in pattern.finditer(whole):
-                b, e = m.span()
+        for name, parts in found:
+            for b, e in spans_of(parts, whole):
                 if taken.find(1, b, e) < 0:
                     taken[b:e] = b"\x01" * (e - b)
                     spans.append((b, e, name))
