@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidelog.llm import langid, mixing, packing, secrets, simhash
 from tidelog.llm.common import table
-from tidelog.llm.queries import vocabulary
+from tidelog.llm.queries import in_small_batches, vocabulary
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.packed(docs, vocabulary("byte_bpe_50k.json"), end_id=0)
 
 
-STAGES = [("language", language), ("near_dedup", near_dedup), ("secrets", without_secrets), ("mixing", mixed), ("packing", packed)]
+STAGES = [(name, in_small_batches(f)) for name, f in (("language", language), ("near_dedup", near_dedup), ("secrets", without_secrets), ("mixing", mixed), ("packing", packed))]
 #: SQL can't express the fingerprints' components or the packing; tests hold run() against brute force.
 ORACLE_SQL = None
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +12,24 @@ from tidelog.llm import ann, langid, licenses, metric_join, mixing, packing, sec
 from tidelog.llm.common import table
 
 
+#: Rows of an Arrow batch that the registered queries and the pipeline's stages ask Spark for: whole texts are long. The
+#: operators themselves leave the session alone and bound what they take from a batch.
+BATCH_ROWS = 1024
+
+
+def in_small_batches(query: Callable) -> Callable:
+    """The query, in a session whose Arrow batches have BATCH_ROWS rows at most: the same for all, whichever runs first."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, *args) -> DataFrame:
+        name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+            spark.conf.set(name, str(BATCH_ROWS))
+        return query(spark, *args)
+
+    return run
+
+
 def vocabulary(name: str) -> str:
     import public_tokenizers
 
@@ -60,7 +81,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_licenses, op3_toxicity, op4_simhash, op5_metric_join, op6_secrets, op7_token_ids, op8_packing, op9_ann, op10_mixing)}
+QUERIES = {f.__name__: in_small_batches(f) for f in (op1_langid, op2_licenses, op3_toxicity, op4_simhash, op5_metric_join, op6_secrets, op7_token_ids, op8_packing, op9_ann, op10_mixing)}
 
 
 def _secrets_sql() -> str:
