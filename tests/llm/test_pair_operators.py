@@ -146,6 +146,46 @@ def test_metric_join_against_brute_force(spark, block):
     assert [(r.n_links, r.component_id, r.kept) for r in got if r.vec_id is None] == [(0, None, True)]
 
 
+def test_metric_join_of_many_lengths(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=2 + i % 9).astype(np.float32).tolist(), 0) for i in range(300)]
+    rows += [(300 + i, [x * 2 for x in rows[i][1]], 0) for i in range(40)]
+    df = spark.createDataFrame(rows, VECTORS)
+    want = plain_links(df.collect())
+    for most in (4096, 3):
+        monkeypatch.setattr(metric_join, "MAX_LENGTHS", most)
+        for block in (8, None):
+            got = metric_join.linked(df, block=block).collect()
+            assert sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in got) == want
+
+
+def test_cells_prune_where_vectors_lie_in_clusters():
+    """Clusters far apart: vectors visit few blocks. Rings part a cell that is too large; every near pair still meets."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(40, 24))
+    x = np.repeat(centres, 100, axis=0) + rng.normal(size=(4000, 24)) * 0.05
+    u = rng.permutation(x / np.linalg.norm(x, axis=1, keepdims=True))
+    r = np.sqrt(2 - 2 * 0.95)
+    for pivots, block, most in ((metric_join.choose_pivots(u[:2000], len(u), 250, r), 250, 3.0), (u[:1], 250, None)):
+        d = metric_join._distances(u, pivots)
+        home, dist = d.argmin(axis=1), d.min(axis=1)
+        step = (dist * (metric_join.RINGS / r)).astype(int)
+        counts = {}
+        for c, s, v in zip(home.tolist(), step.tolist(), dist.tolist(), strict=True):
+            n, lo, hi = counts.get((c, s), (0, v, v))
+            counts[c, s] = (n + 1, min(lo, v), max(hi, v))
+        cells = metric_join.Cells(pivots, r, 5, counts, block)
+        own = cells.home(home, step, rng.integers(0, 1 << 20, len(u)))
+        assert np.bincount(own - 5).max() <= 1.5 * block + 50 and cells.end == 5 + len(cells.numbers)
+        who, to = cells.visits(u, home, own)
+        assert most is None or len(who) <= most * len(u)
+        there = set(zip(who.tolist(), to.tolist(), strict=True))
+        a, b = np.nonzero(np.triu(u @ u.T >= 0.95, 1))
+        assert len(a) > 10_000
+        for i, j in zip(a[::97].tolist(), b[::97].tolist(), strict=True):
+            assert ((i, own[j]) in there) + ((j, own[i]) in there) == 1 + (own[i] == own[j])
+
+
 def test_metric_join_of_whole_tables(spark):
     assert metric_join.linked(spark.createDataFrame([], VECTORS)).collect() == []
     got = queries.op5_metric_join(spark, SF).collect()

@@ -128,6 +128,11 @@ def run_through(items: Column, start: Column, advance: Callable[[Column, Column]
     return F.flatten(let(let(items, chunked), lambda chunks: let(states(chunks), lambda before: F.transform(chunks, lambda c, i: within(c, F.element_at(before, i + 1))))))
 
 
+def block_of(n: int, dim: int, tasks: int, floats: int, least: int = 1024) -> int:
+    """Vectors that one task holds at a time: a task's share of them, but never more than `floats` numbers."""
+    return max(1, min(max(least, -(-n // max(1, tasks))), max(1, floats // max(1, dim))))
+
+
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str], value: str) -> Iterator[tuple[tuple, np.ndarray]]:
     """From batches sorted by integer key columns: each key with the values of all its rows."""
     last, kept = None, []

@@ -178,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, grade: Column, id_col: str = "doc_
 
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).where(F.col("t").isNotNull())
     ids = F.broadcast(spark.createDataFrame(keep, "id long, y int"))
-    found = text.join(ids, "id").dropDuplicates(["id", "y"]).select("id", "y", "t").mapInArrow(tidied(run), "id long, y int, at binary, x binary").collect()
+    found = text.join(ids, "id").groupBy("id", "y").agg(F.min("t").alias("t")).select("id", "y", "t").mapInArrow(tidied(run), "id long, y int, at binary, x binary").collect()
     found.sort(key=lambda r: (r.id, r.y))
     levels = sorted({r.y for r in found} | {0})
     rows = [dict(zip(np.frombuffer(r.at, "<u4").tolist(), np.frombuffer(r.x, "<f4").tolist(), strict=True)) for r in found]
