@@ -234,6 +234,33 @@ def test_nearest_neighbours_on_awkward_tables(spark, block):
     assert ann.nearest(few.limit(1), F.col("id") == 0).collect() == []
 
 
+def test_an_index_finds_all_codes_within_the_radius():
+    """Pigeonhole: by look-up of flipped bits or by comparison, what the index finds is what all distances say."""
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.normal(size=(60, 32)), 10, axis=0) + rng.normal(size=(600, 32)) * 0.02
+    index = ann.learn(x, 5)
+    assert index.width == 16 and index.reached < 0.1 and index.radius < 48
+    for width, radius in ((16, index.radius), (16, 7), (16, 40), (32, 25), (64, 90), (16, 140)):
+        index.width, index.radius = width, radius
+        block = ann.Block(index, np.arange(600), x)
+        assert block.lookups == (width == 16 and radius < 100)
+        asked = block.codes[:80]
+        want = np.bitwise_count(asked[:, None, :] ^ block.codes[None]).sum(2) <= radius
+        a, b = block.within(asked)
+        got = np.zeros_like(want)
+        got[a, b] = True
+        assert np.array_equal(got, want) and len(a) == want.sum()
+        assert (ann.probed(index, block.codes, asked, width) >= want).all()
+
+
+def test_queries_take_bounds_along_to_later_blocks(spark, monkeypatch):
+    df = clustered(spark, 300)
+    every = F.col("id") % 4 == 0
+    want = sorted(r[:] for r in ann.nearest(df, every, block=8).collect())
+    monkeypatch.setattr(ann, "MANY", 1000)
+    assert sorted(r[:] for r in ann.nearest(df, every, block=8).collect()) == want and len(want) >= 300
+
+
 @pytest.mark.parametrize("few", [0, 3, 1000])
 def test_only_by_either_side_or_a_shuffle(spark, monkeypatch, few):
     from tidelog.llm import common
