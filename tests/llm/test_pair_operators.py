@@ -240,7 +240,7 @@ def test_an_index_finds_all_codes_within_the_radius():
     x = np.repeat(rng.normal(size=(60, 32)), 10, axis=0) + rng.normal(size=(600, 32)) * 0.02
     index = ann.learn(x, 5)
     assert index.width == 16 and index.reached < 0.1 and index.radius < 48
-    for width, radius in ((16, index.radius), (16, 7), (16, 40), (32, 25), (64, 90), (16, 140)):
+    for width, radius in ((16, index.radius), (16, 7), (16, 40), (32, 25), (64, 90), (128, 60), (16, 140)):
         index.width, index.radius = width, radius
         block = ann.Block(index, np.arange(600), x)
         assert block.lookups == (width == 16 and radius < 100)

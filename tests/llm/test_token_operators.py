@@ -6,6 +6,8 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -265,14 +267,18 @@ def test_no_python_in_the_mixing(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
-def test_pipeline_against_plain_stages(spark):
-    """The stages one by one in plain Python, from the same documents; the language model is the operator's own."""
-    docs = [r.asDict() for r in spark.read.parquet(f"{TINY}/documents.parquet").orderBy("doc_id").collect()]
-    model = langid.train(spark.read.parquet(f"{TINY}/documents.parquet"))
+def plain_stages(docs, model):
+    """The stages but the last one by one in plain Python; the language model is the operator's own."""
     docs = [d for d in docs if not model.predict(d["text"])[2]]
-    roots = plain_components(len(docs), near_pairs([plain_fingerprint(d["text"]) for d in docs]))
-    docs = [d for i, d in enumerate(docs) if roots[i] == i]
-    for d in docs:
+    fps = [plain_fingerprint(d["text"]) for d in docs]
+    signed = [f - (1 << 64) * (f >> 63) for f in fps]
+    roots = plain_components(len(docs), near_pairs(fps))
+    order = sorted(range(len(docs)), key=lambda i: (docs[i]["doc_id"] is None, docs[i]["doc_id"] or 0, signed[i]))
+    heads, kept = {}, []
+    for i in order:
+        if heads.setdefault(roots[i], i) == i:
+            kept.append(docs[i])
+    for d in kept:
         spans = sorted((m.start(), m.end()) for r in secrets.RULES for m in re.finditer(r.pattern, d["text"]) if len(m[r.group]) >= r.least)
         out, at = [], 0
         for s, e in spans:
@@ -281,12 +287,36 @@ def test_pipeline_against_plain_stages(spark):
             at = max(at, e)
         d["text"] = "".join(out) + d["text"][at:]
     con = duckdb.connect()
-    con.register("docs_df", __import__("pandas").DataFrame(docs))
-    con.sql("create view documents as select * from docs_df")
-    mixed = con.sql(queries.ORACLE_SQL["op10_mixing"]).df()
-    pieces = corpus_pipeline.run(spark, TINY).collect()
-    assert check_packing(pieces, list(mixed.itertuples(index=False))) < 2048
-    assert 0 < len(docs) < 200
+    con.register("docs_df", pa.Table.from_pylist(kept))
+    con.sql("create view documents as select doc_id, text, lang, source, n_chars from docs_df")
+    return kept, list(con.sql(queries.ORACLE_SQL["op10_mixing"]).df().astype({"doc_id": "Int64"}).itertuples(index=False))
+
+
+def test_pipeline_against_plain_stages(spark):
+    docs = [r.asDict() for r in spark.read.parquet(f"{TINY}/documents.parquet").orderBy("doc_id").collect()]
+    kept, mixed = plain_stages(docs, langid.train(spark.read.parquet(f"{TINY}/documents.parquet")))
+    assert check_packing(corpus_pipeline.run(spark, TINY).collect(), mixed) < 2048
+    assert 0 < len(kept) < 200
+
+
+def test_pipeline_of_an_awkward_table(spark, tmp_path):
+    """Null, empty and very long texts, null and repeated ids, copies, secrets, columns with the stages' own names."""
+    own = ["__fp", "__key", "__id", "__head", "__secret_blob", "__secret_spans", "__secret_text", "__mix_n", "__mix_copy", "__mix_key", "fp", "root", "rate", "Text_", "a.b"]
+    rows = awkward(spark)
+    tiny = spark.read.parquet(f"{TINY}/documents.parquet").where("doc_id < 120")
+    both = tiny.unionByName(rows.select(*tiny.columns)).unionByName(rows.select(*tiny.columns).where("doc_id = 8").withColumn("doc_id", F.lit(None).cast("long")))
+    for name in [*rows.columns[5:], *own]:
+        both = both.withColumn(name, F.lit(name))
+    both.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        assert out.select(*(F.col(f"`{c}`") for c in docs.columns[5:])).distinct().count() == 1
+    plain = sorted((r.asDict() for r in docs.select(*tiny.columns).collect()), key=lambda d: (d["doc_id"] is None, d["doc_id"] or 0))
+    kept, mixed = plain_stages(plain, langid.train(docs))
+    check_packing(corpus_pipeline.run(spark, str(tmp_path)).collect(), [r._replace(doc_id=None if r.doc_id is pd.NA else int(r.doc_id)) for r in mixed])
+    assert len(kept) < len(plain) and sum(d["doc_id"] is None for d in kept) > 0
 
 
 def test_pipeline_stages_keep_the_columns(spark):

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tidelog.llm.common import block_of, stored, tidied
 from tidelog.llm.metric_join import usable
 
-BITS, WIDTHS = 256, (16, 32, 64)
+BITS, WIDTHS = 256, (16, 32, 64, 128)
 #: Rows that the rotations and the radius are learned from, and the share of their neighbours' codes the radius holds.
 SAMPLE, HELD = 4096, 0.97
 #: Share of a block's rows that a substring length may reach where a longer one is to be had.
@@ -57,17 +57,26 @@ class Index:
         return [near if s <= rest else near - 1 for s in range(m)]
 
 
-def _parts(codes: np.ndarray, width: int) -> np.ndarray:
-    return np.ascontiguousarray(codes).view(f"<u{width // 8}")
+def _parts(codes: np.ndarray, width: int) -> list[np.ndarray]:
+    """The codes' substrings, each as (rows, machine words)."""
+    words = np.ascontiguousarray(codes).view(f"<u{min(width, 64) // 8}").reshape(len(codes), -1, max(1, width // 64))
+    return [np.ascontiguousarray(words[:, s]) for s in range(words.shape[1])]
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """(rows of a, rows of b): bits that differ."""
+    out = np.bitwise_count(a[:, None, 0] ^ b[None, :, 0])
+    for w in range(1, a.shape[1]):
+        out = out + np.bitwise_count(a[:, None, w] ^ b[None, :, w])
+    return out
 
 
 def probed(index: Index, codes: np.ndarray, asked: np.ndarray, width: int) -> np.ndarray:
     """(queries, rows): whether some substring lies within its reach; the plain form of what a block's index finds."""
-    rows, own = _parts(codes, width), _parts(asked, width)
     out = np.zeros((len(asked), len(codes)), bool)
-    for s, reach in enumerate(index.reaches(width)):
+    for own, rows, reach in zip(_parts(asked, width), _parts(codes, width), index.reaches(width), strict=True):
         if reach >= 0:
-            out |= np.bitwise_count(own[:, s][:, None] ^ rows[:, s][None, :]) <= reach
+            out |= _apart(own, rows) <= reach
     return out
 
 
@@ -105,12 +114,12 @@ class Block:
         self.reaches = index.reaches()
         self.lookups = index.width == 16 and sum(math.comb(16, i) for i in range(max(0, max(self.reaches)) + 1)) <= 4096
         if self.lookups:
-            self.order = [np.argsort(p, kind="stable") for p in self.parts.T]
-            self.starts = [np.searchsorted(p[o], np.arange((1 << 16) + 1)) for p, o in zip(self.parts.T, self.order, strict=True)]
+            self.order = [np.argsort(p[:, 0], kind="stable") for p in self.parts]
+            self.starts = [np.searchsorted(p[o, 0], np.arange((1 << 16) + 1)) for p, o in zip(self.parts, self.order, strict=True)]
             flips = [sum(1 << i for i in c) for n in range(max(self.reaches) + 1) for c in combinations(range(16), n)]
             self.flips = np.array(flips, np.int64)
         else:
-            self.values = [np.unique(p, return_inverse=True) for p in self.parts.T]
+            self.values = [np.unique(p, axis=0, return_inverse=True) for p in self.parts]
 
     def within(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query, row) of codes within the radius, by the index."""
@@ -121,7 +130,7 @@ class Block:
                 continue
             if self.lookups:
                 flips = self.flips[: sum(math.comb(16, i) for i in range(reach + 1))]
-                buckets = own[:, s].astype(np.int64)[:, None] ^ flips[None, :]
+                buckets = own[s].astype(np.int64) ^ flips[None, :]
                 size = self.starts[s][buckets + 1] - self.starts[s][buckets]
                 query, at = np.nonzero(size)
                 n = size[query, at]
@@ -130,7 +139,7 @@ class Block:
                 found[np.repeat(query, n), self.order[s][rows]] = True
             else:
                 values, rows = self.values[s]
-                found |= (np.bitwise_count(values[None, :] ^ own[:, s][:, None]) <= reach)[:, rows]
+                found |= (_apart(own[s], values) <= reach)[:, rows]
         a, b = np.nonzero(found)
         keep = np.bitwise_count(asked[a] ^ self.codes[b]).sum(1) <= self.index.radius
         return a[keep], b[keep]

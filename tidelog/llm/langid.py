@@ -234,6 +234,8 @@ def accepted(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array([not model.predict(t)[2] for t in b.column(at).to_pylist()], pa.bool_()))
+            kept = b.filter(pa.array([not model.predict(t)[2] for t in b.column(at).to_pylist()], pa.bool_()))
+            yield pa.RecordBatch.from_arrays(kept.columns, names)
 
-    return scanned(df).mapInArrow(tidied(run), df.schema)
+    names = df.columns
+    return scanned(df).toDF(*map(str, range(len(names)))).mapInArrow(tidied(run), df.schema)  # numbers: names may hold dots

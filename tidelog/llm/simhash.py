@@ -208,7 +208,8 @@ def _with_fingerprint(df: DataFrame, text_col: str, width: int, at: str) -> Data
 
     names = [*df.columns, at]
     schema = df.withColumn(at, F.lit(0).cast("long")).schema
-    return df.withColumn(at, named(text_col).cast("string")).mapInArrow(tidied(run), schema)
+    rows = df.withColumn(at, named(text_col).cast("string"))
+    return rows.toDF(*map(str, range(n + 1))).mapInArrow(tidied(run), schema)  # numbers: names may hold dots
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, width: int = SHINGLE, block: int = BLOCK) -> DataFrame:
