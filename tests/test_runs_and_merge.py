@@ -2,12 +2,15 @@
 
 import random
 
+import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidelog.functions import formats
-from tidelog.operators import lookup, merge, runs, state
+from tidelog.operators import catalog, lookup, merge, runs, state
 from tidelog.plans import queries
+from tidelog.plans.oracle import ORACLE_SQL
 from tidelog.plans.queries import workload
 
 LOG = "seq long, key string, value string, is_tombstone boolean"
@@ -87,7 +90,7 @@ TOP_LEVEL = {0: 0, 3: 0, 64: 3, 1023: 4, 1024: 5, 4**6 + 5: 6}
 @pytest.mark.parametrize("n", TOP_LEVEL)
 def test_the_catalog_knows_the_runs_of_all_levels(spark, monkeypatch, n):
     monkeypatch.setattr(queries, "flushes", lambda spark, sf_dir: spark.range(n).select(F.col("id").alias("gen")))
-    placed = queries.placed(spark, "").select("level", formats.run_name(F.col("level"), F.col("run_no")).alias("path")).distinct()
+    placed = queries.placed(queries.flushed_gens(spark, "")).select("level", formats.run_name(F.col("level"), F.col("run_no")).alias("path")).distinct()
     active = set(rows(placed, "level", "path"))
     assert set(rows(queries.manifest_active_runs(spark, ""), "level", "path")) == active and max([k for k, _ in active], default=0) == TOP_LEVEL[n]
     used, orphans = ({x for x, in rows(q(spark, ""), "name")} for q in (queries.used_files, queries.orphan_files))
@@ -161,3 +164,46 @@ def test_filters_miss_no_key_and_few_others(spark):
     assert len(got) == 4000 and all(r.maybe for r in got if r.key % 2 == 0) and sum(r.maybe for r in got if r.key % 2) < 60
     none = lookup.maybe_contains(keys, lookup.filter_of(keys.limit(0), 0), 0)
     assert none.where("maybe").count() == 0
+
+
+def test_catalog_beyond_five_levels(spark):
+    """1,500 flushes make runs of level 5; the catalog's fold against levels merged one by one."""
+    levels, n = {}, 1500
+    for gen in range(n):
+        levels.setdefault(0, []).append(gen)
+        k = 0
+        while len(levels[k]) == 4:
+            levels.setdefault(k + 1, []).append(levels[k][0] // 4)
+            levels[k] = []
+            k += 1
+    gens = spark.range(n).withColumnRenamed("id", "gen")
+    log = queries.manifest(gens)
+    got = sorted((r.level, int(r.path.split("-")[1][:20])) for r in catalog.active_runs(log).collect())
+    assert got == sorted((k, x) for k, of in levels.items() for x in of) and max(levels) == 5
+    files = queries.listing(gens)
+    used = {r.name for r in catalog.used(files, log).collect()}
+    assert len(used) == len(got) and not used & {r.name for r in catalog.orphans(files, log).collect()}
+    con = duckdb.connect()
+    sql = ORACLE_SQL["manifest_active_runs"].replace("shut AS (SELECT gen FROM g GROUP BY gen HAVING sum(c) >= 8192)", f"shut AS (SELECT i AS gen FROM range(0, {n}) t(i))")
+    con.sql("create view events as select 0::bigint as event_id, 1::bigint as user_id, 'x' as event_type, '' as props")
+    assert sorted((r[0], int(r[1].split("-")[1][:20])) for r in con.sql(sql).fetchall()) == got
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_runs_probed_against_pairs(spark, kind, monkeypatch):
+    rng = np.random.default_rng(1)
+    make = (lambda i: int(i)) if kind == "long" else (lambda i: f"k{i:04}é" if i % 3 else f"k{i:04}")
+    entries = [(int(r), make(k)) for r in range(30) for k in rng.choice(400, 9, replace=False)]
+    asked = sorted({make(i) for i in rng.integers(0, 500, 300)})
+    bounds = {r: (min(k for q, k in entries if q == r), max(k for q, k in entries if q == r)) for r in range(30)}
+    want = {}
+    for k in asked:
+        hit = max((r for r, x in entries if x == k), default=-1)
+        want[k] = sum(lo <= k <= hi and r >= hit for r, (lo, hi) in bounds.items())
+    df = spark.createDataFrame([(r, k, False) for r, k in entries], f"sstable_id long, key {kind}, is_tombstone boolean")
+    probes = spark.createDataFrame([(k,) for k in [*asked, *asked[:5], None]], f"key {kind}")
+    for chunk in (7, 64):
+        monkeypatch.setattr(lookup, "CHUNK", chunk)
+        assert {r.key: r.n_probed for r in lookup.runs_probed(probes, runs.metadata(df, "sstable_id"), df).collect()} == want
+    none = lookup.runs_probed(probes, runs.metadata(df.limit(0), "sstable_id"), df.limit(0)).collect()
+    assert {r.key: r.n_probed for r in none} == dict.fromkeys(asked, 0)

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelog.operators import ranged
 
@@ -14,21 +19,70 @@ def layered(entries: DataFrame) -> DataFrame:
     return entries.groupBy("key").agg(first).select("key", F.col("e.layer").alias("layer"), F.when(~F.col("e.is_tombstone"), F.col("e.value")).alias("value"), (~F.col("e.is_tombstone")).alias("found"))
 
 
-def in_range(key: Column, least: Column, most: Column) -> Column:
-    return (key >= least) & (key <= most)
+#: Runs whose ranges are counted together.
+CHUNK = 64
+
+
+def _probed(keys: np.ndarray, hit: np.ndarray, ids: np.ndarray, least: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """For sorted keys, how many runs hold each within their range and are as new as `hit` (-1 for none) or newer.
+
+    Runs are taken in chunks, newest first: one sum of steps covers all keys whose hit is older than the whole chunk; only
+    for keys whose hit lies within the chunk's ids are its runs looked at one by one.
+    """
+    first, end = np.searchsorted(keys, least), np.searchsorted(keys, most, side="right")
+    out, order = np.zeros(len(keys), np.int64), np.argsort(-ids, kind="stable")
+    for i in range(0, len(order), CHUNK):
+        own = order[i : i + CHUNK]
+        steps = np.zeros(len(keys) + 1, np.int64)
+        np.add.at(steps, first[own], 1)
+        np.add.at(steps, end[own], -1)
+        oldest, newest = ids[own[-1]], ids[own[0]]
+        out += np.where(hit <= oldest, np.cumsum(steps)[:-1], 0)
+        at = np.flatnonzero((hit > oldest) & (hit <= newest))
+        out[at] += ((first[own] <= at[:, None]) & (at[:, None] < end[own]) & (ids[own] >= hit[at][:, None])).sum(axis=1)
+    return out
 
 
 def runs_probed(probes: DataFrame, runs: DataFrame, entries: DataFrame) -> DataFrame:
     """(key, n_probed): runs whose key range holds the probe, newest first, up to the one that has it.
 
-    `runs` is run metadata, one row a run: with levels of less than four runs, a few dozen whatever the data's size.
+    `runs` is run metadata, one row a run. Probes are range-partitioned by key; a run goes to each partition that its range
+    meets, and a partition counts by sorted places, without forming pairs.
     """
-    keys = probes.select("key").distinct()
     hit = entries.groupBy("key").agg(F.max("sstable_id").alias("hit"))
-    inside = in_range(F.col("key"), F.col("min_key"), F.col("max_key"))
-    ranged = keys.join(runs.select("sstable_id", "min_key", "max_key"), inside, "left").join(hit, "key", "left")
-    asked = F.col("sstable_id").isNotNull() & (F.col("hit").isNull() | (F.col("sstable_id") >= F.col("hit")))
-    return ranged.groupBy("key").agg(F.sum(asked.cast("long")).alias("n_probed"))
+    keys = ranged.ranged(probes.select("key").where(F.col("key").isNotNull()).distinct(), "key")
+    parts = keys.groupBy(ranged.PART).agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
+    meets = overlap(F.col("lo"), F.col("hi"), F.col("min_key"), F.col("max_key"))
+    own = runs.select(F.col("sstable_id").cast("long").alias("id"), "min_key", "max_key").join(F.broadcast(parts), meets)  # a row for each partition
+    kind = probes.schema["key"].dataType
+    rows = keys.join(hit, "key", "left").select(ranged.PART, F.lit(1).alias("side"), "key", F.coalesce("hit", F.lit(-1)).cast("long").alias("id"), F.lit(None).cast(kind).alias("most"))
+    rows = own.select(ranged.PART, F.lit(0).alias("side"), F.col("min_key").cast(kind).alias("key"), "id", F.col("max_key").cast(kind).alias("most")).unionByName(rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {0: [], 1: []}
+        now = None
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            if held[1]:
+                asked = pa.Table.from_batches(held[1])
+                runs_ = pa.Table.from_batches(held[0]) if held[0] else asked.slice(0, 0)
+                key, least, most = (c.to_numpy() for c in (asked["key"], runs_["key"], runs_["most"]))
+                n = _probed(key, asked["id"].to_numpy(), runs_["id"].to_numpy(), least, most)
+                yield pa.RecordBatch.from_arrays([asked["key"].combine_chunks(), pa.array(n)], ["key", "n_probed"])
+            held.update({0: [], 1: []})
+
+        for b in batches:
+            part, side = b.column(0).to_numpy(), b.column(1).to_numpy()
+            edges = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (side[1:] != side[:-1]))) if len(part) else []
+            for i, e in zip(edges, [*edges[1:], len(part)], strict=True):
+                if part[i] != now:
+                    yield from counted()
+                    now = part[i]
+                held[int(side[i])].append(b.slice(i, e - i))
+        yield from counted()
+
+    key_type = T.StructType([T.StructField("key", kind), T.StructField("n_probed", T.LongType())])
+    return rows.repartition(ranged.PART).sortWithinPartitions(ranged.PART, "side", "key").mapInArrow(run, key_type)
 
 
 #: Bits a key and hashes of a run's approximate filter: one absent key in a hundred is taken for a present one.

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.operators.state import latest
-from tidelog.sources.shared import cut
+from tidelog.sources.shared import cut, partitions
 
 
 def merge_order(entries: DataFrame, run: str = "sstable_id") -> DataFrame:
@@ -14,8 +14,7 @@ def merge_order(entries: DataFrame, run: str = "sstable_id") -> DataFrame:
 
     The place comes from counts of the entries below each key range, so no task sorts the whole.
     """
-    spark = entries.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions(entries)
     order = [F.asc("key"), F.desc(run)]
     placed = cut(entries.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()))
     counts = placed.groupBy("__part").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))

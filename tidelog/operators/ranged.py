@@ -10,15 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.sources.shared import cut
+from tidelog.sources.shared import cut, partitions
 
 PART = "__part"
 
 
 def ranged(df: DataFrame, *order: str) -> DataFrame:
     """`df` sorted over partitions by `order`, with the partition's number, from a checkpoint that fixes both."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn(PART, F.spark_partition_id()))
+    return cut(df.repartitionByRange(partitions(df), *order).sortWithinPartitions(*order).withColumn(PART, F.spark_partition_id()))
 
 
 def within(by: str, *order: str):

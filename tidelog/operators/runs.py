@@ -1,9 +1,10 @@
 """Write-buffer generations and the sorted runs that they become.
 
 A generation ends with the entry that brings its size to the limit; the next begins at 0. That is a fold over the whole
-log, done here without one task reading it: the log is range-partitioned by seq; each partition tabulates, for every size
-it may be entered with, how many generations it ends and the size it leaves with (a step function with as many steps as a
-generation has rows at most); one task runs through the tables in order; and every partition then numbers its own rows.
+log, done here without one task reading it: the log is range-partitioned by seq, into as many partitions as its size asks
+for; each partition tabulates, for every size it may be entered with, how many generations it ends and the size it leaves
+with (a step function with as many steps as a generation has rows at most); one task runs through the tables in order; and
+every partition then numbers its own rows, batch by batch.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.operators.state import PUT_COST, cost, latest
-from tidelog.sources.shared import cut
+from tidelog.sources import shared
 
 FANOUT = 4
 #: Levels beyond which no run can lie: 4^16 flushes.
@@ -25,19 +26,21 @@ LEVELS = 16
 
 def _table(costs: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Step i holds for entry sizes of least[i] and more (falling): generations ended and size left with. The last step,
-    least 0, is entered when no generation ends: its size is what the rows add."""
+    least 0, is entered when no generation ends: its size is what the rows add.
+
+    All steps go through the rows side by side, one generation at a time.
+    """
     c = np.cumsum(costs)
     n = len(c)
-    following = np.searchsorted(c, c + limit)
-    ended, left = np.ones(n + 1, np.int64), np.zeros(n + 1, np.int64)
-    for i in range(n - 1, -1, -1):
-        j = following[i]
-        if j < n:
-            ended[i], left[i] = ended[j] + 1, left[j]
-        else:
-            left[i] = c[-1] - c[i]
     last = min(n, int(np.searchsorted(c, limit)) + 1)
-    return limit - c[:last], ended[:last], left[:last]
+    at, ended = np.arange(last), np.ones(last, np.int64)
+    going = at
+    while len(going):
+        following = np.searchsorted(c, c[at[going]] + limit)
+        going = going[following < n]
+        at[going] = following[following < n]
+        ended[going] += 1
+    return limit - c[:last], ended, c[-1] - c[at]
 
 
 def generations(log: DataFrame, limit: int, size: Column | None = None, partitions: int | None = None) -> DataFrame:
@@ -45,20 +48,20 @@ def generations(log: DataFrame, limit: int, size: Column | None = None, partitio
 
     `size` is an entry's size, shallow unless given; a size of 0 or a null one counts as nothing. Seq is taken as unique.
     """
-    spark = log.sparkSession
     sized = log.withColumn("__size", F.coalesce(size if size is not None else cost(), F.lit(0)).cast("long"))
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = cut(sized.repartitionByRange(n, "seq").sortWithinPartitions("seq").withColumn("__part", F.spark_partition_id()))
+    n = partitions or shared.partitions(log)
+    placed = shared.cut(sized.repartitionByRange(n, "seq").sortWithinPartitions("seq").withColumn("__part", F.spark_partition_id()))
 
     def tabulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, sizes = [], []
+        part, sizes = None, []
         for b in batches:
-            parts.append(b.column(0).to_numpy())
-            sizes.append(b.column(1).to_numpy())
-        if sizes and sum(map(len, sizes)):
+            if b.num_rows:
+                part = b.column(0)[0].as_py()
+                sizes.append(b.column(1).to_numpy())
+        if sizes:
             costs = np.concatenate(sizes)
             steps = _table(costs, limit)
-            cols = [[int(np.concatenate(parts)[0])], [int(costs.sum())], *([s.tolist()] for s in steps)]
+            cols = [[part], [int(costs.sum())], *([s.tolist()] for s in steps)]
             kinds = (pa.int32(), pa.int64(), *[pa.list_(pa.int64())] * 3)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["part", "total", "least", "ended", "left"])
 

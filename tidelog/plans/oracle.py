@@ -25,14 +25,14 @@ pl AS (
   FROM (SELECT gen, list_max(list_filter(range(0, 16), lambda l: gen < (n // (4 ** l)::BIGINT) * (4 ** l)::BIGINT))::INTEGER AS lv FROM shut, nf)
 )"""
 _RUN_NAME = "'L' || {0} || '-' || lpad({1}::VARCHAR, 20, '0') || '.sst'"
-_FLUSH_ID = "(gen + gen // 4 + gen // 16 + gen // 64 + gen // 256 + gen // 1024 + gen // 4096 + gen // 16384 + gen // 65536)"
+_FLUSH_ID = "(gen + " + " + ".join(f"gen // {4**k}" for k in range(1, 16)) + ")"
 _MANIFEST = f"""{_GEN},
-k AS (SELECT unnest(range(0, 5))::INTEGER AS k),
+k AS (SELECT unnest(range(0, 16))::INTEGER AS k),
 made AS (SELECT gen, k, (gen // (4 ** k)::BIGINT)::BIGINT AS run_no FROM shut, k WHERE (gen + 1) % (4 ** k)::BIGINT = 0),
 mf AS (
-  SELECT (gen * 64 + 8 * k)::BIGINT AS seq, 'add' AS action, k AS level, {_RUN_NAME.format("k", "run_no")} AS path FROM made
+  SELECT (gen * 128 + 8 * k)::BIGINT AS seq, 'add' AS action, k AS level, {_RUN_NAME.format("k", "run_no")} AS path FROM made
   UNION ALL
-  SELECT (gen * 64 + 4 * (2 * k - 1))::BIGINT, 'remove', k - 1, {_RUN_NAME.format("(k - 1)", "r")} FROM (SELECT gen, k, unnest(range(run_no * 4, run_no * 4 + 4)) AS r FROM made WHERE k > 0)
+  SELECT (gen * 128 + 4 * (2 * k - 1))::BIGINT, 'remove', k - 1, {_RUN_NAME.format("(k - 1)", "r")} FROM (SELECT gen, k, unnest(range(run_no * 4, run_no * 4 + 4)) AS r FROM made WHERE k > 0)
 ),
 active AS (SELECT level, path FROM mf QUALIFY row_number() OVER (PARTITION BY level, path ORDER BY seq DESC) = 1 AND action = 'add'),
 ls AS (
@@ -164,8 +164,9 @@ SELECT *, CASE WHEN ratio < 1.05 THEN 'ELITE' WHEN ratio < 1.15 THEN 'EXCELLENT'
     "log_discovery": f"WITH RECURSIVE {_MANIFEST} SELECT regexp_extract(name, '^(\\d+)\\.wal$', 1)::BIGINT AS wal_id, name FROM ls WHERE regexp_matches(name, '^\\d+\\.wal$')",
     "disk_usage": f"WITH RECURSIVE {_MANIFEST} SELECT sum(length)::BIGINT AS bytes FROM ls",
     "wal_replay": f"WITH {_L1} SELECT key, value FROM l1 WHERE NOT is_tombstone",
-    "frame_verdicts": """SELECT event_id, (CASE event_id % 6 WHEN 1 THEN 3 WHEN 2 THEN 9 WHEN 3 THEN strlen(props) + 11 ELSE strlen(props) + 12 END)::BIGINT AS n_bytes,
-CASE event_id % 6 WHEN 0 THEN 'ok' WHEN 1 THEN 'end' WHEN 2 THEN 'truncated length' WHEN 3 THEN 'truncated data' WHEN 4 THEN 'record too large' ELSE 'checksum mismatch' END AS verdict FROM events WHERE strlen(props) > 0""",
+    "frame_verdicts": """WITH e AS (SELECT event_id, event_id % 6 AS kind, coalesce(strlen(props), 0) AS n FROM events)
+SELECT event_id, (CASE kind WHEN 1 THEN 3 WHEN 2 THEN 9 WHEN 3 THEN n + 11 ELSE n + 12 END)::BIGINT AS n_bytes,
+CASE kind WHEN 0 THEN 'ok' WHEN 1 THEN 'end' WHEN 2 THEN 'truncated length' WHEN 3 THEN if(n = 0, 'truncated length', 'truncated data') WHEN 4 THEN 'record too large' ELSE if(n = 0, 'record too large', 'checksum mismatch') END AS verdict FROM e""",
     "footer_verdicts": "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'too small' WHEN 2 THEN 'bad magic' ELSE 'unsupported version' END AS verdict FROM customer",
     "latency_percentiles": """WITH s AS (SELECT event_type, floor(value)::BIGINT AS us FROM events WHERE value IS NOT NULL)
 SELECT event_type, count(*) AS n, sum(us)::DOUBLE / count(*) AS mean_us, quantile_cont(us, 0.5) AS p50_us, quantile_cont(us, 0.95) AS p95_us, quantile_cont(us, 0.99) AS p99_us FROM s GROUP BY event_type""",

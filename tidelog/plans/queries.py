@@ -11,6 +11,7 @@ from tidelog.functions import formats, frames, generators, measure
 from tidelog.operators import catalog, layout, lookup, merge, runs, state
 from tidelog.plans.oracle import ORACLE_SQL
 from tidelog.plans.tables import events_log, names, orders_log, table, urls
+from tidelog.sources.shared import cut
 from tidelog.streaming import live as streams
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -168,26 +169,30 @@ def run_metadata(spark, sf_dir):
     return runs.metadata(flushes(spark, sf_dir))
 
 
-def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(gen, level, run_no) of every flush, once all full levels are merged."""
-    rows = flushes(spark, sf_dir).select("gen").distinct()
+def flushed_gens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(gen) of every flush, from a checkpoint: the catalog's queries look at it several times."""
+    return cut(flushes(spark, sf_dir).select("gen").distinct())
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """(gen, level, run_no) of every flush (gen), once all full levels are merged."""
     level = runs.level_of(F.col("gen"), F.col("flushes"))
     return rows.join(F.broadcast(n_flushes(rows))).withColumn("level", level).withColumn("run_no", runs.run_of(F.col("gen"), F.col("level")))  # one row is broadcast
 
 
 @query
 def level_placement(spark, sf_dir):
-    return placed(spark, sf_dir).select("gen", "level", "run_no")
+    return placed(flushed_gens(spark, sf_dir)).select("gen", "level", "run_no")
 
 
 @query
 def level_file_counts(spark, sf_dir):
-    return placed(spark, sf_dir).groupBy("level").agg(F.countDistinct("run_no").alias("n_runs"))
+    return placed(flushed_gens(spark, sf_dir)).groupBy("level").agg(F.countDistinct("run_no").alias("n_runs"))
 
 
 @query
 def total_run_count(spark, sf_dir):
-    return placed(spark, sf_dir).agg(F.countDistinct("level", "run_no").alias("n_runs"))
+    return placed(flushed_gens(spark, sf_dir)).agg(F.countDistinct("level", "run_no").alias("n_runs"))
 
 
 @query
@@ -199,7 +204,7 @@ def compaction_backlog(spark, sf_dir):
 
 @query
 def filter_tier(spark, sf_dir):
-    return placed(spark, sf_dir).select("gen", "level", runs.filter_type(F.col("level")).alias("filter_type"))
+    return placed(flushed_gens(spark, sf_dir)).select("gen", "level", runs.filter_type(F.col("level")).alias("filter_type"))
 
 
 @query
@@ -230,8 +235,8 @@ def kway_merge(spark, sf_dir):
 @query
 def level_compaction(spark, sf_dir):
     """The entries of every run after all merges: in each, the newest generation's; tombstones stay."""
-    at = placed(spark, sf_dir).select("gen", "level", "run_no")
-    rows = flushes(spark, sf_dir).join(at, "gen")
+    rows = flushes(spark, sf_dir)
+    rows = rows.join(placed(rows.select("gen").distinct()), "gen")
     return state.latest(rows, "level", "run_no", order="gen")
 
 
@@ -249,7 +254,7 @@ def compaction_preserves_live(spark, sf_dir):
 @query
 def run_set_difference(spark, sf_dir):
     """Runs that stay when those of the lowest level are replaced."""
-    at = placed(spark, sf_dir).select("level", "run_no").distinct()
+    at = placed(flushed_gens(spark, sf_dir)).select("level", "run_no").distinct()
     return at.join(at.where("level = 0"), ["level", "run_no"], "left_anti")
 
 
@@ -390,9 +395,8 @@ def space_amplification(spark, sf_dir):
 # Catalog and recovery
 
 
-def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The catalog log that the flushes and merges of the event log leave behind."""
-    rows = flushes(spark, sf_dir).select("gen").distinct()
+def manifest(rows: DataFrame) -> DataFrame:
+    """The catalog log that flushes (gen) and their merges leave behind."""
     levels = F.expr(f"filter(sequence(0, {runs.LEVELS - 1}), k -> (gen + 1) % shiftleft(1L, 2 * k) = 0)")  # 4**k flushes make a run of level k
     made = rows.select("gen", F.explode(levels).alias("level")).withColumn("run_no", F.expr("shiftright(gen, 2 * level)"))
     own = made.select("gen", "level", "run_no", F.lit("add").alias("action"), (2 * F.col("level")).alias("step"))
@@ -407,19 +411,18 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def manifest_active_runs(spark, sf_dir):
-    return catalog.active_runs(manifest(spark, sf_dir))
+    return catalog.active_runs(manifest(flushed_gens(spark, sf_dir)))
 
 
 @query
 def manifest_next_id(spark, sf_dir):
-    return catalog.next_id(manifest(spark, sf_dir))
+    return catalog.next_id(manifest(flushed_gens(spark, sf_dir)))
 
 
-def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A directory: a level-0 file for every flush, merged or not, the merged runs, and logs among other files."""
-    gens = flushes(spark, sf_dir).select("gen").distinct()
+def listing(gens: DataFrame) -> DataFrame:
+    """A directory: a level-0 file for every flush (gen), merged or not, the merged runs, and logs among other files."""
     files = gens.select(formats.run_name(F.lit(0), F.col("gen")).alias("name"), (F.col("gen") + 1000).alias("length"))
-    merged = placed(spark, sf_dir).where("level > 0").select("level", "run_no").distinct()
+    merged = placed(gens).where("level > 0").select("level", "run_no").distinct()
     files = files.unionByName(merged.select(formats.run_name(F.col("level"), F.col("run_no")).alias("name"), (F.col("run_no") + 2000).alias("length")))
     others = gens.select(F.concat(formats.zero_pad(F.col("gen"), 6), F.when(F.col("gen") % 3 == 0, ".wal").when(F.col("gen") % 3 == 1, ".wal.bak").otherwise("x.wal")).alias("name"), (F.col("gen") * 7).alias("length"))
     return files.unionByName(others)
@@ -427,22 +430,24 @@ def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def orphan_files(spark, sf_dir):
-    return catalog.orphans(listing(spark, sf_dir), manifest(spark, sf_dir)).select("name", "length")
+    gens = flushed_gens(spark, sf_dir)
+    return catalog.orphans(listing(gens), manifest(gens)).select("name", "length")
 
 
 @query
 def used_files(spark, sf_dir):
-    return catalog.used(listing(spark, sf_dir), manifest(spark, sf_dir)).select("name", "length")
+    gens = flushed_gens(spark, sf_dir)
+    return catalog.used(listing(gens), manifest(gens)).select("name", "length")
 
 
 @query
 def log_discovery(spark, sf_dir):
-    return catalog.logs(listing(spark, sf_dir))
+    return catalog.logs(listing(flushed_gens(spark, sf_dir)))
 
 
 @query
 def disk_usage(spark, sf_dir):
-    return catalog.disk_usage(listing(spark, sf_dir))
+    return catalog.disk_usage(listing(flushed_gens(spark, sf_dir)))
 
 
 @query

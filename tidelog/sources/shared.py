@@ -36,6 +36,22 @@ def drop_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes of a range partition, as planned; tables that joins make count as GROWN times what they read at most.
+PARTITION, GROWN, UNKNOWN = 128 << 20, 4, 1 << 60
+
+
+def partitions(df: DataFrame) -> int:
+    """Range partitions that suit a table's size, by its plan's estimate; at least as many as the session shuffles into.
+
+    Leaves of unknown size (rows that the driver made) count for nothing.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    size = min(int(str(plan.stats().sizeInBytes())), GROWN * sum(n for n in sizes if n < UNKNOWN))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """`df` from a checkpoint in the shared folder: the same partitions, whatever is lost."""
     sc, found = df.sparkSession.sparkContext, shared_dir(df.sparkSession)
