@@ -1,5 +1,6 @@
 """Block layout, frames, footers, generators, formats, measurements."""
 
+import random
 import struct
 import zlib
 
@@ -75,6 +76,44 @@ def test_encoded_sizes(spark):
     assert rows(sizes, "v", "l") == [(2, 12 + 12 + 3), (12, 20 + 12 + 1 + 2)]
 
 
+@pytest.mark.parametrize("size", [60, 300, 4096])
+def test_blocks_of_runs_dealt_over_chunks(spark, size):
+    """Runs of several lengths and kinds of keys, in chunks of all sizes, against one pass over each run."""
+    rng = random.Random(size)
+    data = [(run, f"{'p' * rng.randrange(3)}{i:05}", rng.choice([None, "", "v" * rng.randrange(1, 60)]), False) for run, n in ((1, 900), (2, 1), (5, 333), (9, 64)) for i in range(n)]
+    data = [(r, k, v, v is None) for r, k, v, _ in data]
+    want = []
+    for run in sorted({r for r, *_ in data}):
+        n = data_bytes = block = 0
+        before = first = None
+        for k, v, dead in sorted((k, v, d) for r, k, v, d in data if r == run):
+            raw = struct.pack("<Q", len(k)) + k.encode()
+            shared = 0
+            if n % 16:
+                while shared < min(len(raw), len(before)) and raw[shared] == before[shared]:
+                    shared += 1
+                if len(raw) != len(before):
+                    shared = min(shared, 0)
+            first = k if n == 0 else first
+            data_bytes += 12 + len(raw) - shared + (2 if dead else 10 + len(v))
+            n, before = n + 1, raw
+            if data_bytes + 4 * -(-n // 16) >= size:
+                want.append((run, block, first, n, data_bytes, -(-n // 16)))
+                n, data_bytes, block = 0, 0, block + 1
+        if n:
+            want.append((run, block, first, n, data_bytes, -(-n // 16)))
+    df = spark.createDataFrame(data, RUN)
+    cols = ("sstable_id", "block_no", "first_key", "num_entries", "data_bytes", "restarts")
+    for chunk in (1, 300, layout.CHUNK):
+        packed = layout.blocks(df, block_size=size, chunk=chunk)
+        assert rows(packed, *cols) == want
+    held = layout.encoded(df, packed)
+    back = rows(layout.decoded(held), "sstable_id", "key", "is_tombstone")
+    assert back == sorted((r, k, d) for r, k, _, d in data)
+    assert rows(held.groupBy("sstable_id", "block_no").agg(F.count("*").alias("n")), "sstable_id", "block_no", "n") == [(r, b, n) for r, b, _, n, *_ in want]
+    assert layout.blocks(df.limit(0)).collect() == []
+
+
 def test_offsets_run_on(spark):
     df = spark.createDataFrame([(1, f"k{i:04}", "v" * 100, False) for i in range(200)], RUN)
     got = layout.offsets(layout.blocks(df)).orderBy("block_no").collect()

@@ -1,9 +1,14 @@
-"""Framed records [crc32 u4][length u8][payload], little-endian, and run footers, as expressions over binary columns."""
+"""Framed records [crc32 u4][length u8][payload], little-endian, and run footers, as expressions over binary columns and as files."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed values of the format.
 MAX_RECORD = 64 * 1024 * 1024
@@ -24,12 +29,14 @@ def u64(raw: Column, at: int) -> Column:
     return F.conv(_reversed_hex(raw, at, 8), 16, 10).cast("decimal(20,0)")
 
 
+def little(n: Column, size: int) -> Column:
+    """A number's bytes, the lowest first."""
+    digits = F.lpad(F.hex(n), 2 * size, "0")
+    return F.unhex(F.concat(*(F.substring(digits, 2 * i + 1, 2) for i in range(size - 1, -1, -1))))
+
+
 def frame(payload: Column) -> Column:
     """A payload's frame."""
-    def little(n: Column, size: int) -> Column:
-        digits = F.lpad(F.hex(n), 2 * size, "0")
-        return F.unhex(F.concat(*(F.substring(digits, 2 * i + 1, 2) for i in range(size - 1, -1, -1))))
-
     return F.concat(little(F.crc32(payload), 4), little(F.octet_length(payload).cast("long"), 8), payload)
 
 
@@ -46,6 +53,52 @@ def frame_verdict(raw: Column) -> Column:
     )
 
 
+def frame_payload(raw: Column) -> Column:
+    """The payload of the record at the beginning of `raw`; null unless its verdict is ok."""
+    return F.when(frame_verdict(raw) == "ok", F.substring(raw, F.lit(13), u64(raw, 5).cast("int")))
+
+
+def parsed(raw: bytes) -> Iterator[tuple[int, bytes | None, str]]:
+    """(offset, payload, verdict) of the records that lie one after the other, up to the first that is not ok.
+
+    Bytes that end with a record give nothing more; one to three bytes more than that are an end too, as they hold no record.
+    """
+    at = 0
+    while len(raw) - at >= 4:
+        crc, n = int.from_bytes(raw[at : at + 4], "little"), int.from_bytes(raw[at + 4 : at + 12], "little")
+        data = raw[at + 12 : at + 12 + min(n, MAX_RECORD)]
+        if len(raw) - at < 12:
+            verdict = "truncated length"
+        elif n > MAX_RECORD:
+            verdict = "record too large"
+        elif len(data) < n:
+            verdict = "truncated data"
+        else:
+            verdict = "ok" if zlib.crc32(data) == crc else "checksum mismatch"
+        yield at, data if verdict == "ok" else None, verdict
+        if verdict != "ok":
+            return
+        at += 12 + n
+
+
+def records(files: DataFrame, by: str) -> DataFrame:
+    """(by, pos, offset, payload, verdict) of every framed record in files (by, raw), as far as each can be read.
+
+    How far one record reaches is in its own head, so a file is read by one task, record by record.
+    """
+    schema = T.StructType([T.StructField(by, files.schema[by].dataType), *T._parse_datatype_string("pos long, offset long, payload binary, verdict string").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, raw in enumerate(b.column(1).to_pylist()):
+                found = list(parsed(raw or b""))
+                cols = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.string()))]
+                own = b.column(0).take(pa.array([i] * len(found), pa.int64()))
+                yield pa.RecordBatch.from_arrays([own, pa.array(range(len(found)), pa.int64()), *cols], schema.names)
+
+    return files.select(by, "raw").mapInArrow(run, schema)
+
+
 def footer_verdict(raw: Column) -> Column:
     """Whether the last 64 bytes of a run's file are a footer of this version."""
     n = F.octet_length(raw)

@@ -51,6 +51,11 @@ def space_key(i: Column, kind: str, length: int, prefix: str = "", seed: int = 0
     if kind == "sequential":
         return zero_pad(i, length)
     if kind == "random":
-        letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-        return F.concat(*(F.substring(F.lit(letters), (F.pmod(F.xxhash64(i, F.lit(seed), F.lit(k)), F.lit(len(letters))) + 1).cast("int"), F.lit(1)) for k in range(length)))
+        letters = F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+
+        def letter(k: int) -> Column:
+            digits = F.substring(F.md5(F.concat_ws(":", F.lit(seed), i, F.lit(k))), 1, 8)
+            return F.substring(letters, (F.conv(digits, 16, 10).cast("long") % 62 + 1).cast("int"), F.lit(1))
+
+        return F.concat(*(letter(k) for k in range(length)))
     raise ValueError(f"no such key kind: {kind}")

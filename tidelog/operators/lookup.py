@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -145,7 +146,52 @@ def floor_lookup(probes: DataFrame, index: DataFrame, by: str = "sstable_id") ->
     return found.select(by, "key", floor["first_key"].alias("first_key"), floor["block_no"].alias("block_no"))
 
 
+def run_get(probes: DataFrame, entries: DataFrame, index: DataFrame, held: DataFrame) -> DataFrame:
+    """(sstable_id, key, in_range, block_no, value, is_tombstone, found) for each probe (sstable_id, key) of a run.
+
+    As a run is read: keys outside its range are answered by its metadata; of the others those that the filter rules out
+    go; the index's floor names the block of what is left, and only that block is looked into. `held` is the entries with
+    their block_no, `index` their blocks' first keys. block_no, value and is_tombstone are null unless the key is found.
+    """
+    ends = entries.groupBy("sstable_id").agg(F.min("key").alias("least"), F.max("key").alias("most"))
+    asked = probes.select("sstable_id", "key").distinct().join(ends, "sstable_id", "left")
+    asked = asked.withColumn("in_range", F.coalesce(F.col("key").between(F.col("least"), F.col("most")), F.lit(False))).drop("least", "most")
+    pair = F.struct(F.col("sstable_id").cast("long").alias("r"), F.col("key").alias("k")).alias("key")
+    n = entries.count()
+    maybe = maybe_contains(asked.where("in_range").select(pair), filter_of(entries.select(pair), n), n).where("maybe").select(F.col("key.r").alias("sstable_id"), F.col("key.k").alias("key"))
+    at = floor_lookup(maybe, index).select("sstable_id", "key", "block_no").where(F.col("block_no").isNotNull())
+    hit = at.join(held.select("sstable_id", "block_no", "key", "value", "is_tombstone"), ["sstable_id", "block_no", "key"]).withColumn("found", F.lit(True))
+    out = asked.join(hit, ["sstable_id", "key"], "left")
+    return out.select("sstable_id", "key", "in_range", "block_no", "value", "is_tombstone", F.coalesce("found", F.lit(False)).alias("found"))
+
+
 def cache_trace(accesses: DataFrame) -> DataFrame:
     """Accesses (access_no, sstable_id, offset) with hit: whether an unbounded cache has the block by then."""
     first = accesses.groupBy("sstable_id", "offset").agg(F.min("access_no").alias("first"))
     return accesses.join(first, ["sstable_id", "offset"]).select("access_no", "sstable_id", "offset", (F.col("access_no") > F.col("first")).alias("hit"))
+
+
+def bounded_cache_trace(accesses: DataFrame, capacity: int, shards: int = 1, block_size: int = 4096) -> DataFrame:
+    """Accesses with hit: whether a cache of `capacity` blocks, least recently used ones leaving, has the block by then.
+
+    What a cache holds depends on every access before, so one shard's accesses pass through one task, in constant memory.
+    A cache of many shards, each with its share of the capacity, is as many tasks.
+    """
+    shard = F.pmod(F.floor(F.col("offset") / block_size) + F.col("sstable_id"), F.lit(shards)).cast("int")
+    rows = accesses.select(shard.alias("shard"), F.col("access_no").cast("long").alias("access_no"), F.col("sstable_id").cast("long").alias("sstable_id"), F.col("offset").cast("long").alias("offset"))
+    room = max(0, capacity // shards)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, OrderedDict] = {}
+        for b in batches:
+            hits = []
+            for s, *block in zip(*(b.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+                own, block = held.setdefault(s, OrderedDict()), tuple(block)
+                hits.append(block in own)
+                own[block] = True
+                own.move_to_end(block)
+                if len(own) > room:
+                    own.popitem(last=False)
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), b.column(3), pa.array(hits, pa.bool_())], ["access_no", "sstable_id", "offset", "hit"])
+
+    return rows.repartition("shard").sortWithinPartitions("shard", "access_no").mapInArrow(run, "access_no long, sstable_id long, offset long, hit boolean")

@@ -45,6 +45,9 @@ class Files:
     def names(self, path: str) -> list[str]:
         return sorted(s.getPath().getName() for s in self.fs.listStatus(self._path(path))) if self.fs.exists(self._path(path)) else []
 
+    def exists(self, path: str) -> bool:
+        return self.fs.exists(self._path(path))
+
     def delete(self, path: str) -> None:
         self.fs.delete(self._path(path), True)
 

@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidelog.errors import InvalidDataError
 from tidelog.operators.state import latest
 from tidelog.sources.shared import scratch
+from tidelog.sources.store import Files
 
 
 def log_stream(spark: SparkSession, path: str, schema: T.StructType, files_at_once: int | None = None) -> DataFrame:
@@ -52,22 +54,45 @@ def upserted(log: DataFrame) -> DataFrame:
 
 
 class Snapshots:
-    """A merged state in versioned folders: each batch reads the newest version and writes the next."""
+    """A merged state in versioned folders, one a batch: each reads the newest version before its own and writes the next.
+
+    What is there decides, not what this object remembers, so a new one over the same folder goes on where the last one
+    ended. A version counts once it is written whole; KEPT versions stay, for readers and for a batch that is run again.
+    """
+
+    KEPT = 3
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.version = spark, path, None
+        self.spark, self.path = spark, path.rstrip("/")
+        self.files = Files(spark, self.path)
+
+    def versions(self) -> list[int]:
+        """The whole versions, oldest first."""
+        found = [int(n[1:]) for n in self.files.names(self.path) if n.startswith("v") and n[1:].isdigit()]
+        return sorted(v for v in found if self.files.exists(f"{self.path}/v{v}/_SUCCESS"))
+
+    @property
+    def version(self) -> int | None:
+        return max(self.versions(), default=None)
 
     def merge(self, batch: DataFrame, batch_id: int) -> None:
-        """Idempotent: a batch that is run again writes the same version anew."""
-        rows = batch.select("seq", "key", "value", "is_tombstone")
-        if batch_id and self.version is not None:
-            rows = rows.unionByName(self.entries(batch_id - 1 if self.version >= batch_id else self.version))
+        """Idempotent: a batch that is run again writes its version anew from the one before it."""
+        rows, known = batch.select("seq", "key", "value", "is_tombstone"), self.versions()
+        before = max((v for v in known if v < batch_id), default=None)
+        if before is not None:
+            rows = rows.unionByName(self.entries(before, rows.schema))
         newest = latest(rows, extra=("seq",)).select("seq", "key", "value", "is_tombstone")
         newest.write.mode("overwrite").parquet(f"{self.path}/v{batch_id}")
-        self.version = batch_id
+        for v in [v for v in known if v < batch_id][: 1 - self.KEPT]:
+            self.files.delete(f"{self.path}/v{v}")
 
-    def entries(self, version: int | None = None) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/v{self.version if version is None else version}")
+    def entries(self, version: int | None = None, schema: T.StructType | None = None) -> DataFrame:
+        """Newest entries, tombstones included; those of the newest version unless another is named."""
+        version = self.version if version is None else version
+        if version is None:
+            raise InvalidDataError("no batch has been merged yet")
+        reader = self.spark.read if schema is None else self.spark.read.schema(schema)
+        return reader.parquet(f"{self.path}/v{version}")
 
     def live(self) -> DataFrame:
         return self.entries().where(~F.col("is_tombstone")).select("key", "value")
@@ -79,11 +104,28 @@ def drained(log: DataFrame, snapshots: Snapshots, checkpoint: str) -> Snapshots:
     return snapshots
 
 
-def live_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event log's live state through a stream of what is there now."""
+def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event log as a stream of files."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
     dead = F.coalesce(F.col("event_type") == "error", F.lit(False))
-    log = rows.select(F.col("event_id").alias("seq"), F.col("user_id").alias("key"), F.when(~dead, F.col("props")).alias("value"), dead.alias("is_tombstone"))
+    return rows.select(F.col("event_id").alias("seq"), F.col("user_id").alias("key"), F.when(~dead, F.col("props")).alias("value"), dead.alias("is_tombstone"))
+
+
+def live_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event log's live state through a stream of what is there now."""
     top = scratch(spark, f"stream-{uuid.uuid4().hex}")
-    return drained(log, Snapshots(spark, f"{top}/state"), f"{top}/checkpoint").live()
+    return drained(events_stream(spark, sf_dir), Snapshots(spark, f"{top}/state"), f"{top}/checkpoint").live()
+
+
+def written(changes: DataFrame, mode: str) -> DataFrame:
+    """What a stream's batches give once all that is there now has gone through: rows (batch_id, ...), from Parquet."""
+    spark = changes.sparkSession
+    top = scratch(spark, f"stream-{uuid.uuid4().hex}")
+
+    def kept(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{top}/out/batch={batch_id}")
+
+    changes.writeStream.outputMode(mode).foreachBatch(kept).option("checkpointLocation", f"{top}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    schema = T.StructType([*changes.schema.fields, T.StructField("batch_id", T.LongType())])
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{top}/out")
