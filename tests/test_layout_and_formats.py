@@ -212,3 +212,17 @@ def test_throughput_and_improvement(spark):
     assert rows(measure.read_improvement(df), "config", "improvement_pct", "improvement_us") == [("x", 25.0, 0.5), ("y", 0.0, 0.0), ("z", 0.0, 0.0)]
     one = spark.range(1).select(measure.ops_per_second(F.lit(10), F.lit(0.0)), measure.mean_us(F.lit(0), F.lit(1.0)), layout.tier(F.lit(1.04)), layout.tier(F.lit(1.05)), layout.tier(F.lit(1.15)), layout.amplification(F.lit(1.0), F.lit(0)))
     assert one.first()[:] == (0.0, 0.0, "ELITE", "EXCELLENT", "GOOD", 0.0)
+
+
+def test_records_of_framed_files(spark):
+    good = [frame(b"one"), frame(b""), frame(b"x" * 100_000)]
+    whole = b"".join(good)
+    cases = {0: whole, 1: whole[:-1], 2: whole + b"\0\0\0", 3: whole + b"\0\0\0\0", 4: b"", 5: None, 6: frame(b"bad", crc=1) + whole, 7: frame(b"x", size=2**63) + whole}
+    got = frames.records(spark.createDataFrame([(i, None if c is None else bytearray(c)) for i, c in cases.items()], "f int, raw binary"), "f")
+    found = {}
+    for r in got.orderBy("f", "pos").collect():
+        found.setdefault(r.f, []).append((r.offset, None if r.payload is None else bytes(r.payload), r.verdict))
+    all_ok = [(0, b"one", "ok"), (15, b"", "ok"), (27, b"x" * 100_000, "ok")]
+    assert found == {0: all_ok, 1: [*all_ok[:2], (27, None, "truncated data")], 2: all_ok, 3: [*all_ok, (len(whole), None, "truncated length")], 6: [(0, None, "checksum mismatch")], 7: [(0, None, "record too large")]}
+    df = spark.createDataFrame([(i, bytearray(c)) for i, c in enumerate((good[0], good[0][:-1], b""))], "i int, raw binary")
+    assert [r[0] and bytes(r[0]) for r in df.orderBy("i").select(frames.frame_payload(F.col("raw"))).collect()] == [b"one", None, None]

@@ -207,3 +207,20 @@ def test_runs_probed_against_pairs(spark, kind, monkeypatch):
         assert {r.key: r.n_probed for r in lookup.runs_probed(probes, runs.metadata(df, "sstable_id"), df).collect()} == want
     none = lookup.runs_probed(probes, runs.metadata(df.limit(0), "sstable_id"), df.limit(0)).collect()
     assert {r.key: r.n_probed for r in none} == dict.fromkeys(asked, 0)
+
+
+def test_a_bounded_cache_drops_the_least_recently_used(spark):
+    rng = np.random.default_rng(3)
+    accesses = [(i, int(b) % 2, int(b) // 2 * 4096) for i, b in enumerate(rng.zipf(1.4, 600) % 40)]
+    df = spark.createDataFrame(accesses, "access_no long, sstable_id long, offset long")
+    for capacity, shards in ((8, 1), (8, 4), (0, 1), (1000, 2)):
+        held, want = {}, []
+        for _, run, at in accesses:
+            own = held.setdefault((at // 4096 + run) % shards, [])
+            want.append((run, at) in own)
+            if (run, at) in own:
+                own.remove((run, at))
+            own.append((run, at))
+            del own[: max(0, len(own) - capacity // shards)]
+        assert [r.hit for r in lookup.bounded_cache_trace(df, capacity, shards).orderBy("access_no").collect()] == want
+    assert rows(lookup.bounded_cache_trace(df, 1000, 1), "access_no", "hit") == rows(lookup.cache_trace(df), "access_no", "hit")

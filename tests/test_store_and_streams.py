@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidelog.errors import CorruptionError
+from tidelog.errors import CorruptionError, InvalidDataError
 from tidelog.operators import catalog, state
 from tidelog.sources.store import Run, Store
 from tidelog.streaming import live as streams
@@ -125,3 +125,38 @@ def test_stream_of_snapshots_equals_the_batch(spark, log_files):
     stream, want, top = log_files
     got = streams.drained(stream, streams.Snapshots(spark, str(top / "s")), str(top / "c"))
     assert rows(got.live(), "key", "value") == want
+
+
+def test_snapshots_go_on_after_a_restart(spark, tmp_path):
+    """A stream that is stopped and started again, with a new object over the same folder and checkpoint."""
+    def put(rows):
+        spark.createDataFrame(rows, LOG).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def drain():
+        stream = streams.log_stream(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema, 1)
+        return streams.drained(stream, streams.Snapshots(spark, str(tmp_path / "s")), str(tmp_path / "c"))
+
+    put([(0, "a", "1", False), (1, "b", "2", False)])
+    assert rows(drain().live(), "key", "value") == [("a", "1"), ("b", "2")]
+    put([(2, "c", "3", False), (3, "a", None, True)])
+    assert rows(drain().live(), "key", "value") == [("b", "2"), ("c", "3")]
+    assert rows(drain().live(), "key", "value") == [("b", "2"), ("c", "3")]  # no new file
+    for i in range(4):
+        put([(10 + i, "d", str(i), False)])
+        drain()
+    again = streams.Snapshots(spark, str(tmp_path / "s"))
+    assert rows(again.live(), "key", "value") == [("b", "2"), ("c", "3"), ("d", "3")] and len(again.versions()) == again.KEPT
+
+
+def test_a_batch_that_is_run_again_changes_nothing(spark, tmp_path):
+    batches = [[(0, "a", "1", False)], [(1, "b", "2", False)], [(2, "a", None, True)]]
+    frames_ = [spark.createDataFrame(b, LOG) for b in batches]
+    for i in (0, 1, 1, 2, 2):
+        streams.Snapshots(spark, str(tmp_path / "s")).merge(frames_[i], i)
+    got = streams.Snapshots(spark, str(tmp_path / "s"))
+    assert rows(got.live(), "key") == [("b",)] and got.version == 2
+    spark.createDataFrame([], LOG).write.parquet(str(tmp_path / "s" / "v3"))
+    got.files.delete(str(tmp_path / "s" / "v3" / "_SUCCESS"))
+    assert got.version == 2  # a version that was never finished doesn't count
+    with pytest.raises(InvalidDataError):
+        streams.Snapshots(spark, str(tmp_path / "none")).live()

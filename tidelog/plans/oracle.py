@@ -54,18 +54,32 @@ meta AS (SELECT sstable_id, min(key) AS min_key, max(key) AS max_key FROM runs G
 _URLS = "u AS (SELECT url AS key, page_id::VARCHAR AS value, row_number() OVER (ORDER BY url) - 1 AS pos, lag(url) OVER (ORDER BY url) AS before FROM pages)"
 _NAMES = "u AS (SELECT c_name AS key, c_mktsegment AS value, row_number() OVER (ORDER BY c_name) - 1 AS pos, lag(c_name) OVER (ORDER BY c_name) AS before FROM customer)"
 _LCP = "list_max(list_filter(range(0, least(strlen(key), strlen(before)) + 1), lambda n: left(key, n) = left(before, n)))"
-#: Blocks of one run whose keys have one length: each entry's size depends on whether a restart begins with it.
-_BLOCKS = f"""{_NAMES},
-e AS (SELECT key, pos, 12 + 8 + strlen(key) + 10 + strlen(value) AS whole, coalesce(8 + {_LCP}, 0) AS shared FROM u),
-b(pos, block_no, n, data) AS (
-  SELECT 0::BIGINT, 0::BIGINT, 1::BIGINT, (SELECT whole FROM e WHERE pos = 0)::BIGINT
+#: Blocks of one run: each entry's size depends on whether a restart begins with it. A key shares bytes with the one before
+#: only if both have the same length here (none is longer than 255).
+def _blocks(source: str, t: str = "") -> str:
+    return f"""{source},
+e{t} AS (SELECT key, pos, 12 + 8 + strlen(key) + 10 + strlen(value) AS whole, coalesce(CASE WHEN strlen(key) = strlen(before) THEN 8 + {_LCP} ELSE 0 END, 0) AS shared FROM u{t}),
+b{t}(pos, block_no, n, data) AS (
+  SELECT 0::BIGINT, 0::BIGINT, 1::BIGINT, (SELECT whole FROM e{t} WHERE pos = 0)::BIGINT
   UNION ALL
-  SELECT e.pos, b.block_no + (b.data + 4 * ((b.n + 15) // 16) >= 4096)::BIGINT,
-         CASE WHEN b.data + 4 * ((b.n + 15) // 16) >= 4096 THEN 1 ELSE b.n + 1 END,
-         CASE WHEN b.data + 4 * ((b.n + 15) // 16) >= 4096 THEN e.whole ELSE b.data + e.whole - CASE WHEN b.n % 16 = 0 THEN 0 ELSE e.shared END END::BIGINT
-  FROM b JOIN e ON e.pos = b.pos + 1
+  SELECT e{t}.pos, b{t}.block_no + (b{t}.data + 4 * ((b{t}.n + 15) // 16) >= 4096)::BIGINT,
+         CASE WHEN b{t}.data + 4 * ((b{t}.n + 15) // 16) >= 4096 THEN 1 ELSE b{t}.n + 1 END,
+         CASE WHEN b{t}.data + 4 * ((b{t}.n + 15) // 16) >= 4096 THEN e{t}.whole ELSE b{t}.data + e{t}.whole - CASE WHEN b{t}.n % 16 = 0 THEN 0 ELSE e{t}.shared END END::BIGINT
+  FROM b{t} JOIN e{t} ON e{t}.pos = b{t}.pos + 1
 ),
-bl AS (SELECT block_no, min(key) AS first_key, count(*) AS num_entries, max(data)::BIGINT AS data_bytes, ((count(*) + 15) // 16)::BIGINT AS restarts FROM b JOIN e USING (pos) GROUP BY block_no)"""
+bl{t} AS (SELECT block_no, min(key) AS first_key, count(*) AS num_entries, max(data)::BIGINT AS data_bytes, ((count(*) + 15) // 16)::BIGINT AS restarts FROM b{t} JOIN e{t} USING (pos) GROUP BY block_no)"""
+
+
+_BLOCKS = _blocks(_NAMES)
+_BOTH = f"""{_BLOCKS},
+{_blocks(_URLS.replace("u AS", "uu AS", 1), "u")},
+rows AS (SELECT 0::BIGINT AS sstable_id, key, value FROM u UNION ALL SELECT 1, key, value FROM uu),
+blocks AS (SELECT 0::BIGINT AS sstable_id, * FROM bl UNION ALL SELECT 1, * FROM blu),
+ends AS (SELECT sstable_id, count(*) AS n, strlen(min(key)) + strlen(max(key)) AS keys, sum(strlen(key) + strlen(value))::BIGINT AS raw_bytes FROM rows GROUP BY 1),
+parts AS (SELECT sstable_id, sum(data_bytes + 4 * restarts + 28)::BIGINT AS block_bytes, (20 + sum(strlen(first_key) + 16))::BIGINT AS index_bytes FROM blocks GROUP BY 1)"""
+_SLOTS = "((floor(1.23::DOUBLE * n)::BIGINT + 32) // 3 * 3)"
+
+
 _LCG = "((({0})::HUGEINT * 6364136223846793005) % 18446744073709551616 + 1) % 18446744073709551616"
 
 
@@ -99,6 +113,10 @@ def _thousands(x: str) -> str:
     return f"format('{{:_}}', ({x})::BIGINT)"
 
 
+def _short(x: str) -> str:
+    return f"CASE WHEN {x} < 1 THEN printf('%.2f', {x}) WHEN {x} < 1000 THEN printf('%.1f', {x}) ELSE {_thousands(f'round({x})')} END"
+
+
 ORACLE_SQL = {
     "live_state": f"WITH {_L1} SELECT key, value FROM l1 WHERE NOT is_tombstone",
     "live_state_orders": f"WITH {_L2} SELECT key, value FROM l2 WHERE NOT is_tombstone",
@@ -153,10 +171,44 @@ SELECT access_no, sstable_id, "offset", row_number() OVER (PARTITION BY sstable_
 SELECT block_no, coalesce(sum(bytes) OVER (ORDER BY block_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset", bytes::BIGINT AS bytes FROM s""",
     "encoded_sizes": f"""WITH {_M1} SELECT seq, (strlen(key::VARCHAR) + 8)::BIGINT AS key_bytes, (CASE WHEN is_tombstone THEN 2 ELSE strlen(value) + 10 END)::BIGINT AS value_bytes,
 (CASE WHEN is_tombstone THEN strlen(key::VARCHAR) + 24 ELSE strlen(key::VARCHAR) + strlen(value) + 32 END)::BIGINT AS log_bytes FROM m1""",
-    "space_amplification": """WITH r AS (SELECT 'names' AS run, c_name AS key, c_mktsegment AS value FROM customer UNION ALL SELECT 'urls', url, page_id::VARCHAR FROM pages),
-s AS (SELECT run, sum(strlen(key) + 8 + strlen(value) + 10 + 12)::BIGINT AS disk_bytes, sum(strlen(key) + strlen(value))::BIGINT AS raw_bytes FROM r GROUP BY run),
-t AS (SELECT *, CASE WHEN raw_bytes > 0 THEN disk_bytes / raw_bytes ELSE 0.0::DOUBLE END AS ratio FROM s)
+    "run_file_sizes": f"""WITH RECURSIVE {_BOTH},
+z AS (SELECT sstable_id, block_bytes, (36 + {_SLOTS} * (sstable_id + 1))::BIGINT AS filter_bytes, index_bytes, (keys + 38)::BIGINT AS meta_bytes FROM parts JOIN ends USING (sstable_id))
+SELECT sstable_id, {_RUN_NAME.format("sstable_id", "sstable_id")} AS path, block_bytes, filter_bytes, index_bytes, meta_bytes, block_bytes + filter_bytes + index_bytes + meta_bytes + 64 AS file_size FROM z""",
+    "space_amplification": f"""WITH RECURSIVE {_BOTH},
+z AS (SELECT sstable_id, (block_bytes + 36 + {_SLOTS} + index_bytes + keys + 38 + 64)::BIGINT AS disk_bytes, raw_bytes FROM parts JOIN ends USING (sstable_id)),
+t AS (SELECT CASE sstable_id WHEN 0 THEN 'names' ELSE 'urls' END AS run, disk_bytes, raw_bytes, CASE WHEN raw_bytes > 0 THEN disk_bytes / raw_bytes ELSE 0.0::DOUBLE END AS ratio FROM z)
 SELECT *, CASE WHEN ratio < 1.05 THEN 'ELITE' WHEN ratio < 1.15 THEN 'EXCELLENT' ELSE 'GOOD' END AS tier FROM t""",
+    "block_index": f"""WITH RECURSIVE {_BLOCKS} SELECT first_key, coalesce(sum(data_bytes + 4 * restarts + 28) OVER (ORDER BY block_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM bl""",
+    "block_scan": f"WITH RECURSIVE {_BOTH} SELECT sstable_id, block_no, num_entries, 0::BIGINT AS n_differ FROM blocks",
+    "run_entry_get": f"""WITH {_ORDER_RUNS},
+p AS (SELECT DISTINCT unnest([c_custkey % 20, c_custkey * 7 % 20])::BIGINT AS sstable_id, c_custkey AS key FROM customer),
+x AS (SELECT *, (row_number() OVER (PARTITION BY sstable_id ORDER BY key) - 1) // 16 AS block_no FROM runs)
+SELECT p.sstable_id, p.key, coalesce(p.key BETWEEN min_key AND max_key, false) AS in_range, coalesce(x.block_no, -1)::BIGINT AS block_no, x.value, x.key IS NOT NULL AS found
+FROM p LEFT JOIN meta USING (sstable_id) LEFT JOIN x ON x.sstable_id = p.sstable_id AND x.key = p.key""",
+    "read_order": f"WITH RECURSIVE {_GEN} SELECT row_number() OVER (ORDER BY level, run_no DESC) - 1 AS place, level, run_no FROM (SELECT DISTINCT level, run_no FROM pl)",
+    "bounded_cache_trace": """WITH a AS (SELECT event_id::BIGINT AS access_no, (user_id % 2)::BIGINT AS s, ((user_id // 10) * 4096)::BIGINT AS o, (user_id // 10 + user_id % 2) % 4 AS shard FROM events),
+p AS (SELECT *, lag(access_no) OVER (PARTITION BY s, o ORDER BY access_no) AS prev FROM a),
+d AS (SELECT p.access_no, count(DISTINCT (b.s, b.o)) AS n FROM p JOIN a b ON b.shard = p.shard AND b.access_no > p.prev AND b.access_no < p.access_no GROUP BY 1)
+SELECT access_no, s AS sstable_id, o AS "offset", prev IS NOT NULL AND coalesce(d.n, 0) < 2 AS hit FROM p LEFT JOIN d USING (access_no)""",
+    "frame_payloads": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE coalesce(props, '') END AS payload FROM events",
+    "framed_log_scan": """WITH e AS (SELECT user_id, event_id, coalesce(props, '') AS p FROM events),
+f AS (SELECT user_id, p, row_number() OVER w - 1 AS pos, coalesce(sum(strlen(p) + 12) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset", lead(event_id) OVER w IS NULL AND user_id % 3 = 0 AS cut
+FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT user_id, pos, "offset", CASE WHEN cut THEN NULL ELSE p END AS payload, CASE WHEN NOT cut THEN 'ok' WHEN strlen(p) < 5 THEN 'truncated length' ELSE 'truncated data' END AS verdict FROM f""",
+    "bench_dirty_reads": f"""WITH w AS (SELECT DISTINCT {_random_key("i")} AS key FROM range(0, 4000) t(i)), p AS (SELECT {_random_key(_target("i", 4000, 1103515245, 12345))} AS key FROM range(0, 2000) t(i))
+SELECT count(*) AS n, (count(*) FILTER (key IN (FROM w)))::BIGINT AS n_right, avg(CASE WHEN key IN (FROM w) THEN 1.0::DOUBLE ELSE 0.0 END) * 100 AS accuracy FROM p""",
+    "stream_aggregated_state": f"WITH {_L1} SELECT key, value, is_tombstone FROM l1",
+    "stream_keyed_state": f"WITH {_L1} SELECT key, value, is_tombstone FROM l1",
+    "store_recovered_state": f"WITH {_L1} SELECT key, value FROM l1 WHERE NOT is_tombstone",
+    "store_merged_state": f"WITH {_L1} SELECT key, value, is_tombstone FROM l1",
+    "store_run_metadata": f"""WITH {_M1}, n AS (SELECT max(seq) + 1 AS n FROM m1),
+r AS (SELECT key, is_tombstone, CASE WHEN seq >= n * 4 // 5 THEN 0 ELSE 1 END::INTEGER AS level, seq FROM m1, n),
+x AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY level, key ORDER BY seq DESC) = 1)
+SELECT level, CASE level WHEN 0 THEN 5 ELSE 4 END::BIGINT AS sstable_id, min(key) AS min_key, max(key) AS max_key, count(*) AS num_entries, count(*) FILTER (NOT is_tombstone) AS num_live, CASE level WHEN 0 THEN 'xor8' ELSE 'xor16' END AS filter_type FROM x GROUP BY level""",
+    "store_catalog": """WITH a(seq, action, level, id, next_id) AS (VALUES (0, 'add', 0, 0, NULL), (1, 'next_id', NULL, NULL, 1), (2, 'add', 0, 1, NULL), (3, 'next_id', NULL, NULL, 2), (4, 'add', 0, 2, NULL), (5, 'next_id', NULL, NULL, 3),
+(6, 'add', 0, 3, NULL), (7, 'next_id', NULL, NULL, 4), (8, 'remove', 0, 0, NULL), (9, 'remove', 0, 1, NULL), (10, 'remove', 0, 2, NULL), (11, 'remove', 0, 3, NULL), (12, 'add', 1, 4, NULL), (13, 'next_id', NULL, NULL, 5),
+(14, 'add', 0, 5, NULL), (15, 'next_id', NULL, NULL, 6))
+SELECT seq::BIGINT AS seq, action, coalesce(level, -1)::INTEGER AS level, coalesce('L' || level || '-' || lpad(id::VARCHAR, 20, '0') || '.sst', '') AS path, coalesce(next_id, -1)::BIGINT AS next_id FROM a""",
     "manifest_active_runs": f"WITH RECURSIVE {_MANIFEST} SELECT level, path FROM active",
     "manifest_next_id": f"WITH RECURSIVE {_GEN} SELECT coalesce(max({_FLUSH_ID} + 1), 0)::BIGINT AS next_id FROM shut",
     "orphan_files": f"WITH RECURSIVE {_MANIFEST} SELECT name, length FROM ls WHERE name LIKE '%.sst' AND name NOT IN (SELECT path FROM active)",
@@ -173,8 +225,8 @@ SELECT event_type, count(*) AS n, sum(us)::DOUBLE / count(*) AS mean_us, quantil
     "phase_report": f"WITH {_PHASES} SELECT * FROM rp",
     "read_improvement": f"""WITH {_PHASES}, b AS (SELECT config, max(mean_us) FILTER (phase = 'Random Read (Dirty)') AS d, max(mean_us) FILTER (phase = 'Random Read (Cleaned)') AS c FROM rp GROUP BY config)
 SELECT config, CASE WHEN d > 0 AND c IS NOT NULL THEN (d - c) / d * 100 ELSE 0.0 END AS improvement_pct, CASE WHEN d > 0 AND c IS NOT NULL THEN d - c ELSE 0.0 END AS improvement_us FROM b""",
-    "format_numbers": f"""WITH r AS (SELECT o_orderkey AS k, o_orderkey * 7919 AS n FROM orders), c AS (SELECT *, floor(n / 3.0::DOUBLE)::BIGINT AS t, round(n / 1024.0::DOUBLE * 100)::BIGINT AS cents FROM r)
-SELECT k, {_thousands("n")} AS grouped, CASE WHEN t < 1 THEN '0.00' WHEN t < 1000 THEN t::VARCHAR || '.0' ELSE {_thousands("t")} END AS short,
+    "format_numbers": f"""WITH r AS (SELECT o_orderkey AS k, o_orderkey * 7919 AS n FROM orders), c AS (SELECT *, n / 3.0::DOUBLE AS t, k / 777.0::DOUBLE AS v, round(n / 1024.0::DOUBLE * 100)::BIGINT AS cents FROM r)
+SELECT k, {_thousands("n")} AS grouped, {_short("t")} AS short, {_short("v")} AS small,
 {_thousands("cents // 100")} || '.' || lpad((cents % 100)::VARCHAR, 2, '0') AS kb, CASE WHEN length(n::VARCHAR) < 5 THEN lpad(n::VARCHAR, 5, '0') ELSE n::VARCHAR END AS padded FROM c""",
     "lcg_keys": f"""WITH r AS (SELECT o_orderkey AS i FROM orders) SELECT i, ({_LCG.format("i")})::VARCHAR AS lcg, 'key-' || lpad(i::VARCHAR, 16, '0') AS sequential_key,
 'key-' || lpad((({_LCG.format("i")}) % 1000000000)::VARCHAR, 16, '0') AS random_key, 's' || (i % 16) || '-key-' || lpad((i // 16)::VARCHAR, 16, '0') AS striped_key,
@@ -185,8 +237,9 @@ SELECT k, {_thousands("n")} AS grouped, CASE WHEN t < 1 THEN '0.00' WHEN t < 100
 x AS (SELECT expected, key IN (SELECT key FROM st) AS found FROM p)
 SELECT count(*) AS n, (count(*) FILTER (expected = found))::BIGINT AS n_right, avg(CASE WHEN expected = found THEN 1.0::DOUBLE ELSE 0.0 END) * 100 AS accuracy FROM x""",
     "bench_flush_counts": """SELECT * FROM (VALUES ('SmallSeq', 'bulk', 0::BIGINT), ('SmallSeq', 'overwrite', 0), ('SmallSeq', 'delete', 0),
-('MediumRandom', 'bulk', 1), ('MediumRandom', 'overwrite', 1), ('MediumRandom', 'threads', 2), ('MediumRandom', 'delete', 2)) t(config, phase, n_runs)""",
-    "space_keys": """SELECT c_custkey AS i, 'user_' || CASE WHEN length(c_custkey::VARCHAR) < 5 THEN lpad(c_custkey::VARCHAR, 5, '0') ELSE c_custkey::VARCHAR END AS short_key, 'data_' || c_custkey AS unpadded_key, lpad(c_custkey::VARCHAR, 10, '0') AS fixed_key FROM customer""",
+('MediumRandom', 'bulk', 1), ('MediumRandom', 'overwrite', 1), ('MediumRandom', 'threads', 2), ('MediumRandom', 'delete', 2),
+('StripedHighConcurrency', 'bulk', 0), ('StripedHighConcurrency', 'overwrite', 1), ('StripedHighConcurrency', 'threads', 2), ('StripedHighConcurrency', 'delete', 2), ('HighBatchIngest', 'bulk', 0)) t(config, phase, n_runs)""",
+    "space_keys": """SELECT c_custkey AS i, 'user_' || CASE WHEN length(c_custkey::VARCHAR) < 5 THEN lpad(c_custkey::VARCHAR, 5, '0') ELSE c_custkey::VARCHAR END AS short_key, 'data_' || c_custkey AS unpadded_key, lpad(c_custkey::VARCHAR, 10, '0') AS fixed_key, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789', (('0x' || substr(md5('7:' || c_custkey || ':' || k), 1, 8))::BIGINT % 62 + 1)::BIGINT, 1) for k in range(0, 16)], '') AS random_key FROM customer""",
     "stream_live_state": f"WITH {_L1} SELECT key, value FROM l1 WHERE NOT is_tombstone",
 }
 ORACLE_SQL = {k: dedent(v) for k, v in ORACLE_SQL.items()}

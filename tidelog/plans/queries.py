@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions import formats, frames, generators, measure
 from tidelog.operators import catalog, layout, lookup, merge, runs, state
 from tidelog.plans.oracle import ORACLE_SQL
 from tidelog.plans.tables import events_log, names, orders_log, table, urls
-from tidelog.sources.shared import cut
+from tidelog.sources.shared import cut, scratch
+from tidelog.sources.store import Store
 from tidelog.streaming import live as streams
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -332,6 +333,33 @@ def index_floor_lookup(spark, sf_dir):
     return lookup.floor_lookup(rows.select("sstable_id", "key"), layout.restart_points(rows)).select("key", "first_key", "block_no")
 
 
+@query
+def run_entry_get(spark, sf_dir):
+    """Every customer asked of two runs: range, filter, floor of the index, block."""
+    entries = order_runs(spark, sf_dir)
+    k = F.col("c_custkey")
+    probes = table(spark, sf_dir, "customer").select(F.explode(F.array((k % 20).cast("long"), (k * 7 % 20).cast("long"))).alias("sstable_id"), k.alias("key"))
+    held = layout.numbered(entries).withColumn("block_no", F.floor(F.col("pos") / layout.RESTART_INTERVAL).cast("long"))
+    got = lookup.run_get(probes, entries, layout.restart_points(entries), held)
+    return got.select("sstable_id", "key", "in_range", F.coalesce("block_no", F.lit(-1)).alias("block_no"), "value", "found")
+
+
+@query
+def read_order(spark, sf_dir):
+    """The runs in the order that a read asks them: level by level, the newest of a level first."""
+    at = placed(flushed_gens(spark, sf_dir)).select("level", "run_no").distinct()
+    place = F.row_number().over(Window.orderBy("level", F.desc("run_no")))  # three runs a level at most
+    return at.select((place - 1).cast("long").alias("place"), "level", "run_no")
+
+
+@query
+def bounded_cache_trace(spark, sf_dir):
+    """The accesses of block_cache_trace with room for eight blocks in four shards."""
+    rows = table(spark, sf_dir, "events")
+    accesses = rows.select(F.col("event_id").alias("access_no"), (F.col("user_id") % 2).alias("sstable_id"), (F.floor(F.col("user_id") / 10) * 4096).alias("offset"))
+    return lookup.bounded_cache_trace(accesses, 8, 4)
+
+
 @query
 def block_cache_trace(spark, sf_dir):
     """A user's event reads the block of the user's ten neighbours in run 0 or 1."""
@@ -374,22 +402,46 @@ def block_offsets(spark, sf_dir):
     return layout.offsets(layout.blocks(names(spark, sf_dir))).select("block_no", "offset", layout.frame_bytes().alias("bytes"))
 
 
+@query
+def block_index(spark, sf_dir):
+    """A run's sparse index: the first key of every block and where the block begins."""
+    return layout.offsets(layout.blocks(names(spark, sf_dir))).select("first_key", "offset")
+
+
+@query
+def block_scan(spark, sf_dir):
+    """Every block of two runs packed to bytes and read back: entries, and how many differ from what was packed."""
+    rows = names(spark, sf_dir).unionByName(urls(spark, sf_dir).withColumn("sstable_id", F.lit(1).cast("long")))
+    back = layout.decoded(layout.encoded(rows, layout.blocks(rows))).withColumnsRenamed({"value": "v", "is_tombstone": "d"})
+    same = (F.col("value") == F.col("v")) & (F.col("is_tombstone") == F.col("d"))
+    got = back.join(rows, ["sstable_id", "key"], "left")
+    return got.groupBy("sstable_id", "block_no").agg(F.count("*").alias("num_entries"), F.sum((~F.coalesce(same, F.lit(False))).cast("long")).alias("n_differ"))
+
+
 @query
 def encoded_sizes(spark, sf_dir):
     key, value, dead = F.col("key").cast("string"), F.col("value"), F.col("is_tombstone")
     return events_log(spark, sf_dir).select("seq", layout.key_size(key).alias("key_bytes"), layout.value_size(value, dead).alias("value_bytes"), layout.log_size(key, value, dead).alias("log_bytes"))
 
 
+@query
+def run_file_sizes(spark, sf_dir):
+    """Two runs as files of level 0 and 1: path, blocks, filter, index, metadata, and the whole file with its footer."""
+    rows = names(spark, sf_dir).unionByName(urls(spark, sf_dir).withColumn("sstable_id", F.lit(1).cast("long")))
+    level = F.col("sstable_id").cast("int")
+    sizes = layout.file_sizes(rows, layout.blocks(rows), level)
+    return sizes.select("sstable_id", formats.run_name(level, F.col("sstable_id")).alias("path"), "block_bytes", "filter_bytes", "index_bytes", "meta_bytes", "file_size")
+
+
 @query
 def space_amplification(spark, sf_dir):
-    """Bytes of each table's run, uncompressed by prefixes, over its raw bytes."""
-    sized = []
-    for name, rows in (("names", names(spark, sf_dir)), ("urls", urls(spark, sf_dir))):
-        disk = F.sum(layout.key_size(F.col("key")) + layout.value_size(F.col("value"), F.col("is_tombstone")) + layout.ENTRY)
-        raw = F.sum(F.octet_length("key") + F.octet_length("value")).cast("long")
-        sized.append(rows.agg(F.lit(name).alias("run"), disk.cast("long").alias("disk_bytes"), raw.alias("raw_bytes")))
+    """Bytes of each table's run as a file over its raw bytes."""
+    rows = names(spark, sf_dir).unionByName(urls(spark, sf_dir).withColumn("sstable_id", F.lit(1).cast("long")))
+    raw = rows.groupBy("sstable_id").agg(F.sum(F.octet_length("key") + F.octet_length("value")).cast("long").alias("raw_bytes"))
+    sized = layout.file_sizes(rows, layout.blocks(rows)).join(raw, "sstable_id")
+    run = F.when(F.col("sstable_id") == 0, "names").otherwise("urls").alias("run")
     ratio = layout.amplification(F.col("disk_bytes"), F.col("raw_bytes"))
-    return sized[0].unionByName(sized[1]).withColumn("ratio", ratio).withColumn("tier", layout.tier(F.col("ratio")))
+    return sized.select(run, F.col("file_size").alias("disk_bytes"), "raw_bytes").withColumn("ratio", ratio).withColumn("tier", layout.tier(F.col("ratio")))
 
 
 # Catalog and recovery
@@ -473,6 +525,30 @@ def frame_verdicts(spark, sf_dir):
     return rows.select("event_id", F.octet_length("raw").cast("long").alias("n_bytes"), frames.frame_verdict(F.col("raw")).alias("verdict"))
 
 
+@query
+def frame_payloads(spark, sf_dir):
+    """Frames of the users' properties, every third cut short: the payload of those that can be read."""
+    raw = frames.frame(F.coalesce(F.col("props"), F.lit("")).cast("binary"))
+    cut_ = F.when(F.col("event_id") % 3 == 0, F.substring(raw, F.lit(1), F.octet_length(raw) - 1)).otherwise(raw)
+    rows = table(spark, sf_dir, "events").select("event_id", cut_.alias("raw"))
+    return rows.select("event_id", frames.frame_payload(F.col("raw")).cast("string").alias("payload"))
+
+
+def framed_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(user_id, raw): each user's properties framed one after the other; every third user's file lacks its last five bytes."""
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", frames.frame(F.coalesce(F.col("props"), F.lit("")).cast("binary")).alias("frame"))
+    held = rows.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", F.hex("frame").alias("x")))).alias("f"))
+    raw = F.unhex(F.array_join(F.transform("f", lambda f: f["x"]), ""))
+    return held.select("user_id", raw.alias("raw")).select("user_id", F.when(F.col("user_id") % 3 == 0, F.substring(F.col("raw"), F.lit(1), F.octet_length("raw") - 5)).otherwise(F.col("raw")).alias("raw"))
+
+
+@query
+def framed_log_scan(spark, sf_dir):
+    """Users' framed files read record by record, up to the first that is damaged."""
+    found = frames.records(framed_logs(spark, sf_dir), "user_id")
+    return found.select("user_id", "pos", "offset", F.col("payload").cast("string").alias("payload"), "verdict")
+
+
 @query
 def footer_verdicts(spark, sf_dir):
     """Footers: whole, cut short, of another magic number, of a later version."""
@@ -515,7 +591,7 @@ def read_improvement(spark, sf_dir):
 def format_numbers(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") * 7919).alias("n"))
     third = F.col("n") / 3.0
-    return rows.select("k", formats.thousands(F.col("n")).alias("grouped"), formats.short_float(F.floor(third)).alias("short"), formats.kilobytes(F.col("n")).alias("kb"), formats.zero_pad(F.col("n"), 5).alias("padded"))
+    return rows.select("k", formats.thousands(F.col("n")).alias("grouped"), formats.short_float(third).alias("short"), formats.short_float(F.col("k") / 777.0).alias("small"), formats.kilobytes(F.col("n")).alias("kb"), formats.zero_pad(F.col("n"), 5).alias("padded"))
 
 
 @query
@@ -533,6 +609,15 @@ def read_targets(spark, sf_dir):
     return rows.select("i", generators.target(F.col("i"), 50_000).alias("read_target"), generators.target(F.col("i"), 50_000, generators.OVERWRITE).alias("overwrite_target"))
 
 
+#: The published configurations (name, writes, overwrites, threads, deletions, keys, bytes of the write buffer).
+CONFIGS = (
+    ("SmallSeq", 50_000, 10_000, 1, 5_000, "sequential", 4 << 20),
+    ("MediumRandom", 200_000, 50_000, 4, 25_000, "random", 8 << 20),
+    ("StripedHighConcurrency", 300_000, 100_000, 8, 50_000, "striped", 16 << 20),
+    ("HighBatchIngest", 500_000, 0, 1, 0, "sequential", 32 << 20),
+)
+
+
 def workload(spark: SparkSession, writes: int, overwrites: int, threads: int, deletes: int, pattern: str, pad: int) -> DataFrame:
     """The benchmark's log: bulk puts, overwrites, the threads' rewrites, deletions."""
     def phase(n: int, at: int, index, value):
@@ -568,14 +653,22 @@ def bench_read_accuracy(spark, sf_dir):
     return state.accuracy(probes, state.live(log))
 
 
+@query
+def bench_dirty_reads(spark, sf_dir):
+    """The benchmark's reads before threads and deletions: every target is there."""
+    log = workload(spark, 4000, 1000, 1, 0, "random", 24)
+    at = generators.target(F.col("id"), 4000)
+    return state.accuracy(spark.range(2000).select(generators.key(at, "random", 24).alias("key"), F.lit(True).alias("expected")), state.live(log))
+
+
 @query
 def bench_flush_counts(spark, sf_dir):
-    """Runs on disk at the end of each phase of two of the benchmark's configurations, in one partitioned pass each."""
+    """Runs on disk at the end of each phase of the benchmark's configurations, in one partitioned pass each."""
     out = None
-    for name, n, over, threads, dele, pattern, limit in (("SmallSeq", 50_000, 10_000, 1, 5_000, "sequential", 4 << 20), ("MediumRandom", 200_000, 50_000, 4, 25_000, "random", 8 << 20)):
+    for name, n, over, threads, dele, pattern, limit in CONFIGS:
         log = workload(spark, n, over, threads, dele, pattern, 24).select("seq", "is_tombstone")
-        ends = [("bulk", n), ("overwrite", n + over)] + [("threads", 2 * n + over)] * (threads > 1)
-        ends.append(("delete", ends[-1][1] + dele))
+        ends = [("bulk", n)] + [("overwrite", n + over)] * (over > 0) + [("threads", 2 * n + over)] * (threads > 1)
+        ends += [("delete", ends[-1][1] + dele)] * (dele > 0)
         gens = runs.generations(log, limit).groupBy("gen").agg(F.sum(state.cost()).alias("bytes"), F.max("seq").alias("last")).where(F.col("bytes") >= limit)
         at = [F.struct(F.lit(name).alias("config"), F.lit(p).alias("phase"), F.sum((F.col("last") < end).cast("long")).alias("n")) for p, end in ends]
         rows = gens.agg(F.array(*at).alias("r")).select(F.explode("r").alias("r")).select("r.config", "r.phase", F.coalesce("r.n", F.lit(0)).alias("n_runs"))
@@ -587,7 +680,7 @@ def bench_flush_counts(spark, sf_dir):
 def space_keys(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("i"))
     i = F.col("i")
-    return rows.select("i", generators.space_key(i, "prefixed", 10, "user_").alias("short_key"), generators.space_key(i, "prefixed", 4, "data_").alias("unpadded_key"), generators.space_key(i, "sequential", 10).alias("fixed_key"))
+    return rows.select("i", generators.space_key(i, "prefixed", 10, "user_").alias("short_key"), generators.space_key(i, "prefixed", 4, "data_").alias("unpadded_key"), generators.space_key(i, "sequential", 10).alias("fixed_key"), generators.space_key(i, "random", 16, seed=7).alias("random_key"))
 
 
 # Streaming
@@ -596,3 +689,57 @@ def space_keys(spark, sf_dir):
 @query
 def stream_live_state(spark, sf_dir):
     return streams.live_once(spark, sf_dir)
+
+
+@query
+def stream_aggregated_state(spark, sf_dir):
+    """The newest entries, tombstones included, as an aggregation in complete mode gives them with its last batch."""
+    out = streams.written(streams.newest(streams.events_stream(spark, sf_dir)), "complete")
+    last = out.agg(F.max("batch_id").alias("batch_id"))
+    return out.join(F.broadcast(last), "batch_id").select("key", "value", "is_tombstone")  # one row is broadcast
+
+
+@query
+def stream_keyed_state(spark, sf_dir):
+    """The newest entries, tombstones included, from the changes that a state per key puts out."""
+    out = streams.written(streams.upserted(streams.events_stream(spark, sf_dir)), "update")
+    return state.latest(out)
+
+
+# The durable store
+
+
+def parts_written(spark: SparkSession, sf_dir: str, n: int, limit: int) -> Store:
+    """A store into which the event log was written in n batches by ranges of its numbers, and opened anew."""
+    log, path = events_log(spark, sf_dir), scratch(spark, "store")
+    kinds = {"key": log.schema["key"].dataType.simpleString(), "value": log.schema["value"].dataType.simpleString()}
+    end = log.agg(F.max("seq") + 1).first()[0] or 0
+    db = Store.open(spark, path, limit, **kinds)
+    for i in range(n):
+        part = log.where((F.col("seq") >= end * i // n) & (F.col("seq") < end * (i + 1) // n))
+        db.write_frame(part.withColumn("op_index", F.col("seq") - end * i // n))
+    return Store.open(spark, path, limit, **kinds)
+
+
+@query
+def store_recovered_state(spark, sf_dir):
+    """The live state of a store that was closed with all its batches in the log."""
+    return parts_written(spark, sf_dir, 3, 1 << 40).live()
+
+
+@query
+def store_merged_state(spark, sf_dir):
+    """The newest entries of a store whose five batches were each flushed, four of the runs merged."""
+    return parts_written(spark, sf_dir, 5, 1).latest()
+
+
+@query
+def store_run_metadata(spark, sf_dir):
+    """The runs that those five batches leave: one merged run, one of level 0."""
+    return parts_written(spark, sf_dir, 5, 1).run_metadata()
+
+
+@query
+def store_catalog(spark, sf_dir):
+    """The catalog that they leave: what was added, what was removed, the next id."""
+    return parts_written(spark, sf_dir, 5, 1).manifest().select("seq", "action", F.coalesce("level", F.lit(-1)).alias("level"), F.coalesce("path", F.lit("")).alias("path"), F.coalesce("next_id", F.lit(-1)).alias("next_id"))
