@@ -1,5 +1,7 @@
 """The store on disk, its recovery, the catalog, and streams."""
 
+import threading
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -160,3 +162,94 @@ def test_a_batch_that_is_run_again_changes_nothing(spark, tmp_path):
     assert got.version == 2  # a version that was never finished doesn't count
     with pytest.raises(InvalidDataError):
         streams.Snapshots(spark, str(tmp_path / "none")).live()
+
+
+def damaged(path, pattern, at=-1):
+    """Flip a byte of the first file that fits."""
+    file = sorted(path.glob(pattern))[0]
+    raw = bytearray(file.read_bytes())
+    raw[at] ^= 0xFF
+    file.write_bytes(raw)
+    for crc in path.glob("**/.*.crc"):
+        crc.unlink()
+
+
+def two_runs(spark, path):
+    db = Store.open(spark, str(path))
+    for part in (range(50), range(40, 90)):
+        db.write_batch([("put", f"k{i:03}", f"value {i}" * 3) for i in part])
+        db.flush()
+    return db
+
+
+def test_gets_leave_out_runs_that_cannot_hold_the_key(spark, tmp_path):
+    db = two_runs(spark, tmp_path)
+    for own in (db, Store.open(spark, str(tmp_path))):
+        assert [len(own.holding(k)) for k in ("k001", "k045", "k080", "a", "z")] == [1, 2, 1, 0, 0]
+        assert own.get("k045") == "value 45" * 3 and own.get("a") is None and own.get_entry("z") is None
+        assert [(r, p.rsplit("/", 1)[1]) for r, p, n in own.run_files() if n > 500] == [(r, r.path) for r in own.runs]
+
+
+def test_damage_of_catalog_and_runs_is_found(spark, tmp_path):
+    for name, pattern, at in (("catalog", "MANIFEST/part-*", -1), ("footer", "runs/*/part-*", -1), ("short", "runs/*/part-*", None)):
+        path = tmp_path / name
+        two_runs(spark, path)
+        if at is None:
+            file = sorted(path.glob(pattern))[0]
+            spark.read.parquet(str(file.parent)).limit(7).write.parquet(str(path / "other"))
+            file.write_bytes(next((path / "other").glob("part-*")).read_bytes())
+            [c.unlink() for c in path.glob("**/.*.crc")]
+        else:
+            damaged(path, pattern, at)
+        with pytest.raises(CorruptionError):
+            Store.open(spark, str(path))
+    path = tmp_path / "row"
+    db = two_runs(spark, path)
+    rows_ = db.manifest().withColumn("level", F.col("level") + 1).collect()
+    db.files.delete(f"{path}/MANIFEST")
+    spark.createDataFrame(rows_, db.manifest().schema).write.parquet(f"{path}/MANIFEST")
+    with pytest.raises(CorruptionError):
+        Store.open(spark, str(path))
+    path = tmp_path / "page"
+    two_runs(spark, path)
+    damaged(path, "runs/*/part-*", 60)  # inside of the first page
+    with pytest.raises(Exception, match="(?i)crc|checksum|corrupt|decompress|snappy|uncompress"):
+        Store.open(spark, str(path)).live().collect()
+
+
+def test_clearing_the_log_and_the_catalog(spark, tmp_path):
+    db = two_runs(spark, tmp_path)
+    db.put("new", "x")
+    db.clear_log()
+    assert db.get("new") is None and Store.open(spark, str(tmp_path)).get("k001") is not None
+    db.clear_catalog()
+    assert Store.open(spark, str(tmp_path)).live().collect() == [] and db.get("k001") is None
+
+
+def test_writes_of_many_threads_are_committed_in_groups(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(state, "GROUP_COMMIT", 100)
+    db, commits = Store.open(spark, str(tmp_path)), []
+    write = db.write_batch
+    monkeypatch.setattr(db, "write_batch", lambda ops: commits.append(len(ops)) or write(ops))
+    with db.writer() as w:
+        def work(t):
+            for i in range(65):
+                w.put(f"{t}-{i}", "1")
+            w.submit(("put", f"{t}-0", "2"), ("delete", f"{t}-1"))
+
+        threads = [threading.Thread(target=work, args=(t,)) for t in range(4)]
+        [t.start() for t in threads]
+        [t.join() for t in threads]
+    assert sum(commits) == 4 * 67 and len(commits) == 3
+    live = dict(rows(Store.open(spark, str(tmp_path)).live(), "key", "value"))
+    assert len(live) == 4 * 64 and all(live[f"{t}-0"] == "2" and f"{t}-1" not in live for t in range(4))
+
+
+def test_single_writes_are_gathered(spark, monkeypatch):
+    monkeypatch.setattr(state, "GROUP_COMMIT", 8)
+    kv = state.KVFrame.empty(spark)
+    for i in range(30):
+        kv = kv.put(f"k{i % 7}", str(i))
+    assert kv.log._jdf.queryExecution().logical().toString().count("Union") <= 5
+    kv = kv.delete("k0")
+    assert rows(kv.live(), "key", "value") == sorted((f"k{i % 7}", str(i)) for i in range(23, 30) if i % 7) and kv.get("k0") is None

@@ -35,18 +35,29 @@ def cost(tombstone: str | Column = "is_tombstone") -> Column:
 
 
 class KVFrame:
-    """A lazily built mutation log: every write is a union, every read a query. Later writes get higher numbers."""
+    """A lazily built mutation log: every read is a query. Later writes get higher numbers.
 
-    def __init__(self, log: DataFrame, next_seq: int | None = None):
+    Single writes are gathered, GROUP_COMMIT of them to one part of the log, so its plan doesn't grow with each of them.
+    """
+
+    def __init__(self, log: DataFrame, next_seq: int | None = None, gathered: tuple[tuple, ...] = ()):
         missing = {"seq", "key", "value", "is_tombstone"} - set(log.columns)
         if missing:
             raise InvalidDataError(f"columns missing: {sorted(missing)}")
         kind = log.schema["key"].dataType
         if isinstance(kind, (T.FloatType, T.DoubleType, T.MapType)):
             raise InvalidDataError("keys need a total order and equality; floating point and map keys have none")
-        self.log = log.select("seq", "key", "value", "is_tombstone")
+        self.base = log.select("seq", "key", "value", "is_tombstone")
+        self.gathered = gathered
         self.next_seq = next_seq
 
+    @property
+    def log(self) -> DataFrame:
+        return self.base.unionByName(self._frame(self.gathered)) if self.gathered else self.base
+
+    def _frame(self, rows: tuple[tuple, ...]) -> DataFrame:
+        return self.base.sparkSession.createDataFrame(list(rows), T.StructType([T.StructField(f.name, f.dataType) for f in self.base.schema]))
+
     @classmethod
     def empty(cls, spark, key: str = "string", value: str = "string") -> KVFrame:
         return cls(spark.createDataFrame([], f"seq long, key {key}, value {value}, is_tombstone boolean"), 0)
@@ -62,9 +73,10 @@ class KVFrame:
         if not operations:
             return self
         at = self._next()
-        rows = [(at + i, o[1], o[2] if o[0] == "put" else None, o[0] != "put") for i, o in enumerate(operations)]
-        added = self.log.sparkSession.createDataFrame(rows, T.StructType([T.StructField(f.name, f.dataType) for f in self.log.schema]))
-        return KVFrame(self.log.unionByName(added), at + len(rows))
+        rows = (*self.gathered, *((at + i, o[1], o[2] if o[0] == "put" else None, o[0] != "put") for i, o in enumerate(operations)))
+        if len(rows) >= GROUP_COMMIT:
+            return KVFrame(self.base.unionByName(self._frame(rows)), at + len(operations))
+        return KVFrame(self.base, at + len(operations), rows)
 
     def put(self, key, value) -> KVFrame:
         return self.write_batch([("put", key, value)])

@@ -25,14 +25,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def _scratch_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/tidelog/{spark.sparkContext.applicationId}"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path for a table that lives until drop_scratch()."""
-    return f"{shared_dir(spark).rstrip('/')}/tidelog/{name}-{uuid.uuid4().hex}"
+    return f"{_scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def drop_scratch(spark: SparkSession) -> None:
-    """Delete all tables made under scratch(); frames that read them are of no more use."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/tidelog")
+    """Delete this application's tables made under scratch(); frames that read them are of no more use."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_scratch_dir(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

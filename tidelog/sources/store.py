@@ -5,13 +5,19 @@
     <path>/MANIFEST/              the catalog: add, remove and next_id rows, appended
 
 Every mutation has a number that grows across logs, kept in the runs, so recency never depends on places. A batch is one
-Spark write and becomes visible whole. What the catalog doesn't name is ignored.
+Spark write and becomes visible whole. What the catalog doesn't name is ignored. Log records and catalog rows carry
+checksums; runs carry those of their Parquet pages, checked when a page is read, and the catalog knows how many entries
+each has and between which keys they lie, so a get leaves out the runs that can't hold its key.
 """
 
 from __future__ import annotations
 
+import json
+import threading
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,7 +25,10 @@ from pyspark.sql import types as T
 from tidelog.errors import CorruptionError, InvalidDataError
 from tidelog.operators import catalog, runs, state
 
-CATALOG = "seq long, action string, level int, path string, next_id long"
+#: `entries` and `ends` (first and last key, as JSON; null for keys that aren't strings or whole numbers) describe an added run.
+CATALOG = "seq long, action string, level int, path string, next_id long, entries long, ends string, crc long"
+#: Options of reads that check the pages' checksums.
+CHECKED = {"parquet.page.verify-checksum.enabled": "true"}
 
 
 @dataclass(frozen=True, order=True)
@@ -65,6 +74,12 @@ def checksum(schema: T.StructType) -> Column:
     return F.crc32(F.concat_ws("\0", text("key"), text("value"), F.col("is_tombstone").cast("string")).cast("binary"))
 
 
+def catalog_checksum() -> Column:
+    """Of a catalog row, by the text of its columns; a null one has a text of its own."""
+    names = [f.split()[0] for f in CATALOG.split(", ")][:-1]
+    return F.crc32(F.concat_ws("\0", *(F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in names)).cast("binary"))
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str, limit: int, key: str, value: str):
         self.spark, self.path, self.limit = spark, path.rstrip("/"), limit
@@ -75,20 +90,29 @@ class Store:
         self.logged = T.StructType([*self.schema.fields, T.StructField("crc", T.LongType())])
         self.log_id = self.next_seq = self.next_id = self.events = self.buffered = 0
         self.runs: list[Run] = []
+        self.ends: dict[Run, tuple] = {}
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, limit: int = 4 << 20, key: str = "string", value: str = "string") -> Store:
-        """The store at a path, new or recovered. A log record that fails its checksum stops it; recovered entries don't
-        count towards the limit."""
+        """The store at a path, new or recovered. It stops at a log record or a catalog row that fails its checksum, and at
+        a run that is missing, can't be read or has not as many entries as the catalog says. Recovered entries don't count
+        towards the limit."""
         self = cls(spark, path, limit, key, value)
         manifest = self.manifest()
-        self.events = manifest.count()
+        wrong = F.col("crc").isNull() | (F.col("crc") != catalog_checksum())
+        try:
+            self.events, damaged = manifest.agg(F.count("*"), F.coalesce(F.sum(wrong.cast("int")), F.lit(0))).first()
+        except (PySparkException, Py4JJavaError) as e:
+            raise CorruptionError("the catalog can't be read") from e
+        if damaged:
+            raise CorruptionError("a catalog row doesn't match its checksum")
         self.next_id = catalog.next_id(manifest).first().next_id
         names = {Run(r.level, int(r.path.split("-")[1][:20])) for r in catalog.active_runs(manifest).collect()}
         missing = {r.path for r in names} - set(self.files.names(f"{self.path}/runs"))
         if missing:
             raise CorruptionError(f"the catalog names runs that aren't there: {sorted(missing)}")
         self.runs = sorted(names)
+        self._validate(manifest)
         self.next_id = max([self.next_id, *(r.id + 1 for r in self.runs)])
         logs = self.log_ids()
         self.log_id = max(logs, default=0)
@@ -100,8 +124,28 @@ class Store:
         self.next_seq = 0 if last is None else last + 1
         return self
 
+    def _validate(self, manifest: DataFrame) -> None:
+        """Open every run's files: do they hold as many entries as were written?"""
+        if not self.runs:
+            return
+        added = {(r.level, r.path): r for r in manifest.where("action = 'add'").orderBy("seq").collect()}  # a row a run ever made
+        folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+        try:
+            found = {r.run: r.n for r in self._runs(self.runs).groupBy(folder.alias("run")).agg(F.count("*").alias("n")).collect()}
+        except (PySparkException, Py4JJavaError) as e:
+            raise CorruptionError("a run can't be read") from e
+        for run in self.runs:
+            row = added[run.level, run.path]
+            if row.entries is not None and found.get(run.path, 0) != row.entries:
+                raise CorruptionError(f"{run.path} has {found.get(run.path, 0)} entries, not {row.entries}")
+            if row.ends:
+                self.ends[run] = tuple(json.loads(row.ends))
+
     # Reading
 
+    def _runs(self, runs: list[Run]) -> DataFrame:
+        return self.spark.read.options(**CHECKED).schema(self.schema).parquet(*(f"{self.path}/runs/{r.path}" for r in runs))
+
     def log_ids(self) -> list[int]:
         found = self.spark.createDataFrame([(n, 0) for n in self.files.names(f"{self.path}/wal")], "name string, length long")
         return sorted(r.wal_id for r in catalog.logs(found).collect())
@@ -116,14 +160,20 @@ class Store:
         return self.spark.read.schema(CATALOG).parquet(f"{self.path}/MANIFEST")
 
     def run(self, run: Run) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/runs/{run.path}")
+        return self._runs([run])
+
+    def entries(self, runs: list[Run] | None = None) -> DataFrame:
+        """All entries of logs and runs (all unless named), one or more a key."""
+        out, runs = self.log().drop("crc"), self.runs if runs is None else runs
+        return out.unionByName(self._runs(runs)) if runs else out
+
+    def holding(self, key) -> list[Run]:
+        """The runs whose range holds a key; all whose range isn't known."""
+        def may(run: Run) -> bool:
+            least, most = self.ends.get(run, (None, None))
+            return least is None or type(key) is not type(least) or least <= key <= most
 
-    def entries(self) -> DataFrame:
-        """All entries of logs and runs, one or more a key."""
-        out = self.log().drop("crc")
-        if self.runs:
-            out = out.unionByName(self.spark.read.schema(self.schema).parquet(*(f"{self.path}/runs/{r.path}" for r in self.runs)))
-        return out
+        return [r for r in self.runs if may(r)]
 
     def latest(self) -> DataFrame:
         return state.latest(self.entries())
@@ -132,10 +182,10 @@ class Store:
         return state.live(self.entries())
 
     def get_entry(self, key) -> tuple | None:
-        return state.KVFrame(self.entries()).get_entry(key)
+        return state.KVFrame(self.entries(self.holding(key))).get_entry(key)
 
     def get(self, key):
-        return state.KVFrame(self.entries()).get(key)
+        return state.KVFrame(self.entries(self.holding(key))).get(key)
 
     def multi_get(self, keys: DataFrame) -> DataFrame:
         return state.multi_get(keys, self.live())
@@ -154,6 +204,10 @@ class Store:
         meta = runs.metadata(out.withColumn("r", F.struct("level", "sstable_id")), "r")
         return meta.select("r.level", "r.sstable_id", "min_key", "max_key", "num_entries", "num_live", runs.filter_type(F.col("r.level")).alias("filter_type"))
 
+    def run_files(self) -> list[tuple[Run, str, int]]:
+        """(run, path, bytes) of every run."""
+        return [(r, f"{self.path}/runs/{r.path}", self.files.size(f"{self.path}/runs/{r.path}")) for r in self.runs]
+
     def disk_usage(self) -> int:
         return self.files.size(self.path)
 
@@ -197,18 +251,38 @@ class Store:
     def delete(self, key) -> None:
         self.write_batch([("delete", key)])
 
+    def writer(self) -> Writer:
+        return Writer(self)
+
     def _write_run(self, entries: DataFrame, run: Run) -> None:
-        n = entries.count()
+        found = entries.agg(F.count("*").alias("n"), F.min("key").alias("least"), F.max("key").alias("most")).first()
+        n = found.n
         out = entries.repartitionByRange(max(1, -(-n // 4_000_000)), "key").sortWithinPartitions("key").write.mode("overwrite")
         out = out.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.expected.ndv#key", str(max(1, n)))
         out.parquet(f"{self.path}/runs/{run.path}")
+        plain = isinstance(self.schema["key"].dataType, (T.StringType, T.IntegralType))
+        self.written = (n, json.dumps([found.least, found.most]) if plain and n else None)
+        if plain and n:
+            self.ends[run] = (found.least, found.most)
 
     def _record(self, rows: list[tuple]) -> None:
-        """One append of catalog rows (action, level, path, next_id)."""
-        numbered = [(self.events + i, *r) for i, r in enumerate(rows)]
-        self.spark.createDataFrame(numbered, CATALOG).coalesce(1).write.mode("append").parquet(f"{self.path}/MANIFEST")
+        """One append of catalog rows (action, level, path, next_id); an added run is the one just written."""
+        numbered = [(self.events + i, *r, *(self.written if r[0] == "add" else (None, None)), None) for i, r in enumerate(rows)]
+        frame = self.spark.createDataFrame(numbered, CATALOG).withColumn("crc", catalog_checksum())
+        frame.coalesce(1).write.mode("append").parquet(f"{self.path}/MANIFEST")
         self.events += len(rows)
 
+    def clear_log(self) -> None:
+        """Forget what isn't in a run yet."""
+        for i in self.log_ids():
+            self.files.delete(f"{self.path}/wal/{i:06}.wal")
+        self.buffered = 0
+
+    def clear_catalog(self) -> None:
+        """Forget all runs; their files are orphans from then on."""
+        self.files.delete(f"{self.path}/MANIFEST")
+        self.runs, self.ends, self.events = [], {}, 0
+
     def flush(self) -> None:
         """The buffer's newest entries become a run of level 0; then the logs that it covers go. Full levels are merged."""
         newest = state.latest(self.log(), extra=("seq",)).select(*self.schema.names)
@@ -227,16 +301,54 @@ class Store:
         old = self._level(level)
         if not old:
             return None
-        parts = self.spark.read.schema(self.schema).parquet(*(f"{self.path}/runs/{r.path}" for r in old))
+        parts = self._runs(old)
         run = Run(level + 1, self.next_id)
         self._write_run(state.latest(parts, extra=("seq",)).select(*self.schema.names), run)
         self._record([*(("remove", r.level, r.path, None) for r in old), ("add", run.level, run.path, None), ("next_id", None, None, run.id + 1)])
         self.next_id, self.runs = run.id + 1, sorted([*(r for r in self.runs if r not in old), run])
         for r in old:
             self.files.delete(f"{self.path}/runs/{r.path}")
+            self.ends.pop(r, None)
         return run
 
     def handle_compaction_results(self) -> None:
         """Merge levels of FANOUT runs or more until there is none."""
         while full := [k for k in self._levels() if len(self._level(k)) >= runs.FANOUT]:
             self.compact(full[0])
+
+
+class Writer:
+    """Single writes of any number of threads, committed in groups: GROUP_COMMIT of them, or what there is at flush().
+
+    A group is one Spark write, whole or not at all, in the order in which the writes came. Leaving the context flushes.
+    """
+
+    def __init__(self, store: Store):
+        self.store, self.pending, self.lock = store, [], threading.Lock()
+
+    def submit(self, *operations: tuple) -> None:
+        """Operations ("put", key, value) or ("delete", key); those of one call lie next to each other."""
+        with self.lock:
+            self.pending.extend(operations)
+            if len(self.pending) >= state.GROUP_COMMIT:
+                self._commit()
+
+    def put(self, key, value) -> None:
+        self.submit(("put", key, value))
+
+    def delete(self, key) -> None:
+        self.submit(("delete", key))
+
+    def _commit(self) -> None:
+        group, self.pending = self.pending, []
+        self.store.write_batch(group)
+
+    def flush(self) -> None:
+        with self.lock:
+            self._commit()
+
+    def __enter__(self) -> Writer:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.flush()
