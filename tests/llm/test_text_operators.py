@@ -94,6 +94,24 @@ def test_language_on_awkward_tables(spark):
     assert {r.lang_pred for r in langid.identify(docs, none).collect()} == {"und"}
 
 
+def test_predictions_against_plain_sums(spark):
+    """Subwords counted one by one, hashed, weighed and put through a softmax written out."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.train(spark.read.parquet(f"{SF}/documents.parquet"))
+    got = by_id(langid.identify(docs, model), "doc_id", "lang_pred", "score", "rejected")
+    for r in docs.limit(60).collect():
+        raw = bytes([32, *(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in r.text.encode()), 32])
+        z, n = np.zeros(len(model.bias)), 0
+        for k in (2, 3, 4):
+            for i in range(len(raw) - k + 1):
+                h = (int.from_bytes(raw[i : i + k], "little") + 0x9E3779B9 * k) * 2654435761 % 2**32 >> 19
+                z += model.weights[h]
+                n += 1
+        e = np.exp((z / n + model.bias) / model.temperature)
+        p = e[:-1] / e.sum()
+        assert got[r.doc_id] == (model.languages[int(p.argmax())], pytest.approx(p.max(), abs=1e-6), bool(p.max() < model.threshold))
+
+
 def test_subwords_of_chunks_are_those_of_the_whole(monkeypatch):
     text = "Größe und Länge, " * 50
     whole = langid.counts(text)
@@ -440,6 +458,45 @@ def test_toxicity_of_labels_that_training_never_saw(spark):
     assert got.severity[got.label == 1].mean() > 10 * got.severity[got.label == 0].mean()
 
 
+def test_severity_against_plain_sums(spark):
+    """Every document's probabilities from the model's weights alone, feature by feature."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.train(spark.read.parquet(f"{SF}/documents.parquet"), labels, F.col("toxic"))
+    assert len(model.weights) > 0
+    got = by_id(toxicity.severity(docs, model), "doc_id", "severity", "p_toxic")
+    for r in docs.collect():
+        found = [w for w in re.split(r"[\W\d_]+", r.text.lower()) if w]
+        per = {}
+        for w in found:
+            for name in [w, *(f"{k}^{w[:k]}" for k in (4, 5) if len(w) > k)]:
+                i = zlib.crc32(name.encode()) % toxicity.BUCKETS
+                per[i] = per.get(i, 0) + 1
+        score = sum(model.weights.get(i, 0) * np.log1p(1000 * n / len(found)) for i, n in per.items())
+        above = 1 / (1 + np.exp(model.thresholds - score))
+        assert got[r.doc_id] == pytest.approx((above.sum(), above[0]), abs=1e-9)
+
+
+def test_ordinal_fit_is_a_minimum():
+    """No small step away from what fit() gives lowers the penalised loss, written out row by row."""
+    rng = np.random.default_rng(1)
+    rows = [{w: float(n) for w, n in zip((1, 2, 3), rng.integers(0, 4, 3).tolist(), strict=True)} for _ in range(400)]
+    grades = [int(min(2, max(0, r[1] - r[2] / 2 + rng.normal()))) for r in rows]
+    model = toxicity.fit(rows, grades, rounds=3000)
+
+    def loss(weights, thresholds):
+        out = 0
+        for r, y in zip(rows, grades, strict=True):
+            above = [1, *(1 / (1 + np.exp(thresholds - sum(weights.get(i, 0) * v for i, v in r.items())))), 0]
+            out -= np.log(above[y] - above[y + 1])
+        return out / len(rows) + toxicity.PENALTY * sum(map(abs, weights.values()))
+
+    best = loss(model.weights, model.thresholds)
+    for _ in range(60):
+        w = {i: v + rng.normal() * 0.02 for i, v in model.weights.items()}
+        assert loss(w, model.thresholds + rng.normal(size=2) * 0.02) > best - 1e-6
+
+
 def test_ordinal_regression_shares_weights():
     rng = np.random.default_rng(0)
     rows = [{w: float(n) for w, n in zip((1, 2, 3), rng.integers(0, 6, 3).tolist(), strict=True)} for _ in range(600)]

@@ -76,14 +76,14 @@ class Model:
         total, known, weights = 0, self.known, self.weights
         for chunk in words(text or ""):
             total += len(chunk)
-            for w in chunk:
+            for w, n in Counter(chunk).items():
                 own = known.get(w)
                 if own is None:
                     if len(known) >= CACHE:
                         known.clear()
                     own = known[w] = tuple(i for i in numbers(w) if i in weights)
                 for i in own:
-                    counts[i] += 1
+                    counts[i] += n
         score = sum(weights[i] * np.log1p(1000 * n / total) for i, n in sorted(counts.items()))
         return _sigmoid(score - self.thresholds)
 
