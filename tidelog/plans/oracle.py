@@ -113,6 +113,25 @@ def _thousands(x: str) -> str:
     return f"format('{{:_}}', ({x})::BIGINT)"
 
 
+def _space(t: str, key: str, n: int, width: int) -> str:
+    """Blocks of n generated keys, as e, b and bl with the suffix t."""
+    source = f"""k{t} AS (SELECT {key} AS key, repeat('v', {width}) AS value FROM range(0, {n}) r(i)),
+u{t} AS (SELECT key, value, row_number() OVER (ORDER BY key) - 1 AS pos, lag(key) OVER (ORDER BY key) AS before FROM k{t})"""
+    return _blocks(source, t)
+
+
+def _random_letters(i: str, n: int, seed: int) -> str:
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    return f"array_to_string([substr('{letters}', (('0x' || substr(md5('{seed}:' || {i} || ':' || k), 1, 8))::BIGINT % 62 + 1)::BIGINT, 1) for k in range(0, {n})], '')"
+
+
+_SPACE = ",\n".join((
+    _space("1", "'a.long.prefix.that.all.of.these.records.have_' || i", 10_000, 100),
+    _space("2", _random_letters("i", 64, 0), 5_000, 200),
+    _space("3", "'data_' || lpad(i::VARCHAR, 20, '0')", 7_500, 75),
+))
+
+
 def _short(x: str) -> str:
     return f"CASE WHEN {x} < 1 THEN printf('%.2f', {x}) WHEN {x} < 1000 THEN printf('%.1f', {x}) ELSE {_thousands(f'round({x})')} END"
 
@@ -195,6 +214,16 @@ SELECT access_no, s AS sstable_id, o AS "offset", prev IS NOT NULL AND coalesce(
 f AS (SELECT user_id, p, row_number() OVER w - 1 AS pos, coalesce(sum(strlen(p) + 12) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset", lead(event_id) OVER w IS NULL AND user_id % 3 = 0 AS cut
 FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
 SELECT user_id, pos, "offset", CASE WHEN cut THEN NULL ELSE p END AS payload, CASE WHEN NOT cut THEN 'ok' WHEN strlen(p) < 5 THEN 'truncated length' ELSE 'truncated data' END AS verdict FROM f""",
+    "space_test": f"""WITH RECURSIVE {_SPACE},
+s AS ({" UNION ALL ".join(f"""SELECT '{name}' AS test, (SELECT count(*) FROM u{t}) AS n, (SELECT sum(strlen(key) + strlen(value))::BIGINT FROM u{t}) AS raw_bytes,
+(SELECT strlen(min(key)) + strlen(max(key)) FROM u{t}) AS keys, (SELECT sum(data_bytes + 4 * restarts + 28 + strlen(first_key) + 16)::BIGINT FROM bl{t}) AS blocks""" for t, name in (("1", "long prefixed"), ("2", "long random"), ("3", "mixed length")))}),
+t AS (SELECT test, n, (blocks + 20 + 36 + {_SLOTS} + keys + 38 + 64)::BIGINT AS file_size, raw_bytes FROM s)
+SELECT *, file_size / raw_bytes AS ratio, CASE WHEN file_size / raw_bytes < 1.05 THEN 'ELITE' WHEN file_size / raw_bytes < 1.15 THEN 'EXCELLENT' ELSE 'GOOD' END AS tier FROM t""",
+    "bench_report": """WITH p(config, phase, ops, n_runs) AS (VALUES ('SmallSeq', 'bulk', 50000::BIGINT, 0::BIGINT), ('SmallSeq', 'overwrite', 10000, 0), ('SmallSeq', 'dirty read', 20000, 0), ('SmallSeq', 'delete', 5000, 0), ('SmallSeq', 'cleaned read', 20000, 0),
+('MediumRandom', 'bulk', 200000, 1), ('MediumRandom', 'overwrite', 50000, 1), ('MediumRandom', 'dirty read', 50000, 1), ('MediumRandom', 'threads', 200000, 2), ('MediumRandom', 'delete', 25000, 2), ('MediumRandom', 'cleaned read', 50000, 2),
+('StripedHighConcurrency', 'bulk', 300000, 0), ('StripedHighConcurrency', 'overwrite', 100000, 1), ('StripedHighConcurrency', 'dirty read', 100000, 1), ('StripedHighConcurrency', 'threads', 300000, 2), ('StripedHighConcurrency', 'delete', 50000, 2), ('StripedHighConcurrency', 'cleaned read', 100000, 2),
+('HighBatchIngest', 'bulk', 500000, 0), ('HighBatchIngest', 'dirty read', 50000, 0), ('HighBatchIngest', 'cleaned read', 50000, 0))
+SELECT *, ops AS n_right FROM p""",
     "bench_dirty_reads": f"""WITH w AS (SELECT DISTINCT {_random_key("i")} AS key FROM range(0, 4000) t(i)), p AS (SELECT {_random_key(_target("i", 4000, 1103515245, 12345))} AS key FROM range(0, 2000) t(i))
 SELECT count(*) AS n, (count(*) FILTER (key IN (FROM w)))::BIGINT AS n_right, avg(CASE WHEN key IN (FROM w) THEN 1.0::DOUBLE ELSE 0.0 END) * 100 AS accuracy FROM p""",
     "stream_aggregated_state": f"WITH {_L1} SELECT key, value, is_tombstone FROM l1",

@@ -616,6 +616,15 @@ CONFIGS = (
     ("StripedHighConcurrency", 300_000, 100_000, 8, 50_000, "striped", 16 << 20),
     ("HighBatchIngest", 500_000, 0, 1, 0, "sequential", 32 << 20),
 )
+#: Their reads.
+READS = {"SmallSeq": 20_000, "MediumRandom": 50_000, "StripedHighConcurrency": 100_000, "HighBatchIngest": 50_000}
+#: Three of the published space tests (name, kind of keys, prefix, their length, entries, bytes of a value); a
+#: prefix is as long as the published one.
+SPACE = (
+    ("long prefixed", "prefixed", "a.long.prefix.that.all.of.these.records.have_", 45, 10_000, 100),
+    ("long random", "random", "", 64, 5_000, 200),
+    ("mixed length", "prefixed", "data_", 25, 7_500, 75),
+)
 
 
 def workload(spark: SparkSession, writes: int, overwrites: int, threads: int, deletes: int, pattern: str, pad: int) -> DataFrame:
@@ -661,14 +670,59 @@ def bench_dirty_reads(spark, sf_dir):
     return state.accuracy(spark.range(2000).select(generators.key(at, "random", 24).alias("key"), F.lit(True).alias("expected")), state.live(log))
 
 
+def phase_ends(n: int, over: int, threads: int, dele: int) -> list[tuple[str, int]]:
+    """The phases that write, each with the number of writes by its end."""
+    ends = [("bulk", n)] + [("overwrite", n + over)] * (over > 0) + [("threads", n + over + n // threads * threads)] * (threads > 1)
+    return ends + [("delete", ends[-1][1] + dele)] * (dele > 0)
+
+
+@query
+def bench_report(spark, sf_dir):
+    """The benchmark's report without its times: operations of every phase, runs on disk after it, and how many of the reads
+    were answered rightly (all operations, where a phase reads nothing). Reads before threads are dirty, the last clean."""
+    runs_ = bench_flush_counts(spark, sf_dir)
+    phases_, reads = [], None
+    for name, n, over, threads, dele, pattern, _ in CONFIGS:
+        ends = phase_ends(n, over, threads, dele)
+        begun = 0
+        for phase, end in ends:
+            phases_.append((name, phase, end - begun, phase))
+            begun = end
+        dirty = [p for p, _ in ends if p in ("bulk", "overwrite")][-1]
+        phases_ += [(name, "dirty read", READS[name], dirty), (name, "cleaned read", READS[name], ends[-1][0])]
+        log = workload(spark, n, over, threads, dele, pattern, 24)
+        at = generators.target(F.col("id"), n)
+        probes = spark.range(READS[name]).select(generators.key(at, pattern, 24).alias("key"), at.alias("at"))
+        for phase, seen, there in (("dirty read", log.where(F.col("seq") < n + over), F.lit(True)), ("cleaned read", log, F.col("at") >= dele)):
+            got = state.accuracy(probes.select("key", there.alias("expected")), state.live(seen)).select(F.lit(name).alias("config"), F.lit(phase).alias("phase"), "n_right")
+            reads = got if reads is None else reads.unionByName(got)
+    of = spark.createDataFrame(phases_, "config string, phase string, ops long, after string")  # a row a phase
+    out = of.join(runs_.withColumnRenamed("phase", "after"), ["config", "after"]).join(reads, ["config", "phase"], "left")
+    return out.select("config", "phase", "ops", "n_runs", F.coalesce("n_right", "ops").alias("n_right"))
+
+
+@query
+def space_test(spark, sf_dir):
+    """Runs of generated keys written as files: bytes on disk, raw bytes, their ratio."""
+    rows = None
+    for i, (_, kind, prefix, length, n, width) in enumerate(SPACE):
+        key = generators.space_key(F.col("id"), kind, length, prefix)
+        own = spark.range(n).select(F.lit(i).cast("long").alias("sstable_id"), key.alias("key"), F.lit("v" * width).alias("value"), F.lit(False).alias("is_tombstone"))
+        rows = own if rows is None else rows.unionByName(own)
+    raw = rows.groupBy("sstable_id").agg(F.count("*").alias("n"), F.sum(F.octet_length("key") + F.octet_length("value")).cast("long").alias("raw_bytes"))
+    ratio = layout.amplification(F.col("file_size"), F.col("raw_bytes"))
+    sized = layout.file_sizes(rows, layout.blocks(rows)).join(raw, "sstable_id").withColumn("ratio", ratio)
+    name = F.element_at(F.array(*(F.lit(c[0]) for c in SPACE)), (F.col("sstable_id") + 1).cast("int"))
+    return sized.select(name.alias("test"), "n", "file_size", "raw_bytes", "ratio", layout.tier(F.col("ratio")).alias("tier"))
+
+
 @query
 def bench_flush_counts(spark, sf_dir):
     """Runs on disk at the end of each phase of the benchmark's configurations, in one partitioned pass each."""
     out = None
     for name, n, over, threads, dele, pattern, limit in CONFIGS:
         log = workload(spark, n, over, threads, dele, pattern, 24).select("seq", "is_tombstone")
-        ends = [("bulk", n)] + [("overwrite", n + over)] * (over > 0) + [("threads", 2 * n + over)] * (threads > 1)
-        ends += [("delete", ends[-1][1] + dele)] * (dele > 0)
+        ends = phase_ends(n, over, threads, dele)
         gens = runs.generations(log, limit).groupBy("gen").agg(F.sum(state.cost()).alias("bytes"), F.max("seq").alias("last")).where(F.col("bytes") >= limit)
         at = [F.struct(F.lit(name).alias("config"), F.lit(p).alias("phase"), F.sum((F.col("last") < end).cast("long")).alias("n")) for p, end in ends]
         rows = gens.agg(F.array(*at).alias("r")).select(F.explode("r").alias("r")).select("r.config", "r.phase", F.coalesce("r.n", F.lit(0)).alias("n_runs"))
