@@ -1,8 +1,8 @@
 """Write-buffer generations and the sorted runs that they become.
 
 A generation ends with the entry that brings its size to the limit; the next begins at 0. That is a fold over the whole
-log, done here without one task reading it: the log is range-partitioned by seq, into as many partitions as its size asks
-for; each partition tabulates, for every size it may be entered with, how many generations it ends and the size it leaves
+log, done here without one task reading it: its numbers and sizes (no keys or values) are range-partitioned by seq, into as
+many partitions as their bytes ask for; each partition tabulates, for every size it may be entered with, how many generations it ends and the size it leaves
 with (a step function with as many steps as a generation has rows at most); one task runs through the tables in order; and
 every partition then numbers its own rows, batch by batch.
 """
@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelog.operators.state import PUT_COST, cost, latest
 from tidelog.sources import shared
@@ -46,11 +47,12 @@ def _table(costs: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.nd
 def generations(log: DataFrame, limit: int, size: Column | None = None, partitions: int | None = None) -> DataFrame:
     """`log` with gen, the number of the write-buffer generation of each entry (from 0), in order of seq.
 
-    `size` is an entry's size, shallow unless given; a size of 0 or a null one counts as nothing. Seq is taken as unique.
+    `size` is an entry's size, shallow unless given; a size of 0 or a null one counts as nothing. Entries of one seq share a
+    generation; those without one get none. Only numbers and sizes are sorted; entries meet their generation by seq.
     """
-    sized = log.withColumn("__size", F.coalesce(size if size is not None else cost(), F.lit(0)).cast("long"))
-    n = partitions or shared.partitions(log)
-    placed = shared.cut(sized.repartitionByRange(n, "seq").sortWithinPartitions("seq").withColumn("__part", F.spark_partition_id()))
+    sizes = log.select("seq", F.coalesce(size if size is not None else cost(), F.lit(0)).cast("long").alias("size")).where("seq is not null")
+    n = partitions or shared.partitions(sizes)
+    placed = shared.cut(sizes.repartitionByRange(n, "seq").sortWithinPartitions("seq").withColumn("part", F.spark_partition_id()))
 
     def tabulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, sizes = None, []
@@ -78,20 +80,18 @@ def generations(log: DataFrame, limit: int, size: Column | None = None, partitio
                 else:
                     held += totals[i]
 
-    tables = placed.select("__part", "__size").mapInArrow(tabulate, "part int, total long, least array<long>, ended array<long>, left array<long>")
+    tables = placed.select("part", "size").mapInArrow(tabulate, "part int, total long, least array<long>, ended array<long>, left array<long>")
     entered = tables.coalesce(1).sortWithinPartitions("part").mapInArrow(run_through, "part int, gen long, held long")
     starts = {r.part: (r.gen, r.held) for r in entered.collect()}  # a row for each partition
-    out = placed.drop("__part", "__size").withColumn("gen", F.lit(0).cast("long")).schema
-    names = [f.name for f in out.fields[:-1]]
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gen = held = None
+        gen = held = last = None
         for b in batches:
             if not b.num_rows:
                 continue
             if gen is None:
-                gen, held = starts[b.column(b.schema.get_field_index("__part"))[0].as_py()]
-            c = np.cumsum(b.column(b.schema.get_field_index("__size")).to_numpy())
+                gen, held = starts[b.column(2)[0].as_py()]
+            seq, c = b.column(0).to_numpy(), np.cumsum(b.column(1).to_numpy())
             gens, at, base = np.zeros(len(c), np.int64), 0, -held
             while True:
                 end = int(np.searchsorted(c, base + limit))
@@ -100,9 +100,13 @@ def generations(log: DataFrame, limit: int, size: Column | None = None, partitio
                     break
                 gen, at, base = gen + 1, end + 1, int(c[end])
             held = int(c[-1]) - base
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(x)) for x in names), pa.array(gens)], [*names, "gen"])
+            new = np.append(last is None or seq[0] != last, seq[1:] != seq[:-1])
+            last = seq[-1]
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(new)), pa.array(gens[new])], ["seq", "gen"])
 
-    return placed.mapInArrow(number, out)
+    numbered = placed.mapInArrow(number, T.StructType([log.schema["seq"], T.StructField("gen", T.LongType())]))
+    kept = [c for c in log.columns if c != "gen"]
+    return log.select(*kept).join(numbered, "seq", "left").select(*kept, "gen")
 
 
 def put_only_generation(position: Column, limit: int) -> Column:
