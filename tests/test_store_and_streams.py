@@ -129,8 +129,10 @@ def test_stream_of_snapshots_equals_the_batch(spark, log_files):
     assert rows(got.live(), "key", "value") == want
 
 
-def test_snapshots_go_on_after_a_restart(spark, tmp_path):
+def test_snapshots_go_on_after_a_restart(spark, tmp_path, monkeypatch):
     """A stream that is stopped and started again, with a new object over the same folder and checkpoint."""
+    monkeypatch.setattr(streams.Snapshots, "MERGED", 2)
+
     def put(rows):
         spark.createDataFrame(rows, LOG).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
 
@@ -147,19 +149,22 @@ def test_snapshots_go_on_after_a_restart(spark, tmp_path):
         put([(10 + i, "d", str(i), False)])
         drain()
     again = streams.Snapshots(spark, str(tmp_path / "s"))
-    assert rows(again.live(), "key", "value") == [("b", "2"), ("c", "3"), ("d", "3")] and len(again.versions()) == again.KEPT
+    assert rows(again.live(), "key", "value") == [("b", "2"), ("c", "3"), ("d", "3")]
+    assert again._there("b") == [3, 5] and again._there("d") == [4, 5] and rows(again.entries(4), "key", "value") == [("a", None), ("b", "2"), ("c", "3"), ("d", "2")]
 
 
-def test_a_batch_that_is_run_again_changes_nothing(spark, tmp_path):
+@pytest.mark.parametrize("merged", [1, 2, 16])
+def test_a_batch_that_is_run_again_changes_nothing(spark, tmp_path, monkeypatch, merged):
+    monkeypatch.setattr(streams.Snapshots, "MERGED", merged)
     batches = [[(0, "a", "1", False)], [(1, "b", "2", False)], [(2, "a", None, True)]]
     frames_ = [spark.createDataFrame(b, LOG) for b in batches]
     for i in (0, 1, 1, 2, 2):
         streams.Snapshots(spark, str(tmp_path / "s")).merge(frames_[i], i)
     got = streams.Snapshots(spark, str(tmp_path / "s"))
     assert rows(got.live(), "key") == [("b",)] and got.version == 2
-    spark.createDataFrame([], LOG).write.parquet(str(tmp_path / "s" / "v3"))
-    got.files.delete(str(tmp_path / "s" / "v3" / "_SUCCESS"))
-    assert got.version == 2  # a version that was never finished doesn't count
+    spark.createDataFrame([], LOG).write.parquet(str(tmp_path / "s" / "d3"))
+    got.files.delete(str(tmp_path / "s" / "d3" / "_SUCCESS"))
+    assert got.version == 2  # a folder that was never finished doesn't count
     with pytest.raises(InvalidDataError):
         streams.Snapshots(spark, str(tmp_path / "none")).live()
 

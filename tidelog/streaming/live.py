@@ -54,45 +54,51 @@ def upserted(log: DataFrame) -> DataFrame:
 
 
 class Snapshots:
-    """A merged state in versioned folders, one a batch: each reads the newest version before its own and writes the next.
+    """A merged state in versioned folders: d<n>, the newest entries of batch n alone, and b<n>, those of all up to n.
 
-    What is there decides, not what this object remembers, so a new one over the same folder goes on where the last one
-    ended. A version counts once it is written whole; KEPT versions stay, for readers and for a batch that is run again.
+    A batch costs what it holds; every MERGED batches, what lies since the last whole state is merged with it into a new
+    one. What is there decides, not what this object remembers, so a new one over the same folder goes on where the last
+    ended. A folder counts once it is written whole. All since the whole state before the last one stays, for readers and
+    for a batch that is run again.
     """
 
-    KEPT = 3
+    MERGED = 16
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         self.files = Files(spark, self.path)
 
-    def versions(self) -> list[int]:
-        """The whole versions, oldest first."""
-        found = [int(n[1:]) for n in self.files.names(self.path) if n.startswith("v") and n[1:].isdigit()]
-        return sorted(v for v in found if self.files.exists(f"{self.path}/v{v}/_SUCCESS"))
+    def _there(self, kind: str) -> list[int]:
+        """The numbers of the whole folders of a kind, oldest first."""
+        found = [int(n[1:]) for n in self.files.names(self.path) if n[0] == kind and n[1:].isdigit()]
+        return sorted(v for v in found if self.files.exists(f"{self.path}/{kind}{v}/_SUCCESS"))
 
     @property
     def version(self) -> int | None:
-        return max(self.versions(), default=None)
+        """The last batch that was merged."""
+        return max([*self._there("d"), *self._there("b")], default=None)
 
     def merge(self, batch: DataFrame, batch_id: int) -> None:
-        """Idempotent: a batch that is run again writes its version anew from the one before it."""
-        rows, known = batch.select("seq", "key", "value", "is_tombstone"), self.versions()
-        before = max((v for v in known if v < batch_id), default=None)
-        if before is not None:
-            rows = rows.unionByName(self.entries(before, rows.schema))
-        newest = latest(rows, extra=("seq",)).select("seq", "key", "value", "is_tombstone")
-        newest.write.mode("overwrite").parquet(f"{self.path}/v{batch_id}")
-        for v in [v for v in known if v < batch_id][: 1 - self.KEPT]:
-            self.files.delete(f"{self.path}/v{v}")
-
-    def entries(self, version: int | None = None, schema: T.StructType | None = None) -> DataFrame:
-        """Newest entries, tombstones included; those of the newest version unless another is named."""
+        """Idempotent: a batch that is run again writes its folders anew."""
+        rows = batch.select("seq", "key", "value", "is_tombstone")
+        latest(rows, extra=("seq",)).select(*rows.columns).write.mode("overwrite").parquet(f"{self.path}/d{batch_id}")
+        if (batch_id + 1) % self.MERGED == 0:
+            before = [v for v in self._there("b") if v < batch_id]
+            self.entries(batch_id, rows.schema, before).write.mode("overwrite").parquet(f"{self.path}/b{batch_id}")
+            for kind in "bd":
+                for v in self._there(kind):
+                    if before and (v < before[-1] or kind == "d" and v == before[-1]):
+                        self.files.delete(f"{self.path}/{kind}{v}")
+
+    def entries(self, version: int | None = None, schema: T.StructType | None = None, whole: list[int] | None = None) -> DataFrame:
+        """Newest entries (seq, key, value, is_tombstone), tombstones included, as of the newest version unless another is named."""
         version = self.version if version is None else version
         if version is None:
             raise InvalidDataError("no batch has been merged yet")
-        reader = self.spark.read if schema is None else self.spark.read.schema(schema)
-        return reader.parquet(f"{self.path}/v{version}")
+        base = max((v for v in (self._there("b") if whole is None else whole) if v <= version), default=-1)
+        paths = [f"{self.path}/b{base}"] * (base >= 0) + [f"{self.path}/d{v}" for v in self._there("d") if base < v <= version]
+        rows = (self.spark.read if schema is None else self.spark.read.schema(schema)).parquet(*paths)
+        return latest(rows, extra=("seq",)).select("seq", "key", "value", "is_tombstone")
 
     def live(self) -> DataFrame:
         return self.entries().where(~F.col("is_tombstone")).select("key", "value")
