@@ -96,6 +96,19 @@ def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
     return tidy
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is worked out once, however often it occurs there."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def chunked(items: Column) -> Column:
+    """An array's elements in chunks of the square root of their number; one empty chunk of none."""
+    n = F.size(items)
+    width = F.greatest(F.ceil(F.sqrt(n.cast("double"))), F.lit(1)).cast("int")
+    numbers = F.sequence(F.lit(0), F.floor(F.greatest(n - 1, F.lit(0)) / width).cast("int"))
+    return F.transform(numbers, lambda k: F.slice(items, k * width + 1, width))
+
+
 def run_through(items: Column, start: Column, advance: Callable[[Column, Column], Column], emit: Callable[[Column, Column], Column], kind: str) -> Column:
     """All that `emit` (an array of `kind`) gives for the elements of an array, from the state before each.
 
@@ -104,18 +117,10 @@ def run_through(items: Column, start: Column, advance: Callable[[Column, Column]
     """
     none = F.array().cast(f"array<{kind}>")
 
-    def let(value: Column, body: Callable[[Column], Column]) -> Column:
-        return F.get(F.transform(F.array(value), body), F.lit(0))
-
     def within(chunk: Column, state: Column) -> Column:
         zero = F.struct(state.alias("s"), none.alias("out"))
         return F.aggregate(chunk, zero, lambda a, x: F.struct(advance(a["s"], x).alias("s"), F.concat(a["out"], emit(a["s"], x)).alias("out")), lambda a: a["out"])
 
-    def chunked(all_: Column) -> Column:
-        n = F.size(all_)
-        width = F.ceil(F.sqrt(n.cast("double"))).cast("int")
-        return F.when(n == 0, F.array(all_)).otherwise(F.transform(F.sequence(F.lit(0), F.floor((n - 1) / F.greatest(width, F.lit(1))).cast("int")), lambda k: F.slice(all_, k * width + 1, width)))
-
     def states(chunks: Column) -> Column:
         zero = F.struct(start.alias("s"), F.array(start).alias("all"))
         after = lambda a, c: F.aggregate(c, a["s"], advance)

@@ -15,7 +15,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import free, named, parts, run_through, scanned
+from tidelog.llm.common import free, let, named, parts, run_through, scanned
 
 SEED = "tidelog"
 #: Sources whose rates reach the driver at most, and steps of all tables that are broadcast at most (8 bytes each);
@@ -56,9 +56,6 @@ def poisson_steps(rate: Column) -> Column:
     far = -F.lit(0.5) * F.log(F.lit(2 * math.pi) * k) - series - (k * F.log1p((k - rate) / rate) + rate - k)
     start = F.when(first == 0, F.negative(rate)).otherwise(far)
 
-    def let(value: Column, body) -> Column:
-        return F.get(F.transform(F.array(value), body), F.lit(0))
-
     def steps(zero: Column) -> Column:
         def advance(s: Column, k: Column) -> Column:
             log = s["log"] + F.log(rate) - F.log(k.cast("double"))

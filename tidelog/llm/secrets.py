@@ -18,7 +18,7 @@ from dataclasses import astuple, dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import free, named, only, run_through, scanned, scratch_path, stored
+from tidelog.llm.common import chunked, free, let, named, only, run_through, scanned, scratch_path, stored
 
 
 @dataclass(frozen=True)
@@ -197,14 +197,6 @@ def masked(text: Column, found: Column, mask: str) -> Column:
     def part(of: Column, b: Column, e: Column) -> Column:
         return F.substring(of, (b + 1).cast("int"), (e - b).cast("int"))
 
-    def let(value: Column, body) -> Column:
-        return F.get(F.transform(F.array(value), body), F.lit(0))
-
-    def chunks(pieces: Column) -> Column:
-        n = F.size(pieces)
-        width = F.ceil(F.sqrt(n.cast("double"))).cast("int")
-        return F.transform(F.sequence(F.lit(0), F.floor((n - 1) / width).cast("int")), lambda k: F.slice(pieces, k * width + 1, width))
-
     def cut(chunk: Column) -> Column:
         first, last = F.element_at(chunk, 1)["b"], F.element_at(chunk, -1)["e"]
         return let(part(text, first, last), lambda own: F.array_join(F.transform(chunk, lambda p: part(own, p["b"] - first, p["e"] - first)), mask))
@@ -213,4 +205,4 @@ def masked(text: Column, found: Column, mask: str) -> Column:
     end = F.aggregate(found, zero, lambda at, s: F.greatest(at, s["end"]))
     last = F.array(F.struct(end.alias("b"), F.length(text).cast("long").alias("e")))
     pieces = F.concat(run_through(found, zero, lambda at, s: F.greatest(at, s["end"]), piece, between), last)
-    return F.array_join(F.transform(let(pieces, chunks), cut), mask)
+    return F.array_join(F.transform(let(pieces, chunked), cut), mask)
