@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def active_runs(manifest: DataFrame) -> DataFrame:
-    """(level, path) whose last action is add; adding again after a removal counts."""
+def active_runs(manifest: DataFrame, *more: str) -> DataFrame:
+    """(level, path) whose last action is add, and `more` columns of that row; adding again after a removal counts."""
     runs = manifest.where(F.col("action").isin("add", "remove"))
-    return runs.groupBy("level", "path").agg(F.max_by("action", "seq").alias("last")).where("last = 'add'").select("level", "path")
+    last = F.max_by(F.struct("action", *more), "seq").alias("last")
+    return runs.groupBy("level", "path").agg(last).where("last.action = 'add'").select("level", "path", *(f"last.{c}" for c in more))
 
 
 def next_id(manifest: DataFrame) -> DataFrame:

@@ -210,10 +210,10 @@ p AS (SELECT *, lag(access_no) OVER (PARTITION BY s, o ORDER BY access_no) AS pr
 d AS (SELECT p.access_no, count(DISTINCT (b.s, b.o)) AS n FROM p JOIN a b ON b.shard = p.shard AND b.access_no > p.prev AND b.access_no < p.access_no GROUP BY 1)
 SELECT access_no, s AS sstable_id, o AS "offset", prev IS NOT NULL AND coalesce(d.n, 0) < 2 AS hit FROM p LEFT JOIN d USING (access_no)""",
     "frame_payloads": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE coalesce(props, '') END AS payload FROM events",
-    "framed_log_scan": """WITH e AS (SELECT user_id, event_id, coalesce(props, '') AS p FROM events),
-f AS (SELECT user_id, p, row_number() OVER w - 1 AS pos, coalesce(sum(strlen(p) + 12) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset", lead(event_id) OVER w IS NULL AND user_id % 3 = 0 AS cut
-FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
-SELECT user_id, pos, "offset", CASE WHEN cut THEN NULL ELSE p END AS payload, CASE WHEN NOT cut THEN 'ok' WHEN strlen(p) < 5 THEN 'truncated length' ELSE 'truncated data' END AS verdict FROM f""",
+    "framed_log_scan": """WITH e AS (SELECT user_id, event_id, (event_id // 1000)::BIGINT AS part, coalesce(props, '') AS p FROM events),
+f AS (SELECT user_id, part, p, row_number() OVER w - 1 AS pos, coalesce(sum(strlen(p) + 12) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset", lead(event_id) OVER w IS NULL AND user_id % 3 = 0 AS cut
+FROM e WINDOW w AS (PARTITION BY user_id, part ORDER BY event_id))
+SELECT user_id, part, pos, "offset", CASE WHEN cut THEN NULL ELSE p END AS payload, CASE WHEN NOT cut THEN 'ok' WHEN strlen(p) < 5 THEN 'truncated length' ELSE 'truncated data' END AS verdict FROM f""",
     "space_test": f"""WITH RECURSIVE {_SPACE},
 s AS ({" UNION ALL ".join(f"""SELECT '{name}' AS test, (SELECT count(*) FROM u{t}) AS n, (SELECT sum(strlen(key) + strlen(value))::BIGINT FROM u{t}) AS raw_bytes,
 (SELECT strlen(min(key)) + strlen(max(key)) FROM u{t}) AS keys, (SELECT sum(data_bytes + 4 * restarts + 28 + strlen(first_key) + 16)::BIGINT FROM bl{t}) AS blocks""" for t, name in (("1", "long prefixed"), ("2", "long random"), ("3", "mixed length")))}),

@@ -534,19 +534,26 @@ def frame_payloads(spark, sf_dir):
     return rows.select("event_id", frames.frame_payload(F.col("raw")).cast("string").alias("payload"))
 
 
+#: Events that lie in one framed file at most.
+FRAMED = 1000
+
+
 def framed_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(user_id, raw): each user's properties framed one after the other; every third user's file lacks its last five bytes."""
+    """(file, raw): a user's properties framed one after the other, a file for each range of FRAMED events' numbers; the files
+    of every third user lack their last five bytes."""
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", frames.frame(F.coalesce(F.col("props"), F.lit("")).cast("binary")).alias("frame"))
-    held = rows.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", F.hex("frame").alias("x")))).alias("f"))
-    raw = F.unhex(F.array_join(F.transform("f", lambda f: f["x"]), ""))
-    return held.select("user_id", raw.alias("raw")).select("user_id", F.when(F.col("user_id") % 3 == 0, F.substring(F.col("raw"), F.lit(1), F.octet_length("raw") - 5)).otherwise(F.col("raw")).alias("raw"))
+    file = F.struct("user_id", F.floor(F.col("event_id") / FRAMED).alias("part")).alias("file")
+    held = rows.groupBy(file).agg(F.array_sort(F.collect_list(F.struct("event_id", F.hex("frame").alias("x")))).alias("f"))  # FRAMED rows at most
+    whole = held.select("file", F.unhex(F.array_join(F.transform("f", lambda f: f["x"]), "")).alias("raw"))
+    short = F.substring(F.col("raw"), F.lit(1), F.octet_length("raw") - 5)
+    return whole.select("file", F.when(F.col("file.user_id") % 3 == 0, short).otherwise(F.col("raw")).alias("raw"))
 
 
 @query
 def framed_log_scan(spark, sf_dir):
-    """Users' framed files read record by record, up to the first that is damaged."""
-    found = frames.records(framed_logs(spark, sf_dir), "user_id")
-    return found.select("user_id", "pos", "offset", F.col("payload").cast("string").alias("payload"), "verdict")
+    """Framed files read record by record, up to the first that is damaged."""
+    found = frames.records(framed_logs(spark, sf_dir), "file")
+    return found.select("file.user_id", "file.part", "pos", "offset", F.col("payload").cast("string").alias("payload"), "verdict")
 
 
 @query

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -107,12 +107,12 @@ class Store:
         if damaged:
             raise CorruptionError("a catalog row doesn't match its checksum")
         self.next_id = catalog.next_id(manifest).first().next_id
-        names = {Run(r.level, int(r.path.split("-")[1][:20])) for r in catalog.active_runs(manifest).collect()}
-        missing = {r.path for r in names} - set(self.files.names(f"{self.path}/runs"))
+        added = {Run(r.level, int(r.path.split("-")[1][:20])): r for r in catalog.active_runs(manifest, "entries", "ends").collect()}
+        missing = {r.path for r in added} - set(self.files.names(f"{self.path}/runs"))
         if missing:
             raise CorruptionError(f"the catalog names runs that aren't there: {sorted(missing)}")
-        self.runs = sorted(names)
-        self._validate(manifest)
+        self.runs = sorted(added)
+        self._validate(added)
         self.next_id = max([self.next_id, *(r.id + 1 for r in self.runs)])
         logs = self.log_ids()
         self.log_id = max(logs, default=0)
@@ -124,18 +124,17 @@ class Store:
         self.next_seq = 0 if last is None else last + 1
         return self
 
-    def _validate(self, manifest: DataFrame) -> None:
+    def _validate(self, added: dict[Run, Row]) -> None:
         """Open every run's files: do they hold as many entries as were written?"""
         if not self.runs:
             return
-        added = {(r.level, r.path): r for r in manifest.where("action = 'add'").orderBy("seq").collect()}  # a row a run ever made
         folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
         try:
             found = {r.run: r.n for r in self._runs(self.runs).groupBy(folder.alias("run")).agg(F.count("*").alias("n")).collect()}
         except (PySparkException, Py4JJavaError) as e:
             raise CorruptionError("a run can't be read") from e
         for run in self.runs:
-            row = added[run.level, run.path]
+            row = added[run]
             if row.entries is not None and found.get(run.path, 0) != row.entries:
                 raise CorruptionError(f"{run.path} has {found.get(run.path, 0)} entries, not {row.entries}")
             if row.ends:
