@@ -51,6 +51,13 @@ def test_texts_of_no_learned_language_are_rejected(spark):
     assert 1 / 64 < model.temperature < 64 and 0 < model.threshold < 1
 
 
+def test_twins_are_other_texts():
+    for seed in range(60):
+        for text in ("The cat sat on the mat and looked at the dog.", "a b c d", "De De De De", "x", "aa"):
+            out = langid.twin(text, seed)
+            assert out == langid.twin(text, seed) and out != text.lower()
+
+
 def test_a_language_left_out_of_training_is_rejected(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for lang in ("de", "es"):

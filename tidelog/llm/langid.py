@@ -45,23 +45,24 @@ def has_letter(text: str | None) -> bool:
 
 
 def twin(text: str, seed: int) -> str:
-    """`text` as a text of no learned language, in one of several ways that the seed chooses."""
+    """`text` as a text of no learned language, in one of several ways that the seed chooses; never `text` itself."""
     rng = random.Random(seed)
     kind, text = rng.randrange(6), text.lower()
     letters = sorted({c for c in text if c.isalpha()})
-    if kind == 0:  # every letter another one at random
-        return _WORD.sub(lambda m: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=len(m[0]))), text)
-    if kind == 1:  # a letter for a letter
-        other = rng.sample(letters, len(letters))
-        return text.translate({ord(a): b for a, b in zip(letters, other, strict=True)})
-    if kind == 2:
-        return _WORD.sub(lambda m: m[0][::-1], text)
-    if kind == 3:
-        return _WORD.sub(lambda m: "".join(rng.sample(m[0], len(m[0]))), text)
-    if kind == 4:  # the first letters of words, as names in programs and abbreviations have
-        return _WORD.sub(lambda m: m[0][: rng.randint(1, 3)], text)
-    first, last = rng.choice(SCRIPTS)
-    return _WORD.sub(lambda m: "".join(chr(rng.randint(first, last)) for _ in m[0]), text) if last - first > 1000 else text.translate({ord(a): chr(rng.randint(first, last)) for a in letters})
+    ways = (
+        lambda m: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=len(m[0]))),  # other letters at random
+        lambda m: m[0].translate(other),  # a letter for a letter
+        lambda m: m[0][::-1],
+        lambda m: "".join(rng.sample(m[0], len(m[0]))),
+        lambda m: m[0][: rng.randint(1, 3)],  # as names in programs and abbreviations are
+    )
+    other = {ord(a): b for a, b in zip(letters, rng.sample(letters, len(letters)), strict=True)}
+    out = _WORD.sub(ways[kind], text) if kind < len(ways) else text
+    if sum(a == b for a, b in zip(out, text, strict=False)) < 0.8 * len(text):
+        return out
+    first, last = rng.choice(SCRIPTS)  # also where hardly a letter has changed, as in texts of very short words
+    moved = {ord(c): chr(rng.randint(first, last)) for c in letters}
+    return _NUMERIC.sub(lambda m: "".join(chr(rng.randint(first, last)) for _ in m[0]), text) if last - first > 1000 else text.translate(moved)
 
 
 def counts(text: str) -> np.ndarray:
