@@ -253,6 +253,16 @@ def test_an_index_finds_all_codes_within_the_radius():
         assert (ann.probed(index, block.codes, asked, width) >= want).all()
 
 
+def test_codes_of_long_vectors_keep_their_neighbours():
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.normal(size=(150, 600)), 4, axis=0) + rng.normal(size=(600, 600)) * 0.3
+    index = ann.learn(x, 3)
+    assert index.rotations.shape == (600, ann.BITS) and index.codes(x).shape == (600, ann.BITS // 64)
+    block = ann.Block(index, np.arange(600), x)
+    a, b, d = block.search(np.arange(600), x, 3)
+    assert np.mean(a // 4 == b // 4) > 0.95 and (np.diff(d.reshape(600, 3)) >= 0).all()
+
+
 def test_queries_take_bounds_along_to_later_blocks(spark, monkeypatch):
     df = clustered(spark, 300)
     every = F.col("id") % 4 == 0

@@ -1,7 +1,7 @@
 """Nearest neighbours by multi-index hashing of learned, rotated binary codes.
 
-Iterative quantisation learns rotations that bring centred vectors near the corners of a cube; the signs make codes of
-BITS bits (as many rotations as that needs). Rows are dealt to blocks by hash, each to one; a task indexes its block's codes
+Iterative quantisation learns rotations that bring centred vectors (of more than BITS numbers: their BITS principal
+components) near the corners of a cube; the signs make codes of BITS bits (as many rotations as that needs). Rows are dealt to blocks by hash, each to one; a task indexes its block's codes
 by each of their m substrings and lets all queries stream past. For a Hamming radius R a query probes the buckets within
 R // m of its substring (one less beyond the first R % m + 1 substrings): by the pigeonhole principle no code within R is
 missed. Codes within R are then ranked by the exact distance. R is learned from the sample, and so is the substrings'
@@ -83,15 +83,18 @@ def probed(index: Index, codes: np.ndarray, asked: np.ndarray, width: int) -> np
 def learn(x: np.ndarray, k: int, bits: int = BITS, held: float = HELD, rounds: int = 20, seed: int = 0) -> Index:
     rng = np.random.default_rng(seed)
     mean = x.mean(axis=0)
-    v, dim = x - mean, x.shape[1]
-    parts = []
+    v, axes = x - mean, np.eye(x.shape[1])
+    if x.shape[1] > bits:
+        axes = np.linalg.eigh(v.T @ v)[1][:, ::-1][:, :bits]
+    v = v @ axes
+    dim, parts = v.shape[1], []
     while sum(p.shape[1] for p in parts) < bits:
         rot = np.linalg.qr(rng.normal(size=(dim, dim)))[0]
         for _ in range(rounds):
             u, _, w = np.linalg.svd(np.sign(v @ rot).T @ v)
             rot = w.T @ u.T
         parts.append(rot)
-    index = Index(mean, np.ascontiguousarray(np.hstack(parts)[:, :bits]), bits, WIDTHS[-1])
+    index = Index(mean, np.ascontiguousarray(axes @ np.hstack(parts)[:, :bits]), bits, WIDTHS[-1])
     if len(x) > 1:
         codes, own = index.codes(x), np.arange(min(256, len(x)))
         d = np.maximum(0, (x[own] ** 2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * x[own] @ x.T)
