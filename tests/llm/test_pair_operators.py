@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import awkward, empty, near_pairs, plain_components, plain_fingerprint
-from tidelog.llm import ann, metric_join, queries, simhash
+from tidelog.llm import ann, components, metric_join, queries, simhash
 from tidelog.llm.components import connected_components
 
 SF = "/root/testdata/sf0.01"
@@ -99,7 +99,9 @@ def test_blocks_of_bits_grow_with_the_fingerprints():
     assert found[0] == 5 and found == sorted(found) and found[-1] >= 8
 
 
-def test_components_of_chains_stars_and_loops(spark):
+@pytest.mark.parametrize("few", [0, 1_000_000])
+def test_components_of_chains_stars_and_loops(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few)
     rng = np.random.default_rng(0)
     pairs = [(i, i + 1) for i in range(100, 160)] + [(500, int(j)) for j in rng.integers(501, 600, 60)] + [(7, 7), (3, None), (None, None), (900, 901), (901, 900), (900, 901)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}

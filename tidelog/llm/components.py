@@ -1,31 +1,33 @@
 """Connected components of an edge table by alternating large-star and small-star rounds.
 
-Every round is a handful of key-partitioned aggregations and joins; minima are combined before the shuffle, and the
-joins are plain equi-joins whose hot keys adaptive execution can split. Nothing but two totals reaches the driver.
+Every round is a handful of key-partitioned aggregations and joins. Minima are combined before the shuffle. The nodes' minima
+are broadcast while there are FEW edges, so the edges of a node that many others are linked to stay where they are; beyond
+that the joins are plain equi-joins whose hot keys adaptive execution splits. Nothing but two totals reaches the driver.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import cut
-
+from tidelog.llm.common import FEW, cut
 
 #: Edges of a partition at least; rounds don't make more edges.
 AT_ONCE = 200_000
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, sent: Callable[[DataFrame], DataFrame]) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return both.where("v > u").join(sent(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, sent: Callable[[DataFrame], DataFrame]) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = down.join(sent(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
@@ -41,7 +43,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     now = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct())
     sign = _sign(now)
     while sign[0]:
-        now = cut(_small_star(_large_star(now)).coalesce(max(1, sign[0] // AT_ONCE)))
+        sent = F.broadcast if sign[0] <= FEW else lambda least: least  # two nodes an edge at most
+        now = cut(_small_star(_large_star(now, sent), sent).coalesce(max(1, sign[0] // AT_ONCE)))
         after = _sign(now)
         if after == sign:
             break
