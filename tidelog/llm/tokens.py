@@ -145,16 +145,16 @@ class Encoder:
     def _whole(self, texts: pa.Array) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.lib.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
 
-    def ids(self, texts: pa.Array | list[str | None]) -> list[bytes]:
-        """A null text counts as empty."""
+    def ids(self, texts: pa.Array | list[str | None], at_once: int | None = None) -> list[bytes]:
+        """A null text counts as empty. Fewer characters at once take less memory and some more time."""
         texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
         if not (self.words or self.bytes):
             return self._whole(texts)
         if self.added and pc.any(marked := pc.match_substring_regex(texts, self.added, ignore_case=True)).as_py():
-            out, whole = self.ids(pc.if_else(marked, "", texts)), iter(self._whole(texts.filter(marked)))
+            out, whole = self.ids(pc.if_else(marked, "", texts), at_once), iter(self._whole(texts.filter(marked)))
             return [next(whole) if m else x for m, x in zip(marked.to_pylist(), out, strict=True)]
         out: list[bytes] = []
-        grown = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // AT_ONCE
+        grown = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // (at_once or AT_ONCE)
         edges = np.flatnonzero(np.append(True, grown[1:] != grown[:-1])).tolist() if len(texts) else []
         for b, e in zip(edges, [*edges[1:], len(texts)], strict=True):
             out += self._joined(texts.slice(b, e - b))
