@@ -327,6 +327,23 @@ def test_pipeline_stages_keep_the_columns(spark):
         assert stage(spark, docs.limit(0), TINY).collect() == []
 
 
+def test_long_texts_are_read_in_small_batches(spark, tmp_path):
+    path, fresh = str(tmp_path / "t"), spark.newSession()
+    fresh.createDataFrame([(i, "x" * 2000) for i in range(5000)], "doc_id long, text string").coalesce(1).write.parquet(path)
+    read = queries.in_small_batches(lambda s, p: s.read.parquet(p))
+
+    def batches(df):
+        assert len(df.collect()) == 5000
+        plan = df._jdf.queryExecution().executedPlan()
+        while plan.nodeName() != "ColumnarToRow":
+            plan = plan.children().apply(0)
+        return plan.metrics().apply("numInputBatches").value()
+
+    assert batches(read(fresh, path)) >= 5000 / 512
+    fresh.conf.set("spark.sql.parquet.columnarReaderBatchSize", "100")
+    assert batches(read(fresh, path)) == 50
+
+
 def test_registered_queries():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
     assert queries.ORACLE_SQL.keys() <= queries.QUERIES.keys()
