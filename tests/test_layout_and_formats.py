@@ -226,3 +226,13 @@ def test_records_of_framed_files(spark):
     assert found == {0: all_ok, 1: [*all_ok[:2], (27, None, "truncated data")], 2: all_ok, 3: [*all_ok, (len(whole), None, "truncated length")], 6: [(0, None, "checksum mismatch")], 7: [(0, None, "record too large")]}
     df = spark.createDataFrame([(i, bytearray(c)) for i, c in enumerate((good[0], good[0][:-1], b""))], "i int, raw binary")
     assert [r[0] and bytes(r[0]) for r in df.orderBy("i").select(frames.frame_payload(F.col("raw"))).collect()] == [b"one", None, None]
+
+
+def test_block_scan_of_keys_that_lie_in_a_run_several_times(spark, tmp_path):
+    pages = [(i, f"https://{'x' * (j % 40)}.example.com/{j:05}") for i, j in enumerate(k // 3 if k % 2 else k for k in range(900))]
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(f"Customer#{i // 90:09}", "BUILDING") for i in range(400)], "c_name string, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    urls = sorted(((u, str(i)) for i, u in pages), key=lambda e: (e[0], len(e[1]), e[1]))
+    want = [(0, k, b[0], 0) for k, b in enumerate(model([(f"Customer#{i // 90:09}", "BUILDING") for i in range(400)]))]
+    want += [(1, k, b[0], 0) for k, b in enumerate(model(urls))]
+    assert rows(queries.QUERIES["block_scan"](spark, str(tmp_path)), "sstable_id", "block_no", "num_entries", "n_differ") == want
