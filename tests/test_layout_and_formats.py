@@ -4,6 +4,7 @@ import random
 import struct
 import zlib
 
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -236,3 +237,26 @@ def test_block_scan_of_keys_that_lie_in_a_run_several_times(spark, tmp_path):
     want = [(0, k, b[0], 0) for k, b in enumerate(model([(f"Customer#{i // 90:09}", "BUILDING") for i in range(400)]))]
     want += [(1, k, b[0], 0) for k, b in enumerate(model(urls))]
     assert rows(queries.QUERIES["block_scan"](spark, str(tmp_path)), "sstable_id", "block_no", "num_entries", "n_differ") == want
+
+
+def test_records_of_many_small_files_share_batches(spark):
+    class Files:
+        schema = spark.createDataFrame([], "f long, raw binary").schema
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    def read(*raws):
+        files = pa.RecordBatch.from_arrays([pa.array(range(len(raws)), pa.int64()), pa.array(raws, pa.binary())], ["f", "raw"])
+        return list(frames.records(Files(), "f")(iter([files, files.slice(0, 0)])))
+
+    small = read(*(frame(b"%d" % i) for i in range(5000)))
+    assert len(small) == 1 and small[0].column("payload").to_pylist() == [b"%d" % i for i in range(5000)] and small[0].column("f").to_pylist() == list(range(5000))
+    long = read(frame(b"") * (frames.OUT + 5), None, frame(b"z")[:-1])
+    assert [b.num_rows for b in long] == [frames.OUT, 6]
+    assert [(r["f"], r["pos"], r["offset"], r["payload"], r["verdict"]) for r in long[1].to_pylist()] == [*((0, frames.OUT + i, 12 * (frames.OUT + i), b"", "ok") for i in range(5)), (2, 0, 0, None, "truncated data")]
+    assert [b.num_rows for b in read(*[frame(b"x" * (frames.OUT_BYTES // 2))] * 5)] == [2, 2, 1]
+    assert read() == [] and read(b"", None) == []
