@@ -224,3 +224,17 @@ def test_a_bounded_cache_drops_the_least_recently_used(spark):
             del own[: max(0, len(own) - capacity // shards)]
         assert [r.hit for r in lookup.bounded_cache_trace(df, capacity, shards).orderBy("access_no").collect()] == want
     assert rows(lookup.bounded_cache_trace(df, 1000, 1), "access_no", "hit") == rows(lookup.cache_trace(df), "access_no", "hit")
+
+
+def test_tasks_of_the_fixed_workload_depend_on_its_writes_alone(spark, monkeypatch):
+    from tidelog.plans import queries
+
+    seen = []
+
+    def generations(log, limit, **given):
+        seen.append(given.get("partitions"))
+        return spark.createDataFrame([], "seq long, is_tombstone boolean, gen long")
+
+    monkeypatch.setattr(queries.runs, "generations", generations)
+    queries.QUERIES["bench_flush_counts"](spark, "/no/such/folder")
+    assert seen == [1, 4, 6, 4]
